@@ -75,8 +75,10 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
                            (F.col("event_id") * 8 + code).alias("packed"))
     first = packed.groupBy("problem_id", "beam").agg(F.min("packed").alias("packed"))
     names = F.array(*[F.lit(s) for s in STATUS])
-    return first.select("problem_id", "beam", F.get(names, F.pmod("packed", F.lit(8)).cast("int")).alias("status"),
-                        F.floor(F.col("packed") / 8).cast("string").alias("detail"))
+    event, code = F.expr("packed div 8"), F.pmod("packed", F.lit(8)).cast("int")
+    identical = (code == 0) & (event % 5 == 0)
+    return first.select("problem_id", "beam", F.get(names, code).alias("status"),
+                        F.when(identical, "identical to gold").otherwise(event.cast("string")).alias("detail"))
 
 
 # ---- the same inputs in SQL ----------------------------------------------
@@ -119,7 +121,8 @@ SQL_RUNS = """firsts AS (
 runs AS (
   SELECT f.problem_id, f.beam, CASE e.event_type WHEN 'purchase' THEN 'success' WHEN 'view' THEN 'failure'
            WHEN 'error' THEN 'error' WHEN 'click' THEN 'timeout' ELSE 'script_not_found' END AS status,
-         CAST(f.event_id AS VARCHAR) AS detail
+         CASE WHEN e.event_type = 'purchase' AND f.event_id % 5 = 0 THEN 'identical to gold'
+              ELSE CAST(f.event_id AS VARCHAR) END AS detail
   FROM firsts f JOIN events e USING (event_id))"""
 
 
