@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tandem.functions.text import words
 from tandem.operators import errors as E
 from tandem.operators import ngrams as G
 from tandem.operators import runs as R
@@ -90,15 +89,12 @@ def run_log(spark, sf):
     return R.run_log(V.runs(spark, sf)).withColumn("log", F.array_join("log", " | "))
 
 
-@query("gold_identity", f"""WITH {V.SQL_BEAMS}
-SELECT conv_id, beam, CASE WHEN hyp = ref THEN 'success' ELSE 'failure' END AS status,
-  CASE WHEN hyp = ref THEN 'identical to gold' ELSE 'n/a' END AS detail FROM (
-  SELECT conv_id, beam, substr(hyp, 1, 2) AS hyp, substr(ref, 1, 2) AS ref FROM beams)""")
+@query("gold_identity", f"""WITH {V.SQL_COPIES}
+SELECT doc_id, CASE WHEN hyp = ref THEN 'success' ELSE 'failure' END AS status,
+  CASE WHEN hyp = ref THEN 'identical to gold' ELSE 'n/a' END AS detail FROM copies""")
 def gold_identity(spark, sf):
-    b = V.beams(spark, sf).select("conv_id", "beam", F.substring("hyp", 1, 2).alias("hyp"),
-                                  F.substring("ref", 1, 2).alias("ref"),
-                                  F.lit("failure").alias("status"), F.lit("n/a").alias("detail"))
-    return R.gold_identity(b).select("conv_id", "beam", "status", "detail")
+    c = V.copies(spark, sf).withColumn("status", F.lit("failure")).withColumn("detail", F.lit("n/a"))
+    return R.gold_identity(c).select("doc_id", "status", "detail")
 
 
 @query("template_join", """WITH b AS (SELECT conv_id AS problem_id, turn AS beam, length(text) AS size,

@@ -25,8 +25,8 @@ def token_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def copies(spark: SparkSession, sf: str) -> DataFrame:
-    """Each document against the first document with the same opening: a star, not all pairs."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", F.substring("text", 1, 40).alias("opening"))
+    """Each document against the first document with the same first line: a star, not all pairs."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.substring_index("text", "\n", 1).alias("opening"))
     first = docs.groupBy("opening").agg(F.min("doc_id").alias("rep_id"))
     member = attach(docs, first, ["opening"]).filter(F.col("doc_id") != F.col("rep_id"))
     rep = docs.select(F.col("doc_id").alias("rep_id"), F.col("text").alias("ref"))
@@ -97,10 +97,10 @@ SQL_PAIRS = """pairs AS (
   WHERE a.role = 'user' AND b.role = 'assistant')"""
 
 SQL_COPIES = """first_doc AS (
-  SELECT substr(text, 1, 40) AS opening, min(doc_id) AS rep_id FROM documents GROUP BY 1),
+  SELECT string_split(text, chr(10))[1] AS opening, min(doc_id) AS rep_id FROM documents GROUP BY 1),
 copies AS (
   SELECT d.doc_id, f.rep_id, d.text AS hyp, r.text AS ref
-  FROM documents d JOIN first_doc f ON substr(d.text, 1, 40) = f.opening
+  FROM documents d JOIN first_doc f ON string_split(d.text, chr(10))[1] = f.opening
   JOIN documents r ON r.doc_id = f.rep_id WHERE d.doc_id <> f.rep_id)"""
 
 SQL_BEAMS = """first_answer AS (
