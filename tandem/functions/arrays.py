@@ -5,7 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tandem.functions.hashing import uniform
-from tandem.functions.text import empty_tokens, words
+from tandem.functions.text import bind, empty_tokens, words
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -60,8 +60,6 @@ def name_after_def(tokens: Column) -> Column:
 
 def first_parens(tokens: Column) -> Column:
     """Tokens inside the first balanced parentheses; without a close, all but the last."""
-    at = F.array_position(tokens, "(").cast("int")
-    tail = F.slice(tokens, at, F.size(tokens))
     zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("i"), F.lit(0).alias("end"))
 
     def step(s, t):
@@ -71,24 +69,35 @@ def first_parens(tokens: Column) -> Column:
             depth.alias("depth"), i.alias("i"),
             F.when((s["end"] == 0) & (depth == 0), i).otherwise(s["end"]).alias("end"))
 
-    end = F.aggregate(tail, zero, step, lambda s: F.when(s["end"] > 0, s["end"]).otherwise(s["i"]))
-    return F.when(at > 0, F.slice(tail, F.lit(2), F.greatest(end - 2, F.lit(0))))
+    def inside(tail):
+        # with a single "(" the first ")" closes it; only nesting needs the depth walk
+        close = F.array_position(tail, ")").cast("int")
+        simple = (close > 0) & ~F.array_contains(F.slice(tail, F.lit(2), F.greatest(close - 1, F.lit(0))), "(")
+        end = F.when(simple, close).otherwise(
+            F.aggregate(tail, zero, step, lambda s: F.when(s["end"] > 0, s["end"]).otherwise(s["i"])))
+        return F.slice(tail, F.lit(2), F.greatest(end - 2, F.lit(0)))
+
+    at = F.array_position(tokens, "(").cast("int")
+    return F.when(at > 0, bind(F.slice(tokens, at, F.size(tokens)), inside))
 
 
 def argument_list(tokens: Column) -> Column:
     """Arguments as ``(type, name)``; no arguments give one ``(None, None)``."""
-    inner = F.array_join(first_parens(tokens), " ")
 
     def one(arg):
-        marks = F.regexp_extract_all(arg, F.lit(r"\[ \]"), F.lit(0))
-        joined = F.array_join(marks, " ")
-        bare = F.when(F.size(marks) > 0, F.replace(arg, joined, F.lit(""))).otherwise(arg)
-        bits = F.split(F.regexp_replace(F.trim(bare), " +", " "), " ")
-        kind = F.concat(F.slice(bits, F.lit(1), F.size(bits) - 1), F.array(joined))
-        return F.struct(F.array_join(kind, " ").alias("type"), F.element_at(bits, -1).alias("name"))
+        marks = F.array_join(F.regexp_extract_all(arg, F.lit(r"\[ \]"), F.lit(0)), " ")
+
+        def split_name(m):
+            bare = F.when(m != "", F.replace(arg, m, F.lit(""))).otherwise(arg)
+            return bind(F.split(F.regexp_replace(F.trim(bare), " +", " "), " "), lambda bits: F.struct(
+                F.array_join(F.concat(F.slice(bits, F.lit(1), F.size(bits) - 1), F.array(m)), " ").alias("type"),
+                F.element_at(bits, -1).alias("name")))
+
+        return bind(marks, split_name)
 
     none = F.array(F.struct(F.lit("None").alias("type"), F.lit("None").alias("name")))
-    return F.when(inner == "", none).otherwise(F.transform(F.split(inner, ","), one))
+    return bind(F.array_join(first_parens(tokens), " "),
+                lambda inner: F.when(inner == "", none).otherwise(F.transform(F.split(inner, ","), one)))
 
 
 def return_type(code: Column) -> Column:

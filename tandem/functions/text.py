@@ -69,7 +69,7 @@ DIRECTIVE_WORDS = ["# else", "# endif"]
 ANNOTATIONS = r"^(@ (Override|Deprecated|SuppressWarnings) (\( .* \) )?)*"
 
 # Marks of Python 2 code.
-LEGACY_PATTERNS = [r"print [^(]", r"raise \w+ ,", r"except \w+ ,", r"[^ ]+ = \d+ L"]
+LEGACY_PATTERNS = [r"print [^(]", r"raise [\p{L}\p{N}_]+ ,", r"except [\p{L}\p{N}_]+ ,", r"[^ ]+ = \p{Nd}+ L"]
 LEGACY_CALLS = [". iterkeys ( )", ". itervalues ( )", ". iteritems ( )", "xrange (", "imap ("]
 
 
@@ -86,7 +86,8 @@ def re2_repl(template: str) -> str:
 
 
 def rewrite(c: Column, steps: list[tuple[str, str]]) -> Column:
-    return reduce(lambda acc, s: F.regexp_replace(acc, s[0], java_repl(s[1])), steps, c)
+    """Pattern replacements, one after another; only a line feed ends a line."""
+    return reduce(lambda acc, s: F.regexp_replace(acc, "(?d)" + s[0], java_repl(s[1])), steps, c)
 
 
 def replace_all(c: Column, steps: list[tuple[str, str]]) -> Column:
@@ -94,6 +95,11 @@ def replace_all(c: Column, steps: list[tuple[str, str]]) -> Column:
     return reduce(lambda acc, s: F.replace(acc, F.lit(s[0]), F.lit(s[1])), steps, c)
 
 
+def bind(c: Column, fn) -> Column:
+    """``fn(c)`` with ``c`` computed once per row, however often ``fn`` mentions it."""
+    return F.get(F.transform(F.array(c), fn), F.lit(0))
+
+
 # ---- tokens ---------------------------------------------------------------
 
 def words(c: Column) -> Column:
@@ -159,22 +165,26 @@ def literal_tokens(c: Column, symbols: list[tuple[str, str]] = (), comment: bool
     empty below two word characters, and end in ``ENDCOM``.
     """
     symbols = list(symbols)
-    t = c
-    if comment:
-        t = F.regexp_replace(_squeeze_blank(t), r"(.)\1\1\1\1+", "$1$1$1$1$1")
-    body = escape_symbols(escape_blanks(t), symbols)
-    first_break = F.locate(" STRNEWLINE ", body)
-    marked = F.when(
-        first_break > 0,
-        F.concat(F.substring(body, F.lit(1), first_break - 1), F.lit(" ENDCOM"),
-                 F.substring(body, first_break + 12, F.length(body))),
-    ).otherwise(F.concat(body, F.lit(" ENDCOM")))
-    body = F.when(F.startswith(F.trim(body), F.lit("STOKEN00")), marked).otherwise(body) if symbols else body
-    out = _squeeze_blank(intl_split(_squeeze_blank(body)))
-    out = restore_symbols(F.replace(out, F.lit("\r"), F.lit("")), symbols)
-    if comment:
-        out = F.when(F.length(F.regexp_replace(t, r"[^\p{L}\p{N}_]", "")) < 2, F.lit("")).otherwise(out)
-    return out
+
+    def end_comment(body: Column) -> Column:
+        at = F.locate(" STRNEWLINE ", body)
+        cut = F.concat(F.substring(body, F.lit(1), at - 1), F.lit(" ENDCOM"),
+                       F.substring(body, at + 12, F.length(body)))
+        ended = F.when(at > 0, cut).otherwise(F.concat(body, F.lit(" ENDCOM")))
+        return F.when(F.startswith(F.trim(body), F.lit("STOKEN00")), ended).otherwise(body)
+
+    def pieces(t: Column) -> Column:
+        body = escape_symbols(escape_blanks(t), symbols)
+        if comment and symbols:
+            body = bind(body, end_comment)
+        out = _squeeze_blank(intl_split(_squeeze_blank(body)))
+        return restore_symbols(F.replace(out, F.lit("\r"), F.lit("")), symbols)
+
+    if not comment:
+        return pieces(c)
+    capped = F.regexp_replace(_squeeze_blank(c), r"(?d)(.)\1\1\1\1+", "$1$1$1$1$1")
+    return bind(capped, lambda t: F.when(
+        F.length(F.regexp_replace(t, r"[^\p{L}\p{N}_]", "")) < 2, F.lit("")).otherwise(pieces(t)))
 
 
 def join_literal(c: Column) -> Column:
@@ -199,7 +209,7 @@ def strip_prefix(c: Column, prefixes: list[str]) -> Column:
 
 
 def strip_annotations(c: Column) -> Column:
-    return F.regexp_replace(c, ANNOTATIONS, "")
+    return F.regexp_replace(c, "(?d)" + ANNOTATIONS, "")
 
 
 def strip_directives(c: Column) -> Column:
