@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions.arrays import ngrams, pad_ends
+from tandem.scale import placed
 
 
 def _grams(tokens: Column, orders: Sequence[int], **tags: Column) -> list[Column]:
@@ -30,7 +31,7 @@ def ngram_counts(df: DataFrame, keys: Sequence[str], tokens: str, max_n: int = 4
     for n in range(1, max_n + 1):
         t = pad_ends(F.col(tokens), n, left, right) if (left or right) else F.col(tokens)
         arrays += _grams(t, [n])
-    rows = df.select(*keys, tokens).repartition(*keys).select(*keys, F.inline(F.concat(*arrays)))
+    rows = placed(df.select(*keys, tokens), keys).select(*keys, F.inline(F.concat(*arrays)))
     return rows.groupBy(*keys, "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -44,7 +45,7 @@ def bag_rows(pairs: DataFrame, keys: Sequence[str], hyp: str, ref: str, max_n: i
     lengths = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("gram"),
                                F.size(h).alias("h"), F.size(r).alias("r")))
     arrays = [lengths, *_grams(h, orders, h=one, r=none), *_grams(r, orders, h=none, r=one)]
-    rows = pairs.select(*keys, hyp, ref).repartition(*keys).select(*keys, F.inline(F.concat(*arrays)))
+    rows = placed(pairs.select(*keys, hyp, ref), keys).select(*keys, F.inline(F.concat(*arrays)))
     return rows.groupBy(*keys, "n", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
 
 
@@ -71,7 +72,7 @@ def multi_ref_bags(hyps: DataFrame, refs: DataFrame, keys: Sequence[str], hyp: s
         refs.select(*keys, F.col(ref_no).cast("long").alias("ref_no"), F.col(ref).alias("t")))
     arrays = _grams(F.col("t"), range(1, max_n + 1))
     counts = (
-        tagged.repartition(*keys, "ref_no").select(*keys, "ref_no", F.inline(F.concat(*arrays)))
+        placed(tagged, [*keys, "ref_no"]).select(*keys, "ref_no", F.inline(F.concat(*arrays)))
         .groupBy(*keys, "ref_no", "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
     )
     is_hyp = F.col("ref_no") < 0

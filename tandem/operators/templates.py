@@ -5,7 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tandem.functions.arrays import argument_list, boxed_type, return_type
-from tandem.functions.text import words
+from tandem.functions.text import bind, words
 
 # Fixed values.
 MARKER = {"python": "#TOFILL", "java": "//TOFILL", "cpp": "//TOFILL"}
@@ -43,63 +43,93 @@ def _java_argument(gold: Column, mine: Column, i: Column) -> Column:
             .otherwise(F.concat(F.lit("("), mine, F.lit(") "), p)))
 
 
+def _java_calls(s: Column) -> Column:
+    return F.transform(s["cells"], lambda c, i: _java_argument(c["g"], c["m"], i))
+
+
+def _is_vector(c: Column) -> Column:
+    return (c["g"] != c["m"]) & F.contains(c["m"], F.lit("vector"))
+
+
+def _to_string(c: Column) -> Column:
+    return (c["m"] == "string") & F.contains(c["g"], F.lit("char"))
+
+
+def _to_chars(c: Column) -> Column:
+    return (c["g"] == "string") & F.contains(c["m"], F.lit("char"))
+
+
+def _cpp_calls(s: Column) -> Column:
+    def call(c, i):
+        p = F.concat(F.lit("param"), i)
+        return (F.when(c["g"] == c["m"], p).when(_is_vector(c), F.concat(F.lit("vect_"), p))
+                .when(_to_string(c), F.concat(F.lit("string_"), p))
+                .when(_to_chars(c), F.concat(F.lit("char_arr_"), p))
+                .otherwise(F.concat(F.lit("("), c["m"], F.lit(") "), p)))
+
+    return F.transform(s["cells"], call)
+
+
+def _cpp_setup(s: Column) -> Column:
+    """Statements that build vectors, strings and character arrays; null where a vector has no length."""
+
+    def prepare(c, i):
+        # the length of an array is the next int argument
+        size = F.array_min(F.filter(s["ints"], lambda k: k > i))
+        p, kind = F.concat(F.lit("param"), i), F.replace(c["m"], F.lit("&"), F.lit(""))
+        return (
+            F.when(c["g"] == c["m"], F.lit(""))
+            .when(_is_vector(c), F.concat(kind, F.lit(" vect_"), p, F.lit("("), p, F.lit(", "), p,
+                                          F.lit(" + param"), size, F.lit(");")))
+            .when(_to_string(c), F.concat(kind, F.lit(" string_"), p, F.lit("("), p, F.lit(");")))
+            .when(_to_chars(c), F.concat(
+                F.lit("char char_arr_"), p, F.lit("["), p, F.lit(".length() + 1];\nstrcopy(char_arr_"), p,
+                F.lit(", "), p, F.lit(".c_str());")))
+            .otherwise(F.lit("")))
+
+    return F.transform(s["cells"], prepare)
+
+
 def adapter(script: Column, function: Column, lang: str) -> Column:
     """Source of an ``f_filled`` wrapper that converts the script's argument types to the
     function's and calls ``f_filled_inner``; null when the types already agree or no
     conversion is known."""
-    gold_args, my_args = argument_list(words(script)), argument_list(words(function))
-    gold = F.transform(gold_args, lambda a: F.trim(a["type"]))
-    mine = F.transform(my_args, lambda a: F.trim(a["type"]))
-    gold_ret, my_ret = return_type(script), return_type(function)
-    params = F.array_join(F.transform(gold, _parameter), ", ")
-    n = F.least(F.size(gold), F.size(mine))
-    cells = F.slice(F.zip_with(gold, mine, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), F.lit(1), n)
-    if lang == "java":
-        calls = F.transform(cells, lambda c, i: _java_argument(c["g"], c["m"], i))
-        setup, impossible = F.array().cast("array<string>"), F.lit(False)
-    else:
-        ints = F.filter(F.transform(gold, lambda g, i: F.struct(i.alias("i"), g.alias("g"))), lambda c: c["g"] == "int")
-        at = F.transform(ints, lambda c: c["i"])
-
-        def is_vector(c):
-            return (c["g"] != c["m"]) & F.contains(c["m"], F.lit("vector"))
-
-        def to_string(c):
-            return (c["m"] == "string") & F.contains(c["g"], F.lit("char"))
-
-        def to_chars(c):
-            return (c["g"] == "string") & F.contains(c["m"], F.lit("char"))
-
-        def call(c, i):
-            p = F.concat(F.lit("param"), i)
-            return (F.when(c["g"] == c["m"], p).when(is_vector(c), F.concat(F.lit("vect_"), p))
-                    .when(to_string(c), F.concat(F.lit("string_"), p)).when(to_chars(c), F.concat(F.lit("char_arr_"), p))
-                    .otherwise(F.concat(F.lit("("), c["m"], F.lit(") "), p)))
-
-        def prepare(c, i):
-            # the length of an array is the next int argument
-            size = F.array_min(F.filter(at, lambda k: k > i))
-            p, kind = F.concat(F.lit("param"), i), F.replace(c["m"], F.lit("&"), F.lit(""))
-            return (
-                F.when(c["g"] == c["m"], F.lit(None))
-                .when(is_vector(c), F.concat(kind, F.lit(" vect_"), p, F.lit("("), p, F.lit(", "), p,
-                                             F.lit(" + param"), size, F.lit(");")))
-                .when(to_string(c), F.concat(kind, F.lit(" string_"), p, F.lit("("), p, F.lit(");")))
-                .when(to_chars(c), F.concat(
-                    F.lit("char char_arr_"), p, F.lit("["), p, F.lit(".length() + 1];\nstrcopy(char_arr_"), p,
-                    F.lit(", "), p, F.lit(".c_str());"))))
-
-        calls = F.transform(cells, call)
-        setup = F.filter(F.transform(cells, prepare), lambda x: x.isNotNull())
-        no_length = F.transform(cells, lambda c, i: is_vector(c) & (F.size(F.filter(at, lambda k: k > i)) == 0))
-        impossible = F.exists(no_length, lambda x: x)
-    call = F.concat(F.lit(INNER + "("), F.array_join(calls, ","), F.lit(")"))
-    call = F.when(gold_ret == my_ret, call).otherwise(F.concat(F.lit("("), gold_ret, F.lit(") "), call))
-    lines = F.concat(
-        F.array(F.concat(F.lit("static "), gold_ret, F.lit(f" {FILLED}("), params, F.lit(")")), F.lit("{")),
-        setup, F.array(F.concat(F.lit("return "), call, F.lit(";")), F.lit("}")))
-    same = F.transform(gold_args, lambda a: a["type"]) == F.transform(my_args, lambda a: a["type"])
-    return F.when(~same & ~impossible, F.array_join(lines, "\n"))
+
+    def types(args: Column) -> Column:
+        return F.transform(args, lambda a: F.trim(a["type"]))
+
+    def same(a: Column, b: Column) -> Column:
+        return F.transform(a, lambda x: x["type"]) == F.transform(b, lambda x: x["type"])
+
+    def prepared(s: Column) -> Column:
+        gold, mine = types(s["a"]), types(s["b"])
+        n = F.least(F.size(s["a"]), F.size(s["b"]))
+        pairs = F.zip_with(gold, mine, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+        at = F.transform(gold, lambda g, i: F.when(g == "int", i))
+        return F.struct(gold.alias("gold"), F.slice(pairs, F.lit(1), n).alias("cells"),
+                        F.filter(at, lambda i: i.isNotNull()).alias("ints"), same(s["a"], s["b"]).alias("same"))
+
+    def source(s: Column) -> Column:
+        params = F.array_join(F.transform(s["gold"], _parameter), ", ")
+        calls = _java_calls(s) if lang == "java" else _cpp_calls(s)
+        call = F.concat(F.lit(INNER + "("), F.array_join(calls, ","), F.lit(")"))
+        gold_ret = return_type(script)
+        call = F.when(gold_ret == return_type(function), call).otherwise(
+            F.concat(F.lit("("), gold_ret, F.lit(") "), call))
+        head = F.concat(F.lit("static "), gold_ret, F.lit(f" {FILLED}("), params, F.lit(")\n{\n"))
+        tail = F.concat(F.lit("return "), call, F.lit(";\n}"))
+        if lang == "java":
+            return F.when(~s["same"], F.concat(head, tail))
+
+        def with_setup(steps: Column) -> Column:
+            lines = F.array_join(F.filter(steps, lambda x: x != ""), "\n")
+            setup = F.when(lines == "", F.lit("")).otherwise(F.concat(lines, F.lit("\n")))
+            return F.when(~F.exists(steps, lambda x: x.isNull()), F.concat(head, setup, tail))
+
+        return F.when(~s["same"], bind(_cpp_setup(s), with_setup))
+
+    args = F.struct(argument_list(words(script)).alias("a"), argument_list(words(function)).alias("b"))
+    return bind(bind(args, prepared), source)
 
 
 def fill_adapted(script: Column, function: Column, name: Column, laid_out: Column, lang: str) -> Column:

@@ -52,8 +52,21 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inn
     return df.join(stats, list(keys), how)
 
 
-def salted_sum(df: DataFrame, keys: Sequence[str], salt: Column, sums: dict[str, Column]) -> DataFrame:
-    """``groupBy(keys).agg(sum)`` in two steps, for sums whose map-side combine is weak."""
-    first = df.withColumn("__salt", salt).groupBy(*keys, "__salt").agg(
-        *[F.sum(c).alias(n) for n, c in sums.items()])
-    return first.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in sums])
+def placed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Place rows by ``keys`` in the session's number of shuffle partitions.
+
+    For rows that are about to be exploded: adaptive execution would size the
+    partitions by the bytes before the explosion, so their number is kept.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Spread an input that has fewer splits than the cluster has cores.
+
+    Small tables sit in one row group, which one core would read and process alone.
+    Inputs of many splits are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < 2 * cores else df
