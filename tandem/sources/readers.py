@@ -37,10 +37,10 @@ def split_files(spark: SparkSession, folder: str, schema: T.StructType = RECORD)
 
 def metadata(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Submission metadata; lines with a wrong field count are dropped, the last duplicate wins."""
-    bad = "_bad"
-    schema = T.StructType([*METADATA.fields, T.StructField(bad, _S)])
-    df = spark.read.schema(schema).option("header", True).option("columnNameOfCorruptRecord", bad).csv(paths)
-    return latest_status(df.filter(F.col(bad).isNull()).withColumn("line", F.monotonically_increasing_id()))
+    # without column pruning the reader compares the field count with the whole header
+    df = (spark.read.schema(METADATA).option("header", True).option("mode", "DROPMALFORMED")
+          .option("columnPruning", False).csv(paths))
+    return latest_status(df.withColumn("line", F.monotonically_increasing_id()))
 
 
 def latest_status(df: DataFrame, order: str = "line") -> DataFrame:
@@ -51,8 +51,8 @@ def latest_status(df: DataFrame, order: str = "line") -> DataFrame:
 
 def source_tree(spark: SparkSession, root: str, language: str, extension: str) -> DataFrame:
     """``root/<problem>/<Language>/<submission>.<ext>``, one row per non-empty file."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", f"*.{extension}").text(
-        f"{root}/*/{language}")
+    df = spark.read.option("pathGlobFilter", f"*.{extension}").text(
+        f"{root}/*/{language}", wholetext=True)
     path = F.col("_metadata.file_path")
     return df.select(
         F.regexp_extract(path, rf"([^/]+)/{language}/[^/]+$", 1).alias("problem_id"),
@@ -83,7 +83,7 @@ def cluster_heads(spark: SparkSession, path: str) -> DataFrame:
     The reader splits the file at empty lines, so blocks are records and a large
     file is read by many tasks.
     """
-    blocks = spark.read.option("lineSep", "\n\n").text(path)
+    blocks = spark.read.text(path, lineSep="\n\n")
     heads = blocks.select(F.explode(F.transform(block_lines(F.col("value")), lambda xs: xs[0])).alias("path"))
     return heads.select(path_stem(F.col("path")).alias("submission_id")).distinct()
 
