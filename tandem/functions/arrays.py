@@ -85,11 +85,12 @@ def argument_list(tokens: Column) -> Column:
     """Arguments as ``(type, name)``; no arguments give one ``(None, None)``."""
 
     def one(arg):
-        marks = F.array_join(F.regexp_extract_all(arg, F.lit(r"\[ \]"), F.lit(0)), " ")
+        marks = F.when(F.contains(arg, F.lit("[ ]")), F.array_join(
+            F.regexp_extract_all(arg, F.lit(r"\[ \]"), F.lit(0)), " ")).otherwise(F.lit(""))
 
         def split_name(m):
             bare = F.when(m != "", F.replace(arg, m, F.lit(""))).otherwise(arg)
-            return bind(F.split(F.regexp_replace(F.trim(bare), " +", " "), " "), lambda bits: F.struct(
+            return bind(F.split(F.trim(bare), " +"), lambda bits: F.struct(
                 F.array_join(F.concat(F.slice(bits, F.lit(1), F.size(bits) - 1), F.array(m)), " ").alias("type"),
                 F.element_at(bits, -1).alias("name")))
 

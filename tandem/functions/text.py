@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space as str.split() sees it, written for Java and RE2 alike.
-SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
 
 # Docstring token pattern.
 DOCSTRING = (

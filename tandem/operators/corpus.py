@@ -122,7 +122,8 @@ def build_vocabulary(df: DataFrame, tokens: str, min_count: int = 2) -> DataFram
     Ids come from counts per (count, first character, second character): no sort
     over the whole vocabulary in one task.
     """
-    counts = (df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
+    counts = (df.select(F.explode_outer(tokens).alias("token")).filter(F.col("token").isNotNull())
+              .groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
               .filter(F.col("cnt") >= min_count)
               .withColumn("__c", -F.col("cnt")).withColumn("__a", F.substring("token", 1, 1))
               .withColumn("__b", F.substring("token", 2, 1)))
@@ -133,13 +134,11 @@ def build_vocabulary(df: DataFrame, tokens: str, min_count: int = 2) -> DataFram
 def numericalize(df: DataFrame, row_id: str, tokens: str, vocab: DataFrame) -> DataFrame:
     """Token ids in order, out-of-vocabulary tokens as ``UNKNOWN``.
 
-    Tokens are counted per row before the lookup, so a frequent token is looked up
-    once per row, and positions travel with it.
+    A vocabulary under the broadcast threshold is looked up in place. A larger one is
+    joined by token, where adaptive execution splits the partition of a frequent token.
     """
-    places = df.select(row_id, F.posexplode(tokens).alias("pos", "token")).groupBy(row_id, "token").agg(
-        F.collect_list("pos").alias("at"))
-    found = places.join(vocab.select("token", "token_id"), "token", "left").select(
-        row_id, F.transform("at", lambda p: F.struct(
-            p.alias("pos"), F.coalesce(F.col("token_id"), F.lit(UNKNOWN)).alias("id"))).alias("cells"))
-    ids = found.groupBy(row_id).agg(F.array_sort(F.flatten(F.collect_list("cells"))).alias("cells"))
+    cells = df.select(row_id, F.posexplode_outer(tokens).alias("pos", "token")).filter(F.col("token").isNotNull())
+    found = cells.join(vocab.select("token", "token_id"), "token", "left").select(
+        row_id, F.struct("pos", F.coalesce(F.col("token_id"), F.lit(UNKNOWN)).alias("id")).alias("cell"))
+    ids = found.groupBy(row_id).agg(F.array_sort(F.collect_list("cell")).alias("cells"))
     return ids.select(row_id, F.transform("cells", lambda c: c["id"]).alias("ids"))

@@ -56,7 +56,7 @@ def brace_text(code: Column) -> Column:
 
 def reindent_braces(df: DataFrame, row_id: str, code: str) -> DataFrame:
     """Tokenized brace code as indented text, two blanks a level."""
-    lines = df.select(row_id, F.posexplode(F.split(brace_text(F.col(code)), "NEW_LINE")).alias("pos", "raw"))
+    lines = df.select(row_id, F.posexplode_outer(F.split(brace_text(F.col(code)), "NEW_LINE")).alias("pos", "raw"))
     lines = lines.withColumn("line", strip(F.col("raw")))
     closes, opens = F.startswith("line", F.lit("CB_")), F.endswith("line", F.lit("OB_"))
     lines = lines.withColumn("delta", F.when(closes, -1).when(opens, 1).otherwise(0))
@@ -80,7 +80,7 @@ def _python_literals(text: Column) -> Column:
 def reindent_blocks(df: DataFrame, row_id: str, code: str) -> DataFrame:
     """Tokenized Python as indented text, four blanks a level."""
     start = replace_all(F.col(code), [("ENDCOM", "NEW_LINE"), ("▁", "SPACETOKEN")])
-    lines = df.select(row_id, F.posexplode(F.split(start, "NEW_LINE")).alias("pos", "raw"))
+    lines = df.select(row_id, F.posexplode_outer(F.split(start, "NEW_LINE")).alias("pos", "raw"))
     lines = lines.withColumn("line", strip(F.col("raw")))
     deeper, back = F.startswith("line", F.lit("INDENT ")), F.startswith("line", F.lit("DEDENT"))
     steps = F.size(F.split("line", "DEDENT")) - 1

@@ -2,7 +2,8 @@
 
 Sentences arrive as token arrays, one pair per row. Rows are placed by pair key once,
 *before* the n-grams are exploded: the text moves, the roughly eight times larger
-n-gram table does not, and both group-bys reuse that placement.
+n-gram table does not, and both group-bys reuse that placement. The outer generators keep
+Spark from testing ``size(array) > 0`` below them, which would build every array twice.
 """
 from __future__ import annotations
 
@@ -31,7 +32,8 @@ def ngram_counts(df: DataFrame, keys: Sequence[str], tokens: str, max_n: int = 4
     for n in range(1, max_n + 1):
         t = pad_ends(F.col(tokens), n, left, right) if (left or right) else F.col(tokens)
         arrays += _grams(t, [n])
-    rows = placed(df.select(*keys, tokens), keys).select(*keys, F.inline(F.concat(*arrays)))
+    rows = placed(df.select(*keys, tokens), keys).select(*keys, F.inline_outer(F.concat(*arrays)))
+    rows = rows.filter(F.col("n").isNotNull())
     return rows.groupBy(*keys, "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -45,7 +47,7 @@ def bag_rows(pairs: DataFrame, keys: Sequence[str], hyp: str, ref: str, max_n: i
     lengths = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("gram"),
                                F.size(h).alias("h"), F.size(r).alias("r")))
     arrays = [lengths, *_grams(h, orders, h=one, r=none), *_grams(r, orders, h=none, r=one)]
-    rows = placed(pairs.select(*keys, hyp, ref), keys).select(*keys, F.inline(F.concat(*arrays)))
+    rows = placed(pairs.select(*keys, hyp, ref), keys).select(*keys, F.inline_outer(F.concat(*arrays)))
     return rows.groupBy(*keys, "n", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
 
 
@@ -72,7 +74,8 @@ def multi_ref_bags(hyps: DataFrame, refs: DataFrame, keys: Sequence[str], hyp: s
         refs.select(*keys, F.col(ref_no).cast("long").alias("ref_no"), F.col(ref).alias("t")))
     arrays = _grams(F.col("t"), range(1, max_n + 1))
     counts = (
-        placed(tagged, [*keys, "ref_no"]).select(*keys, "ref_no", F.inline(F.concat(*arrays)))
+        placed(tagged, [*keys, "ref_no"]).select(*keys, "ref_no", F.inline_outer(F.concat(*arrays)))
+        .filter(F.col("n").isNotNull())
         .groupBy(*keys, "ref_no", "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
     )
     is_hyp = F.col("ref_no") < 0

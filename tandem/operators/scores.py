@@ -217,6 +217,13 @@ def composite(metrics: DataFrame, weights: dict[str, float], by: Sequence[str] =
         F.sum(F.coalesce(F.try_element_at(table, F.col("metric")), F.lit(0.0)) * F.col("value")).alias("composite"))
 
 
+def report(metrics: DataFrame, names: Sequence[str], weights: dict[str, float]) -> DataFrame:
+    """A one-row-per-metric table with the weighted ``composite`` added, in one pass."""
+    wide = metrics.groupBy().agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in names])
+    whole = _sum([F.lit(w) * F.col(m) for m, w in weights.items()])
+    return wide.withColumn("composite", whole).unpivot([], [*names, "composite"], "metric", "value")
+
+
 def tidy(df: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     return df.unpivot(list(ids), list(metrics), "metric", "value")
 

@@ -18,7 +18,7 @@ def _marked(df: DataFrame, row_id: str, tokens: str, keep: Sequence[str]) -> Dat
         F.col(tokens), i - 1).alias("t1"), F.get(F.col(tokens), i - 2).alias("t2"),
         F.get(F.col(tokens), i - 3).alias("t3"), F.get(F.col(tokens), i + 1).alias("next")))
     few = F.filter(cells, lambda c: c["tok"].isin(list(keep)))
-    return df.select(row_id, F.size(tokens).alias("n"), F.inline(few))
+    return df.select(row_id, F.size(tokens).alias("n"), F.inline_outer(few)).filter(F.col("pos").isNotNull())
 
 
 def _cut(df: DataFrame, spans: DataFrame, row_id: str, tokens: str) -> DataFrame:
@@ -144,7 +144,7 @@ def merge_edges(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
 def alpha_rename(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Variables become ``var_i`` by first appearance, the parents of an edge before its variable."""
     names = F.concat(F.col("parents"), F.array("var"))
-    uses = edges.select(*keys, "pos", "rel", F.posexplode(names).alias("slot", "name"))
+    uses = edges.select(*keys, "pos", "rel", F.posexplode_outer(names).alias("slot", "name"))
     first = uses.groupBy(*keys, "name").agg(F.min(F.col("pos").cast("long") * (1 << 20) + F.col("slot")).alias("at"))
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("at")) - 1
     fresh = first.select(*keys, "name", F.concat(F.lit("var_"), number).alias("fresh"))

@@ -64,7 +64,7 @@ SELECT doc_id, regexp_extract(block, '[^\n]*\S[^\n]*') AS head FROM s WHERE rege
 def block_first_member(spark, sf):
     text = F.regexp_replace("text", r"[.]\n", ".\n\n \n")
     heads = F.transform(R.block_lines(text), lambda xs: xs[0])
-    return docs(spark, sf).select("doc_id", F.explode(heads).alias("head"))
+    return docs(spark, sf).select("doc_id", F.explode_outer(heads).alias("head")).filter(F.col("head").isNotNull())
 
 
 @query("split_id_code", """SELECT doc_id::VARCHAR AS id,

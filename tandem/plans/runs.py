@@ -163,7 +163,7 @@ PY_ENDINGS = [*E.PYTHON_CLASSES, "killed"]
 
 def messages(spark, sf, endings):
     """One message per document line; the line length picks the ending, every fourth line is no error."""
-    line = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    line = table(spark, sf, "documents").select("doc_id", F.explode_outer(F.split("text", "\n")).alias("line"))
     n = F.length("line")
     head = F.when(n % 4 == 0, F.lit("failure : ")).otherwise(F.lit(E.PREFIX))
     tail = F.get(F.array(*[F.lit(e) for e in endings]), n % len(endings))
@@ -233,7 +233,7 @@ CORPUS_RULES = [
 c AS (SELECT doc_id, {_case_sql(CORPUS_RULES)} AS class FROM lines)
 SELECT class, count(*) AS n, count(DISTINCT doc_id) AS docs FROM c GROUP BY class""")
 def classify_rules(spark, sf):
-    line = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    line = table(spark, sf, "documents").select("doc_id", F.explode_outer(F.split("text", "\n")).alias("line"))
     c = line.select("doc_id", E.classify(F.col("line"), CORPUS_RULES).alias("class"))
     # per document first, so that the distinct count is a plain sum
     per_doc = c.groupBy("class", "doc_id").agg(F.count(F.lit(1)).alias("n"))

@@ -211,7 +211,7 @@ def subtree_items(spark, sf):
     shape = F.transform(F.col("t"), lambda w, i: F.struct(F.concat(
         F.lit("("), F.length(w), F.lit(" "), F.coalesce(F.length(F.get(F.col("t"), i + 1)), F.lit(0)),
         F.lit(")")).alias("sexp"), (i % 7 + 1).alias("depth")))
-    return t.select(*PAIR, "side", F.inline(shape))
+    return t.select(*PAIR, "side", F.inline_outer(shape)).filter(F.col("sexp").isNotNull())
 
 
 _SIDES = f"""sides AS (SELECT conv_id, turn, 'hyp' AS side, {V.sql_words("hyp")} AS t FROM pairs
@@ -250,7 +250,7 @@ def edge_items(spark, sf):
                         F.transform(F.concat(far, near), lambda x: F.regexp_replace(x, "[.,]+$", "")).alias("parents"),
                         F.concat(at2, at).alias("parent_pos"))
 
-    return t.select(*PAIR, "side", F.inline(F.transform(F.col("t"), edge)))
+    return t.select(*PAIR, "side", F.inline_outer(F.transform(F.col("t"), edge))).filter(F.col("pos").isNotNull())
 
 
 SQL_EDGES = f"""esides AS (SELECT conv_id, turn, 'hyp' AS side, {V.sql_words("lower(hyp)")} AS t FROM pairs
@@ -277,12 +277,15 @@ def edge_bag_overlap(spark, sf):
     return o.select("matched", "total", r6(S.overlap_score(1.0), "score"))
 
 
-def component_scores(spark, sf):
-    """The four components as a tidy table; each branch ends in one row."""
-    p = V.token_pairs(spark, sf)
-    sums = S.corpus_stats(G.match_stats(p, PAIR, keywords=KEYWORDS), weighted=True)
-    text = S.tidy(sums.select(S.bleu_epsilon().alias("ngram"), S.bleu_recall().alias("weighted_ngram")),
-                  [], ["ngram", "weighted_ngram"])
+TEXT_METRICS = {"ngram": S.bleu_epsilon, "weighted_ngram": S.bleu_recall}
+QUARTERS = {m: 0.25 for m in ("ngram", "weighted_ngram", "syntax", "dataflow")}
+
+
+def component_scores(spark, sf, **more):
+    """The four components, and any further text scores, as a tidy table; each branch ends in one row."""
+    stats = G.match_stats(V.token_pairs(spark, sf), PAIR, keywords=KEYWORDS)
+    texts = {m: f() for m, f in TEXT_METRICS.items()} | more
+    text = S.tidy(S.corpus_stats(stats, weighted=True).select(*[c.alias(m) for m, c in texts.items()]), [], list(texts))
     tree = S.overlap(subtree_items(spark, sf), PAIR, ["sexp"], membership=True).select(
         F.lit("syntax").alias("metric"), S.overlap_score().alias("value"))
     flow = S.overlap(edge_items(spark, sf), PAIR, ["var", "rel", "parents"]).select(
@@ -298,8 +301,7 @@ SELECT round(0.25 * {V.sql_epsilon()} + 0.25 * {V.sql_recall()}
   + 0.25 * (SELECT matched / total FROM treesum) + 0.25 * (SELECT matched / total FROM edgesum), 6) AS composite
 FROM corpus""")
 def composite_score(spark, sf):
-    c = S.composite(component_scores(spark, sf),
-                    {"ngram": 0.25, "weighted_ngram": 0.25, "syntax": 0.25, "dataflow": 0.25})
+    c = S.composite(component_scores(spark, sf), QUARTERS)
     return c.select(r6(F.col("composite"), "composite"))
 
 
@@ -341,16 +343,12 @@ SELECT metric, round(value, 2) AS value FROM (
   UNION ALL SELECT 'MOSES', {V.sql_plain()} FROM corpus)""")
 def metric_report(spark, sf):
     """The flagship report: every corpus metric of the conversation pairs."""
-    sums = S.corpus_stats(G.match_stats(V.token_pairs(spark, sf), PAIR))
-    text = S.tidy(sums.select((100 * S.bleu_smoothed()).alias("BLEU"), S.bleu_plain().alias("MOSES")),
-                  [], ["BLEU", "MOSES"])
+    parts = component_scores(spark, sf, BLEU=S.bleu_smoothed(), MOSES=S.bleu_plain() / 100)
+    parts = parts.select("metric", (100 * F.col("value")).alias("value"))
     em = V.pairs(spark, sf).agg(S.exact_match(F.col("hyp"), F.col("ref")).alias("value")).select(
         F.lit("EM").alias("metric"), "value")
-    parts = component_scores(spark, sf).select("metric", (100 * F.col("value")).alias("value"))
-    whole = S.composite(parts, {m: 0.25 for m in ("ngram", "weighted_ngram", "syntax", "dataflow")})
-    whole = whole.select(F.lit("composite").alias("metric"), F.col("composite").alias("value"))
-    return (text.unionByName(em).unionByName(parts).unionByName(whole)
-            .select("metric", F.round("value", 2).alias("value")))
+    names = ["EM", "BLEU", "MOSES", *QUARTERS]
+    return S.report(parts.unionByName(em), names, QUARTERS).select("metric", F.round("value", 2).alias("value"))
 
 
 # ---- bags -----------------------------------------------------------------

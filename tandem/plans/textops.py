@@ -139,7 +139,7 @@ def strip_directives(spark, sf):
 # ---- signatures: each document line becomes one function, its words the arguments ----
 
 def signatures(spark, sf):
-    line = docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    line = docs(spark, sf).select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("no", "line"))
     args = F.array_join(F.transform(X.words(F.regexp_replace("line", "[(),]", "")), lambda w, i: F.when(
         i % 3 == 0, F.concat(F.lit("int [ ] "), w)).otherwise(F.concat(F.lit("String "), w))), " , ")
     code = F.concat(F.lit("static int f"), "no", F.lit(" ( "), args, F.lit(" ) { return g ( 1 ) ; }"))
