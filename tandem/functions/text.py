@@ -136,6 +136,11 @@ def nl_tokens(c: Column) -> Column:
     return mteval_tokens(F.array_join(word_marks(F.lower(strip(c))), " "))
 
 
+def parse_flag(c: Column) -> Column:
+    """Boolean from off/false/0 and on/true/1 in any case; null for anything else."""
+    return F.when(F.lower(c).isin("off", "false", "0"), False).when(F.lower(c).isin("on", "true", "1"), True)
+
+
 # ---- strings and comments -------------------------------------------------
 
 def escape_blanks(c: Column) -> Column:

@@ -11,17 +11,27 @@ from tandem.functions.hashing import state, uniform
 from tandem.scale import attach, ranked
 
 
+BLOCKS = ["__block", "__subblock"]
+
+
+def _id_blocks(df: DataFrame, row_id: str, size: int = 4096) -> DataFrame:
+    """Two levels of id blocks, so that neither has many blocks per level nor many rows per block."""
+    return (df.withColumn("__block", F.floor(F.col(row_id) / (size * size)))
+            .withColumn("__subblock", F.floor(F.col(row_id) / size)))
+
+
 def batch_order(df: DataFrame, row_id: str, src_len: str, tgt_len: str, seed: int | None = None,
                 cells: int = 1024) -> DataFrame:
     """Dense ``position`` by source length, then target length, then a seeded draw
     (or the row id, without ``seed``)."""
     if seed is None:
-        draw, cell = F.col(row_id).cast("double"), F.floor(F.col(row_id) / 65536)
+        marked = _id_blocks(df.withColumn("__u", F.lit(0)), row_id)
+        cell = BLOCKS
     else:
-        draw = uniform(seed, F.col(row_id))
-        cell = F.floor(draw * cells)
-    marked = df.withColumn("__u", draw).withColumn("__cell", cell)
-    return ranked(marked, [], [src_len, tgt_len, "__cell"], ["__u", row_id], "position").drop("__u", "__cell")
+        marked = df.withColumn("__u", uniform(seed, F.col(row_id)))
+        marked = marked.withColumn("__cell", F.floor(F.col("__u") * cells))
+        cell = ["__cell"]
+    return ranked(marked, [], [src_len, tgt_len, *cell], ["__u", row_id], "position").drop("__u", *cell)
 
 
 def batches(df: DataFrame, size: int, position: str = "position") -> DataFrame:
@@ -39,15 +49,18 @@ def length_buckets(df: DataFrame, length: str, n: int, name: str = "bucket") ->
 
     Exact, from the histogram of lengths: its windows see one row per distinct length.
     """
+    # the join is with at most n bounds
     hist = df.groupBy(length).agg(F.count(F.lit(1)).alias("cnt"))
     upto = Window.orderBy(length).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = F.sum("cnt").over(Window.partitionBy())
     hist = hist.withColumn("hi", F.sum("cnt").over(upto)).withColumn("total", total)
     ranks = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.floor(i * (F.col("total") - 1) / n))
     bound = F.exists(ranks, lambda r: (r >= F.col("hi") - F.col("cnt")) & (r < F.col("hi")))
-    down = Window.orderBy(F.desc(length)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    table = hist.withColumn("b", F.when(bound, F.col(length))).select(length, F.min("b").over(down).alias(name))
-    return attach(df, table, [length])
+    bounds = hist.filter(bound).select(F.col(length).alias(name))
+    below = F.coalesce(F.lag(name).over(Window.orderBy(name)), F.lit(-1))
+    bounds = bounds.withColumn("__below", below)
+    return df.join(F.broadcast(bounds), (F.col(length) > F.col("__below")) & (F.col(length) <= F.col(name))).drop(
+        "__below")
 
 
 def pad_batch(df: DataFrame, tokens: str, symbol: Column, left: bool) -> DataFrame:
@@ -77,8 +90,8 @@ def batch_table(df: DataFrame, row_id: str, src: str, tgt: str, symbol: Column)
 
 def alignment_weights(df: DataFrame, keys: Sequence[str], tgt: str) -> DataFrame:
     """Weight of an alignment: one over the number sharing its target."""
-    n = df.groupBy(*keys, tgt).agg(F.count(F.lit(1)).alias("__n"))
-    return attach(df, n, [*keys, tgt]).withColumn("weight", 1 / F.col("__n")).drop("__n")
+    # a group holds tokens of one sentence, so a window is safe
+    return df.withColumn("weight", 1 / F.count(F.lit(1)).over(Window.partitionBy(*keys, tgt)))
 
 
 # ---- mixing data sets -----------------------------------------------------
@@ -96,18 +109,19 @@ def upsample_concat(primary: DataFrame, others: Sequence[DataFrame], times: int)
     return out
 
 
-def round_robin_zip(df: DataFrame, lang: str, langs: Sequence[str], row_id: str, block: int = 4096) -> DataFrame:
+def round_robin_zip(df: DataFrame, lang: str, langs: Sequence[str], row_id: str) -> DataFrame:
     """``step, lang, row``: at every step one row of each data set, shorter ones starting over.
 
     The steps are the row numbers of the longest data set, so they are as spread out as its rows.
     """
-    placed = ranked(df.select(lang, row_id).withColumn("__block", F.floor(F.col(row_id) / block)),
-                    [lang], ["__block"], [row_id], "pos").select(lang, row_id, "pos")
-    sizes = df.groupBy(lang).agg(F.count(F.lit(1)).alias("n"))
-    longest = sizes.orderBy(F.desc("n"), lang).limit(1).select(lang)
+    rows = df.select(lang, row_id).filter(F.col(lang).isin(list(langs)))
+    placed = ranked(_id_blocks(rows, row_id), [lang], BLOCKS, [row_id], "pos").select(lang, row_id, "pos")
+    # one row per given language: a proven bound for the two broadcasts
+    sizes = rows.groupBy(lang).agg(F.count(F.lit(1)).alias("n"))
+    longest = F.broadcast(sizes.orderBy(F.desc("n"), lang).limit(1).select(lang))
     steps = placed.join(longest, lang, "left_semi").select(F.col("pos").alias("step"))
     wanted = steps.withColumn(lang, F.explode(F.array(*[F.lit(x) for x in langs])))
-    wanted = attach(wanted, sizes, [lang]).select("step", lang, (F.col("step") % F.col("n")).alias("pos"))
+    wanted = wanted.join(F.broadcast(sizes), lang).select("step", lang, (F.col("step") % F.col("n")).alias("pos"))
     return attach(wanted, placed, [lang, "pos"]).select("step", lang, F.col(row_id).alias("row"))
 
 
@@ -119,8 +133,11 @@ def sampling_probs(df: DataFrame, lang: str, coefficient: float) -> DataFrame:
     return raised.select(lang, "n", (F.col("w") / F.sum("w").over(everything)).alias("p"))
 
 
-def weighted_draw(rows: DataFrame, row_id: str, probs: DataFrame, lang: str, seed: int, name: str = "drawn") -> DataFrame:
-    """Draw one language per row; the table of languages is tiny and matched by range."""
+def weighted_draw(rows: DataFrame, row_id: str, probs: DataFrame, lang: str, langs: Sequence[str], seed: int,
+                  name: str = "drawn") -> DataFrame:
+    """Draw one of ``langs`` per row; their table has one row each and is matched by range."""
+    probs = probs.filter(F.col(lang).isin(list(langs)))
+    probs = probs.select(lang, (F.col("p") / F.sum("p").over(Window.partitionBy())).alias("p"))
     w = Window.orderBy(lang)
     upto = F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     last = F.lead(lang).over(w).isNull()
@@ -129,7 +146,7 @@ def weighted_draw(rows: DataFrame, row_id: str, probs: DataFrame, lang: str, see
     edges = edges.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy(name)), F.lit(0.0)))
     u = uniform(seed, F.col(row_id))
     drawn = rows.withColumn("__u", u)
-    return drawn.join(edges, (F.col("__u") >= F.col("lo")) & (F.col("__u") < F.col("hi"))).drop("__u", "lo", "hi")
+    return drawn.join(F.broadcast(edges), (F.col("__u") >= F.col("lo")) & (F.col("__u") < F.col("hi"))).drop("__u", "lo", "hi")
 
 
 def other_lang(lang: Column, langs: Sequence[str], seed: int, row_id: Column) -> Column:
@@ -138,10 +155,10 @@ def other_lang(lang: Column, langs: Sequence[str], seed: int, row_id: Column) ->
     return F.get(rest, F.pmod(state(seed, row_id), F.size(rest)).cast("int"))
 
 
-def every_kth(df: DataFrame, lang: str, row_id: str, k: int, block: int = 4096) -> DataFrame:
+def every_kth(df: DataFrame, lang: str, row_id: str, k: int) -> DataFrame:
     """Every ``k``-th row of each language in id order."""
-    placed = ranked(df.withColumn("__block", F.floor(F.col(row_id) / block)), [lang], ["__block"], [row_id], "pos")
-    return placed.filter((F.col("pos") + 1) % k == 0).drop("__block")
+    placed = ranked(_id_blocks(df, row_id), [lang], BLOCKS, [row_id], "pos")
+    return placed.filter((F.col("pos") + 1) % k == 0).drop(*BLOCKS)
 
 
 def concat_pair(a: Column, b: Column, a_lang: Column, b_lang: Column, reset_positions: bool) -> Column:

@@ -13,15 +13,18 @@ from tandem.scale import ranked
 def select_submissions(subs: DataFrame, meta: DataFrame, ignored: DataFrame, outliers: DataFrame,
                        representatives: DataFrame, category: str = "all") -> DataFrame:
     """Submissions outside ignored problems and outlier lists that represent their
-    cluster, optionally of one status. The lists go first: they need no metadata."""
-    kept = (subs.filter(F.length("code") > 0)
+    cluster, optionally of one status.
+
+    The lists are applied to bare ids; the code is joined once, to the ids that remain.
+    """
+    keys = ["problem_id", "submission_id"]
+    kept = (subs.select(*keys)
             .join(ignored, "problem_id", "left_anti")
             .join(outliers, "submission_id", "left_anti")
             .join(representatives, "submission_id", "left_semi"))
-    if category == "all":
-        return kept
-    return kept.join(meta.filter(F.col("status") == category).select("problem_id", "submission_id"),
-                     ["problem_id", "submission_id"], "left_semi")
+    if category != "all":
+        kept = kept.join(meta.filter(F.col("status") == category).select(*keys), keys, "left_semi")
+    return subs.filter(F.length("code") > 0).join(kept, keys, "left_semi")
 
 
 def missing_metadata(subs: DataFrame, meta: DataFrame) -> DataFrame:

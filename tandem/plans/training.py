@@ -71,14 +71,14 @@ def sampling_probs(spark, sf):
     return B.sampling_probs(docs(spark, sf), "lang", 0.7).withColumn("p", F.round("p", 6))
 
 
-@query("weighted_draw", f"""WITH {_PROBS}, r AS (SELECT lang, round(p, 4) AS p FROM probs),
+@query("weighted_draw", f"""WITH {_PROBS}, r0 AS (SELECT lang, round(p, 4) AS p FROM probs), r AS (SELECT lang, p / (SELECT sum(p) FROM r0) AS p FROM r0),
 c AS (SELECT lang, sum(p) OVER (ORDER BY lang) AS hi, row_number() OVER (ORDER BY lang DESC) = 1 AS last FROM r),
 e AS (SELECT lang, CASE WHEN last THEN 2.0 ELSE hi END AS hi, coalesce(lag(hi) OVER (ORDER BY lang), 0) AS lo FROM c),
 u AS (SELECT doc_id, {uniform_sql(11, "doc_id")} AS u FROM documents)
 SELECT doc_id, lang AS drawn FROM u JOIN e ON u >= lo AND u < hi""")
 def weighted_draw(spark, sf):
     probs = B.sampling_probs(docs(spark, sf), "lang", 0.7).withColumn("p", F.round("p", 4))
-    return B.weighted_draw(docs(spark, sf).select("doc_id"), "doc_id", probs, "lang", 11)
+    return B.weighted_draw(docs(spark, sf).select("doc_id"), "doc_id", probs, "lang", LANGS, 11)
 
 
 @query("other_lang", f"""SELECT doc_id, lang, list_filter([{_LANGS}], lambda x: x <> lang)[1 + {state_sql(5, "doc_id")} % 3] AS other FROM documents""")
