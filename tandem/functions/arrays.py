@@ -85,14 +85,15 @@ def argument_list(tokens: Column) -> Column:
     """Arguments as ``(type, name)``; no arguments give one ``(None, None)``."""
 
     def one(arg):
-        marks = F.when(F.contains(arg, F.lit("[ ]")), F.array_join(
-            F.regexp_extract_all(arg, F.lit(r"\[ \]"), F.lit(0)), " ")).otherwise(F.lit(""))
+        """Name: the last word. Type: all before it, then the array marks."""
+        has = F.contains(arg, F.lit("[ ]"))
+        marks = F.when(has, F.array_join(F.regexp_extract_all(arg, F.lit(r"\[ \]"), F.lit(0)), " ")).otherwise(F.lit(""))
 
         def split_name(m):
-            bare = F.when(m != "", F.replace(arg, m, F.lit(""))).otherwise(arg)
-            return bind(F.split(F.trim(bare), " +"), lambda bits: F.struct(
-                F.array_join(F.concat(F.slice(bits, F.lit(1), F.size(bits) - 1), F.array(m)), " ").alias("type"),
-                F.element_at(bits, -1).alias("name")))
+            bare = F.trim(F.when(m != "", F.replace(arg, m, F.lit(""))).otherwise(arg))
+            bare = F.when(F.contains(bare, F.lit("  ")), F.regexp_replace(bare, " +", " ")).otherwise(bare)
+            return bind(bare, lambda x: bind(F.substring_index(x, " ", -1), lambda name: F.struct(
+                F.concat(F.substring(x, F.lit(1), F.length(x) - F.length(name)), m).alias("type"), name.alias("name"))))
 
         return bind(marks, split_name)
 

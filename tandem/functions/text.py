@@ -223,8 +223,11 @@ def strip_directives(c: Column) -> Column:
 
 
 def is_legacy_python(c: Column) -> Column:
-    tests = [F.rlike(c, F.lit(p)) for p in LEGACY_PATTERNS] + [F.contains(c, F.lit(s)) for s in LEGACY_CALLS]
-    return reduce(lambda a, b: a | b, tests)
+    def tests(x: Column) -> Column:
+        hits = [F.contains(x, F.lit(s)) for s in LEGACY_CALLS] + [F.rlike(x, F.lit(p)) for p in LEGACY_PATTERNS]
+        return reduce(lambda a, b: a | b, hits)
+
+    return bind(c, tests)
 
 
 # Segments of source text: string literals, comments, plain runs. Possessive

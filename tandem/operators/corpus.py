@@ -52,6 +52,9 @@ def non_empty(*cols: str) -> Column:
     return cond
 
 
+REASONS = ["EMPTY", "OVER_LENGTH"]
+
+
 def length_policy(df: DataFrame, tokens: Sequence[str], texts: Sequence[str], max_len: int = 510,
                   strict: bool = False, keep_empty: bool = False) -> DataFrame:
     """Add ``reason`` (``PASS``, ``EMPTY`` or ``OVER_LENGTH``) and cut tokens to ``max_len``.
@@ -71,8 +74,9 @@ def length_policy(df: DataFrame, tokens: Sequence[str], texts: Sequence[str], ma
 
 def filter_reasons(df: DataFrame) -> DataFrame:
     """``num_filtered_<reason>`` counts, most common first."""
-    return (df.filter(F.col("reason") != "PASS").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-            .select(F.concat(F.lit("num_filtered_"), "reason").alias("reason"), "n").orderBy(F.desc("n"), "reason"))
+    names = {f"num_filtered_{r}": F.count_if(F.col("reason") == r) for r in REASONS}
+    wide = df.agg(*[c.alias(n) for n, c in names.items()])
+    return wide.unpivot([], list(names), "reason", "n").filter(F.col("n") > 0).orderBy(F.desc("n"), "reason")
 
 
 # Prefix sizes of the train, valid and test splits.

@@ -13,11 +13,17 @@ from pyspark.sql import functions as F
 from tandem.functions.text import is_legacy_python, strip_annotations, strip_directives
 
 
-def _marked(df: DataFrame, row_id: str, tokens: str, keep: Sequence[str]) -> DataFrame:
-    cells = F.transform(F.col(tokens), lambda t, i: F.struct(i.alias("pos"), t.alias("tok"), F.get(
-        F.col(tokens), i - 1).alias("t1"), F.get(F.col(tokens), i - 2).alias("t2"),
-        F.get(F.col(tokens), i - 3).alias("t3"), F.get(F.col(tokens), i + 1).alias("next")))
+def _marked(df: DataFrame, row_id: str, tokens: str, keep: Sequence[str], neighbours: bool = False) -> DataFrame:
+    """The tokens in ``keep`` with their positions and, on request, the tokens around them."""
+    cells = F.transform(F.col(tokens), lambda t, i: F.struct(i.alias("pos"), t.alias("tok")))
     few = F.filter(cells, lambda c: c["tok"].isin(list(keep)))
+    if neighbours:
+        def near(c: Column, step: int) -> Column:
+            return F.get(F.col(tokens), c["pos"] + step)
+
+        few = F.transform(few, lambda c: F.struct(
+            c["pos"].alias("pos"), c["tok"].alias("tok"), near(c, -1).alias("t1"), near(c, -2).alias("t2"),
+            near(c, -3).alias("t3"), near(c, 1).alias("next")))
     return df.select(row_id, F.size(tokens).alias("n"), F.inline_outer(few)).filter(F.col("pos").isNotNull())
 
 
@@ -37,7 +43,7 @@ def brace_spans(df: DataFrame, row_id: str, tokens: str, language: str = "java")
     its closing parenthesis. C++: an empty body does not count.
     """
     cpp = language == "cpp"
-    rows = _marked(df, row_id, tokens, ["{", "}", ";", "*/", "ENDCOM", "/*", "//"])
+    rows = _marked(df, row_id, tokens, ["{", "}", ";", "*/", "ENDCOM", "/*", "//"], neighbours=True)
     tok, pos = F.col("tok"), F.col("pos")
     thrower = "throw" if cpp else "throws"
     plain = F.col("t1") == ")"

@@ -133,8 +133,9 @@ def field_coalesce(spark, sf):
                                  F.when(k == 1, F.col("text")).alias("summary"),
                                  F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("code"),
                                  F.col("lang").alias("function"))
+    rec = rec.filter(k <= 1)  # no docstring otherwise; said on the id, so that no text is tokenized for it
     return rec.select("doc_id", C.docstring(F.col("docstring_tokens"), F.col("summary")).alias("docstring"),
-                      C.code_field(F.col("code"), F.col("function")).alias("code")).filter("docstring IS NOT NULL")
+                      C.code_field(F.col("code"), F.col("function")).alias("code"))
 
 
 @query("drop_empty_pairs", f"""WITH {V.SQL_PAIRS}, d AS (SELECT conv_id, turn,
