@@ -55,6 +55,22 @@ def corpus_stats(stats: DataFrame, by: Sequence[str] = (), max_n: int = 4, weigh
     return stats.groupBy(*by).agg(*aggs)
 
 
+def recall_stats(per_reference: DataFrame, keys: Sequence[str], by: Sequence[str] = (), max_n: int = 4) -> DataFrame:
+    """The columns ``bleu_recall`` needs, for several references per pair.
+
+    ``per_reference`` is ``match_stats`` over one row per (pair, reference): matches and
+    reference sizes add up over references, the hypothesis counts once.
+    """
+    r = F.col("ref_len")
+    sums = {"wm1": F.col("m1") + 4 * F.col("k1"), "wr1": F.greatest(r + 4 * F.col("ref_kw"), F.lit(5)), "ref_len": r}
+    for n in range(2, max_n + 1):
+        sums[f"m{n}"], sums[f"r{n}"] = F.col(f"m{n}"), F.greatest(possible(r, n), F.lit(1))
+    per_pair = per_reference.groupBy(*by, *keys).agg(
+        F.max("hyp_len").alias("hyp_len"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    return per_pair.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), F.sum("hyp_len").alias("hyp_len"),
+                                     *[F.sum(n).alias(n) for n in sums])
+
+
 def sentence_stats(stats: DataFrame, keys: Sequence[str], max_n: int = 4) -> DataFrame:
     """The same columns for each pair alone; no aggregation."""
     cols = [F.col("hyp_len"), F.col("ref_len")]

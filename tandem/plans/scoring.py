@@ -1,15 +1,13 @@
 """Registered scoring queries."""
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tandem.functions.arrays import ngrams
-from tandem.functions.text import DOCSTRING, nl_tokens, words
+from tandem.functions.text import nl_tokens, words
 from tandem.operators import ngrams as G
 from tandem.operators import scores as S
 from tandem.plans import views as V
-from tandem.plans.registry import query, table
+from tandem.plans.registry import query
 from tandem.plans.textsql import sql_nl_tokens
 
 KEYWORDS = ["la", "the", "le", "de", "and", "un", "der", "die", "of", "el"]
@@ -150,6 +148,25 @@ def bleu_weighted_recall(spark, sf):
     return c.select("pairs", r6(S.bleu_recall(), "bleu"))
 
 
+def _recall_multi_sql() -> str:
+    sums = ", ".join(f"sum(m{n})::DOUBLE AS m{n}, sum(greatest(ref_len - {n - 1}, 1))::DOUBLE AS r{n}" for n in (2, 3, 4))
+    tops = ", ".join(f"sum(m{n}) AS m{n}, sum(r{n}) AS r{n}" for n in (2, 3, 4))
+    return f"""WITH {V.SQL_MULTI_REF}, rows AS (SELECT conv_id, ref_no, array_to_string(hyp, ' ') AS hyp,
+  array_to_string(ref, ' ') AS ref FROM refs JOIN hyps USING (conv_id)),
+{V.sql_stats("rows", ["conv_id", "ref_no"], keywords=KEYWORDS)},
+pp AS (SELECT conv_id, max(hyp_len) AS hyp_len, sum(0.2 * m1 + 0.8 * k1)::DOUBLE AS wm1,
+  sum(greatest(0.2 * ref_len + 0.8 * ref_kw, 1))::DOUBLE AS wr1, {sums} FROM stats GROUP BY conv_id),
+corpus AS (SELECT count(*)::DOUBLE AS pairs, sum(hyp_len)::DOUBLE AS hyp_len, sum(wm1) AS wm1, sum(wr1) AS wr1, {tops} FROM pp)
+SELECT pairs::BIGINT AS pairs, hyp_len::BIGINT AS hyp_len, round({V.sql_recall()}, 6) AS bleu FROM corpus"""
+
+
+@query("bleu_recall_multi_ref", _recall_multi_sql())
+def bleu_recall_multi_ref(spark, sf):
+    hyps, refs = V.multi_ref(spark, sf)
+    per_ref = G.match_stats(refs.join(hyps, "conv_id"), ["conv_id", "ref_no"], keywords=KEYWORDS)
+    return S.recall_stats(per_ref, ["conv_id"]).select("pairs", "hyp_len", r6(S.bleu_recall(), "bleu"))
+
+
 _NL = " + ".join(f"ln(m{n}::DOUBLE + {a} + 2.2250738585072014e-308) - "
                  f"ln(greatest(hyp_len - {n - 1}, 0)::DOUBLE + {a} + 2.2250738585072014e-308)"
                  for n, a in ((1, 0), (2, 1), (3, 1), (4, 1)))

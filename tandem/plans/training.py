@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tandem.functions import arrays as A
-from tandem.functions.hashing import state_sql, uniform, uniform_sql
+from tandem.functions.hashing import state_sql, uniform_sql
 from tandem.functions.text import words
 from tandem.operators import batches as B
 from tandem.operators import noise as N

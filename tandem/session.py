@@ -6,8 +6,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "*", app: str = "tandem", shuffle: int = 8) -> SparkSession:
-    spark = (
+def local_session(cores: str = "*", app: str = "tandem", shuffle: int = 8,
+                  conf: dict[str, str] | None = None) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.adaptive.enabled", "true")
@@ -15,8 +16,10 @@ def local_session(cores: str = "*", app: str = "tandem", shuffle: int = 8) -> Sp
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for key, value in (conf or {}).items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -24,13 +27,16 @@ def local_session(cores: str = "*", app: str = "tandem", shuffle: int = 8) -> Sp
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Directory for ``checkpoint()``: the cluster's shared folder if one is configured.
 
-    A temporary folder is created only where nothing is set (tests, local runs).
+    A temporary folder is created only where nothing is set and the master is local.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    folder = configured or tempfile.mkdtemp(prefix="tandem-ckpt-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="tandem-ckpt-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 

@@ -9,5 +9,6 @@ from tandem.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session("8", "tests", 4)
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("checkpoints"))
+    return local_session("8", "tests", 4, {"spark.checkpoint.dir": shared})

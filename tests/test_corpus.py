@@ -124,6 +124,30 @@ def test_sinks(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "t")).collect()] == ["a b"]
 
 
+def test_more_sources_and_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "pair_id long, source string, target string")
+    W.write_pairs(df, str(tmp_path / "pairs"))
+    W.write_jsonl(df, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == spark.read.parquet(str(tmp_path / "pairs")).count() == 2
+    W.write_beams(df.withColumn("beam", F.col("pair_id")), str(tmp_path / "beams"))
+    assert spark.read.parquet(str(tmp_path / "beams")).filter("beam = 2").first().source == "c"
+    for name, n in (("train", 2), ("train1", 3), ("valid", 1)):
+        spark.range(n).write.parquet(str(tmp_path / "d" / name))
+    parts = R.numbered_splits(spark, str(tmp_path / "d"), "train").groupBy("part").count().collect()
+    assert {r.part: r["count"] for r in parts} == {0: 2, 1: 3}
+    refs = df.select("pair_id", F.col("target").alias("ref"))
+    refs.write.parquet(str(tmp_path / "r0")), refs.write.parquet(str(tmp_path / "r1"))
+    assert R.references(spark, [str(tmp_path / "r0"), str(tmp_path / "r1")]).filter("ref_no = 1").count() == 2
+    (tmp_path / "go.txt").write_text("break\n case \n")
+    assert [r.keyword for r in R.keywords(spark, str(tmp_path / "go.txt"), "go").collect()] == ["break", "case"]
+
+
+def test_checkpoint_follows_the_session(spark):
+    from tandem.session import cut_lineage, ensure_checkpoint_dir
+    assert cut_lineage(spark.range(5)).count() == 5
+    assert spark.conf.get("spark.checkpoint.dir") in ensure_checkpoint_dir(spark)
+
+
 def test_stream_counts_equal_batch(spark, tmp_path):
     rows = [(i, "a b c d".split(), ("a b c d" if i % 2 else "a x c d").split(), f"l{i % 3}") for i in range(60)]
     df = spark.createDataFrame(rows, "id long, hyp array<string>, ref array<string>, lang string")

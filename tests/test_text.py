@@ -119,6 +119,16 @@ def test_templates(spark):
     assert "return (int) f_filled_inner(Integer.valueOf(param0),param1.toCharArray());" in java
 
 
+def test_adapted_script_and_flags(spark):
+    script = "static int f_gold ( int a ) { } //TOFILL"
+    f = "static long go ( Integer a ) { return a ; }"
+    got = val(spark, P.fill_adapted(F.col("s"), F.col("f"), F.lit("go"), F.col("f"), "java"), s=script, f=f)
+    assert got.startswith("static int f_gold ( int a ) { } static long f_filled_inner ( Integer a ) { return a ; }\n\n\n"
+                          "static int f_filled(int param0)\n{\nreturn (int) f_filled_inner(Integer.valueOf(param0));\n}")
+    flags = spark.createDataFrame([("ON",), ("0",), ("maybe",)], ["s"]).select(X.parse_flag(F.col("s")).alias("x"))
+    assert [r.x for r in flags.collect()] == [True, False, None]
+
+
 def test_special_tokens(spark):
     t = F.array(*[F.lit(x) for x in "a b c d </s>".split()])
     assert val(spark, A.truncate_with_end(t, 3, F.lit("</s>"))) == ["a", "b", "</s>"]
