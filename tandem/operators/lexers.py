@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import io
+import sys
 import tokenize
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions.text import C_FAMILY_SYMBOLS, PYTHON_SYMBOLS, literal_tokens
 
+# the helpers below travel with the job; workers need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Operators of more than one character, longest first.
 OPERATORS = [">>>=", "<<=", ">>=", ">>>", "...", "->*", "::", "->", "++", "--", "&&", "||", "==", "!=", "<=", ">=",
              "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<", ">>"]
@@ -66,7 +71,7 @@ _FSTRING = {getattr(tokenize, n, None): n for n in ("FSTRING_START", "FSTRING_EN
 
 def _whole_strings(source: str) -> Iterator[tuple[int, str, tuple, tuple, str]]:
     """Token stream in which a formatted string is one STRING, as before Python 3.12."""
-    lines = source.splitlines(keepends=True)
+    lines = [x + "\n" for x in source.split("\n")]
     opened, depth = None, 0
     for tok in tokenize.generate_tokens(io.StringIO(source).readline):
         mark = _FSTRING.get(tok.type)

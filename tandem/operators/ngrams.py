@@ -52,16 +52,21 @@ def bag_rows(pairs: DataFrame, keys: Sequence[str], hyp: str, ref: str, max_n: i
 
 
 def match_stats(pairs: DataFrame, keys: Sequence[str], hyp: str = "hyp", ref: str = "ref", max_n: int = 4,
-                keywords: Sequence[str] = ()) -> DataFrame:
+                keywords: Sequence[str] | DataFrame = ()) -> DataFrame:
     """One row per pair: ``hyp_len, ref_len, m1..mN`` (clipped matches) and, with
-    ``keywords``, ``k1`` (matched keywords) and ``ref_kw`` (keywords in the reference)."""
+    ``keywords``, ``k1`` (matched keywords) and ``ref_kw`` (keywords in the reference).
+    ``keywords`` is a list, or a table with a ``keyword`` column."""
     bags = bag_rows(pairs, keys, hyp, ref, max_n)
+    listed = not isinstance(keywords, DataFrame)
+    if not listed:
+        known = keywords.select(F.col("keyword").alias("gram"), F.lit(True).alias("kw")).distinct()
+        bags = bags.join(known, "gram", "left")
     n = F.col("n")
     hit = F.least("h", "r")
     aggs = [F.max(F.when(n == 0, F.col("h"))).alias("hyp_len"), F.max(F.when(n == 0, F.col("r"))).alias("ref_len")]
     aggs += [F.sum(F.when(n == i, hit).otherwise(0)).alias(f"m{i}") for i in range(1, max_n + 1)]
-    if keywords:
-        kw = (n == 1) & F.col("gram").isin(list(keywords))
+    if not listed or keywords:
+        kw = (n == 1) & (F.col("gram").isin(list(keywords)) if listed else F.coalesce("kw", F.lit(False)))
         aggs += [F.sum(F.when(kw, hit).otherwise(0)).alias("k1"),
                  F.sum(F.when(kw, F.col("r")).otherwise(0)).alias("ref_kw")]
     return bags.groupBy(*keys).agg(*aggs)

@@ -3,14 +3,20 @@ expressions in ``functions.arrays``. Draws depend on the seed and the row id onl
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 
+# the helpers below travel with the job; workers need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 @dataclass(frozen=True)
 class SpanNoise:
     share: float = 0.15                              # part of the row to mask

@@ -123,19 +123,18 @@ _DOC_TOKENS = f"array_to_string(regexp_extract_all(text, {Q.lit(X.DOCSTRING)}),
 _SQUEEZE = f"{V.sql_strip('regexp_replace(d, {}, {}, {})'.format(Q.lit('[' + chr(10) + chr(13) + chr(9) + ' ]+'), Q.lit(' '), Q.lit('g')))}"
 
 
-@query("field_coalesce", f"""WITH f AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN array_to_string({V.sql_words("text")}, ' ')
-  WHEN 1 THEN {_DOC_TOKENS} END AS d, CASE WHEN doc_id % 2 = 0 THEN source ELSE lang END AS code FROM documents)
+@query("field_coalesce", f"""WITH f AS (SELECT doc_id, CASE lang WHEN 'en' THEN array_to_string({V.sql_words("text")}, ' ')
+  WHEN 'es' THEN NULL ELSE {_DOC_TOKENS} END AS d, CASE WHEN n_chars > 1000 THEN source ELSE lang END AS code FROM documents)
 SELECT doc_id, {_SQUEEZE} AS docstring, code FROM f WHERE d IS NOT NULL""")
 def field_coalesce(spark, sf):
-    """Every third document has tokens, every third only a summary, the rest neither."""
-    k = F.col("doc_id") % 3
-    rec = docs(spark, sf).select("doc_id", F.when(k == 0, X.words(F.col("text"))).alias("docstring_tokens"),
-                                 F.when(k == 1, F.col("text")).alias("summary"),
-                                 F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("code"),
-                                 F.col("lang").alias("function"))
-    rec = rec.filter(k <= 1)  # no docstring otherwise; said on the id, so that no text is tokenized for it
+    """English documents carry tokens, French and German ones a summary, Spanish ones neither."""
+    lang = F.col("lang")
+    rec = docs(spark, sf).select(
+        "doc_id", F.when(lang == "en", X.words(F.col("text"))).alias("docstring_tokens"),
+        F.when(lang.isin("fr", "de"), F.col("text")).alias("summary"),
+        F.when(F.col("n_chars") > 1000, F.col("source")).alias("code"), lang.alias("function"))
     return rec.select("doc_id", C.docstring(F.col("docstring_tokens"), F.col("summary")).alias("docstring"),
-                      C.code_field(F.col("code"), F.col("function")).alias("code"))
+                      C.code_field(F.col("code"), F.col("function")).alias("code")).filter("docstring IS NOT NULL")
 
 
 @query("drop_empty_pairs", f"""WITH {V.SQL_PAIRS}, d AS (SELECT conv_id, turn,

@@ -97,7 +97,14 @@ def python_source(c):
     return F.concat(F.lit('def fun(a, b):\n    """doc"""\n'), body, F.lit("\n    return x\n"))
 
 
-@query("code_tokens_py")
+_PYSTR = Q.sql_literal_tokens("('\"' || line || '\"')", X.PYTHON_SYMBOLS)
+
+
+@query("code_tokens_py", f"""WITH l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS i
+  FROM (SELECT doc_id, replace(replace(text, '"', ''), chr(92), '') AS t FROM documents))
+SELECT doc_id, 'ok' AS status, 'def fun ( a , b ) : NEW_LINE INDENT ' || string_agg('x = f ( ' || {_PYSTR} || ' ) NEW_LINE', ' ' ORDER BY i)
+  || ' return x NEW_LINE DEDENT' AS tokens, 'def fun(a, b):' || chr(10) || string_agg('    x = f("' || line || '") ', chr(10) ORDER BY i)
+  || chr(10) || '    return x' AS stripped FROM l GROUP BY doc_id""")
 def code_tokens_py(spark, sf):
     src = docs(spark, sf).select("doc_id", python_source(F.col("text")).alias("code"))
     t = Z.python_tokens(src, "doc_id", "code")

@@ -97,6 +97,16 @@ def test_weighted_recall(spark):
     assert one(s, S.bleu_recall(true_ref_len=True)) == pytest.approx(want * 2.718281828 ** (1 - 4 / 3))
 
 
+def test_keywords_from_a_file(spark, tmp_path):
+    from tandem.sources import readers as R
+    (tmp_path / "kw.txt").write_text("return\n if \nreturn\n")
+    df = spark.createDataFrame([(1, "return if x".split(), "return if y".split())],
+                               "id long, hyp array<string>, ref array<string>")
+    listed = G.match_stats(df, ["id"], keywords=["return", "if"]).first()
+    read = G.match_stats(df, ["id"], keywords=R.keywords(spark, str(tmp_path / "kw.txt"), "go")).first()
+    assert listed == read and (read.k1, read.ref_kw) == (2, 2)
+
+
 def test_overlap_rules(spark):
     items = spark.createDataFrame([(1, "hyp", "a"), (1, "ref", "a"), (1, "ref", "a"), (1, "ref", "b")],
                                   "id long, side string, item string")
