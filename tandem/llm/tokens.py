@@ -78,40 +78,62 @@ class Encoder:
         #: Words can be coded one by one only under the cutting rule above.
         self.by_word = (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
                         and pre.get("use_regex", True) and not spec.get("normalizer"))
-        self.most, self.slots = most, 4 * most
+        self.most, self.slots = most, 2 * most
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(self.slots, np.uint64)
-        self.at = np.zeros(self.slots, np.int32)
-        self.known: dict[int, int] = {}
-        self.begin, self.size = np.zeros(self.most + 1, np.int64), np.zeros(self.most + 1, np.int64)
-        self.flat, self.used = np.zeros(4 * self.most, np.uint32), 0
+        self.keys, self.at = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
+        self.begin, self.size = np.zeros(self.most, np.int64), np.zeros(self.most, np.int32)
+        self.count, self.flat, self.used = 0, np.zeros(2 * self.most, np.uint32), 0
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word in the table of hashes, or -1."""
+        out = np.full(len(hashes), -1, np.int64)
+        open_, slot = np.arange(len(hashes)), (hashes & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(open_):
+            key = self.keys[slot]
+            hit = key == hashes[open_]
+            out[open_[hit]] = self.at[slot[hit]]
+            more = ~hit & (key != 0)
+            open_, slot = open_[more], (slot[more] + 1) & (self.slots - 1)
+        return out
 
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        for enc, h in zip(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), hashes.tolist()):
-            ids, k = enc.ids, len(self.known)
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-            self.flat[self.used:self.used + len(ids)] = ids
-            self.begin[k], self.size[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[h] = k
-            slot = h & (self.slots - 1)
-            self.keys[slot], self.at[slot] = h, k
-
-    def _words(self, hashes: np.ndarray, text: str, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The number of each word among the known ones."""
+        """Code words that are not in the table, each once."""
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = [e.ids for e in coded]
+        sizes = np.array([len(x) for x in ids], np.int64)
+        total = int(sizes.sum())
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), total), np.uint32)])
+        self.flat[self.used:self.used + total] = [i for x in ids for i in x]
+        number = self.count + np.arange(len(ids))
+        self.begin[number], self.size[number] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used, self.count = self.used + total, self.count + len(ids)
         slot = (hashes & np.uint64(self.slots - 1)).astype(np.int64)
-        out = self.at[slot].astype(np.int64)
-        missed = np.flatnonzero(self.keys[slot] != hashes)
+        while len(number):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.keys[slot[won]], self.at[slot[won]] = hashes[won], number[won]
+            lost = np.ones(len(number), bool)
+            lost[won] = False
+            hashes, number, slot = hashes[lost], number[lost], (slot[lost] + 1) & (self.slots - 1)
+
+    def _words(self, hashes: np.ndarray, text: str, start: np.ndarray, end: np.ndarray) -> np.ndarray | None:
+        """The number of each word among the known ones; None if there are more new words than the table holds."""
+        out = self._find(hashes)
+        missed = np.flatnonzero(out < 0)
         if len(missed):
             new, first, back = np.unique(hashes[missed], return_index=True, return_inverse=True)
+            if len(new) > self.most:
+                return None
+            if self.count + len(new) > self.most:
+                self._clear()
+                return self._words(hashes, text, start, end)
             where = missed[first]
-            fresh = [i for i, h in enumerate(new.tolist()) if h not in self.known]
-            if fresh:
-                self._learn(new[fresh], [text[start[where[i]]:end[where[i]]] for i in fresh])
-            out[missed] = np.array([self.known[h] for h in new.tolist()], np.int64)[back]
+            self._learn(new, [text[a:b] for a, b in zip(start[where].tolist(), end[where].tolist())])
+            out[missed] = self._find(new)[back]
         return out
 
     def __call__(self, column: pa.Array) -> list[np.ndarray]:
@@ -133,13 +155,11 @@ class Encoder:
         end = np.append(start[1:], len(chars))
         hashes = span_hashes(chars + np.uint32(1), start, end)
         hashes[hashes == 0] = 1
-        if len(self.known) + len(np.unique(hashes)) > self.most:
-            if len(hashes) > self.most:
-                return [np.array(e.ids, np.uint32)
-                        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            self._clear()
         word = self._words(hashes, text, start, end)
-        sizes = self.size[word]
+        if word is None:
+            return [np.array(e.ids, np.uint32)
+                    for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = self.size[word].astype(np.int64)
         ends = np.cumsum(sizes)
         flat = self.flat[np.repeat(self.begin[word] - (ends - sizes), sizes) + np.arange(ends[-1])]
         cuts = np.concatenate([[0], ends])[np.searchsorted(start, offsets)]
