@@ -6,8 +6,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tandem.llm import pii, secrets
 from tandem.llm.decontamination import benchmark_hits
 from tandem.llm.exact_dedup import exact_groups
+from tandem.llm.language import identify, learn_profiles
 from tandem.llm.packing import pack
 from tandem.llm.sharding import hilbert_shards
 
@@ -73,6 +75,25 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+@query
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 3 == 1
+    profiles = learn_profiles(docs.where(~held_out))
+    return identify(docs.withColumn("held_out", held_out), profiles, carry=("held_out",))
+
+
+def _counts(kinds: tuple[str, ...]) -> list:
+    return [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in kinds]
+
+
+@query
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = secrets.find_secrets(docs, secrets.train(docs))
+    return found.select("doc_id", *_counts(secrets.SECRETS), "base_sha256", F.col("written").alias("spans"))
+
+
 @query
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents")).drop("row")
@@ -82,3 +103,10 @@ ORACLES["op6_exact_dedup"] = """
 SELECT doc_id, max(doc_id) OVER g keep_id, count(*) OVER g group_size, doc_id = max(doc_id) OVER g kept,
     sha256(coalesce(text, '')) text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = pii.find_pii(docs, pii.train(docs))
+    return found.select("doc_id", *_counts(pii.PII), "base_sha256", F.col("written").alias("spans"))
