@@ -12,6 +12,7 @@ from tandem.llm.exact_dedup import exact_groups
 from tandem.llm.language import identify, learn_profiles
 from tandem.llm.packing import pack
 from tandem.llm.sharding import hilbert_shards
+from tandem.llm.substring_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +111,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = pii.find_pii(docs, pii.train(docs))
     return found.select("doc_id", *_counts(pii.PII), "base_sha256", F.col("written").alias("spans"))
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(read(spark, sf_dir, "documents"), length=400)
+    return out.select("doc_id", "n_bytes", F.expr("aggregate(removed, 0L, (n, s) -> n + s.end - s.start)").alias("n_removed"),
+                      F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
