@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tandem.llm import pii, secrets
 from tandem.llm.decontamination import benchmark_hits
 from tandem.llm.exact_dedup import exact_groups
+from tandem.llm.jaccard_join import similar_groups
 from tandem.llm.language import identify, learn_profiles
 from tandem.llm.packing import pack
 from tandem.llm.sharding import hilbert_shards
@@ -106,6 +107,12 @@ SELECT doc_id, max(doc_id) OVER g keep_id, count(*) OVER g group_size, doc_id =
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
 
 
+@query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = similar_groups(read(spark, sf_dir, "documents"), n=4, threshold=0.85)
+    return out.select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+
+
 @query
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
