@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm import words as W
-from tandem.llm.common import as_bytes, bitmap, buffers, in_bitmap, ints, lists, mapped, mix, pieces, saved
+from tandem.llm.common import as_bytes, bitmap, buffers, in_bitmap, ints, lists, mapped, mix, pieces, row_key, saved
 
 _HITS = "array<struct<fp: bigint, at: int, len: int, context: array<bigint>>>"
 
@@ -65,7 +65,7 @@ def _fingerprints(w: W.Words, span: int, gram: int, short: list[int], items: boo
 
 
 def _scan(df: DataFrame, span: int, gram: int, short: list[int], items: bool, known=None) -> DataFrame:
-    """``id, n_words, hits`` per row of ``df`` (id, text)."""
+    """``id, content, n_words, hits`` per row of ``df`` (id, content, text)."""
     shared = None if known is None else df.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,10 +84,11 @@ def _scan(df: DataFrame, span: int, gram: int, short: list[int], items: bool, kn
                      pa.array(np.concatenate([np.full(len(a), n, np.int32) for _, a, n, _ in got])), context],
                     ["fp", "at", "len", "context"]).take(pa.array(order))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), ints(w.counts), lists(rows, np.bincount(doc, minlength=len(w.counts)))],
-                    ["id", "n_words", "hits"])
+                    [part.column("id"), part.column("content"), ints(w.counts),
+                     lists(rows, np.bincount(doc, minlength=len(w.counts)))], ["id", "content", "n_words", "hits"])
 
-    return mapped(df, run, f"id {df.schema['id'].dataType.simpleString()}, n_words bigint, hits {_HITS}")
+    return mapped(df, run, f"id {df.schema['id'].dataType.simpleString()}, content bigint, "
+                           f"n_words bigint, hits {_HITS}")
 
 
 def _run_lengths(around: int, gram: int) -> tuple[str, str]:
@@ -102,14 +103,14 @@ def _run_lengths(around: int, gram: int) -> tuple[str, str]:
 
 def benchmark_hits(docs: DataFrame, items: DataFrame, span: int = 10, gram: int = 5,
                    doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, n_words, spans, items``.
+    """One row per document: ``doc_id, n_words, spans, items, content``.
 
     Words are runs of letters and digits, A-Z lower-cased. A document hits an item where
     ``span`` consecutive words of it agree with the item's; an item of fewer words must
     agree as a whole. ``spans`` are the disjoint [start, end) word ranges that lie in any
     hit, in order; ``items`` the ids of the items, as strings, sorted; both empty without
     hits. Null and empty texts have no words and hit nothing; an item with a null id adds
-    spans but no id; equal rows are answered each; empty tables give no hits or an empty
+    spans but no id; equal rows are answered each; ``content`` names a row by id and text; empty tables give no hits or an empty
     result. Other columns are not read.
 
     The fingerprints of the items filter those of the documents through a bitmap of fixed
@@ -117,13 +118,14 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, span: int = 10, gram: int
     shuffled. A fingerprint that many documents hold is a hot key of a plain sort-merge
     join, which adaptive execution splits; equal contexts of items are one row of it.
     """
-    rows = items.select(F.col(item_id).cast("string").alias("id"), as_bytes(text).alias("text"))
+    rows = items.select(F.col(item_id).cast("string").alias("id"), row_key(item_id, text).alias("content"),
+                        as_bytes(text).alias("text"))
     lengths = list(range(1, span))
     found = saved(_scan(rows, span, gram, lengths, True).select("id", F.explode("hits").alias("h"))
                   .groupBy("h.fp", "h.len", "h.context")
                   .agg(F.array_sort(F.collect_set("id")).alias("ids")), "items")
     present = sorted(r[0] for r in found.where(F.size("context") == F.col("len")).select("len").distinct().collect())
-    source = docs.select(F.col(doc_id).alias("id"), as_bytes(text).alias("text"))
+    source = docs.select(F.col(doc_id).alias("id"), row_key(doc_id, text).alias("content"), as_bytes(text).alias("text"))
     scanned = saved(_scan(source, span, gram, present, False, bitmap(found, "fp"))
                     .withColumn("row", F.monotonically_increasing_id()), "documents")
     theirs = found.select("fp", "len", F.col("context").alias("theirs"), "ids")
@@ -143,7 +145,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, span: int = 10, gram: int
             "then concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).start as start, "
             "greatest(element_at(done, -1).end, x.end) as end))) else concat(done, array(x)) end)")
     merged = saved(merged.select("row", F.expr(step).alias("spans"), "items"), "hits")
-    return scanned.select(F.col("id").alias("doc_id"), "n_words", "row").join(merged, "row", "left").select(
+    return scanned.select(F.col("id").alias("doc_id"), "n_words", "row", "content").join(merged, "row", "left").select(
         "doc_id", "n_words",
         F.coalesce("spans", F.expr("cast(array() as array<struct<start: int, end: int>>)")).alias("spans"),
-        F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+        F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"), "content")

@@ -63,15 +63,15 @@ def _chunks(batch: pa.RecordBatch, cut: tuple[int, int, int], digest_bytes: int)
 
 
 def recipes(docs: DataFrame, cut: tuple[int, int, int], digest_bytes: int) -> DataFrame:
-    """``doc_id, row, sha256, recipe`` per document: ``recipe`` holds its chunks' digests end to end."""
+    """``doc_id, content, sha256, recipe`` per document: ``recipe`` holds its chunks' digests end to end."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [b"".join(d for d, _ in found) for _, _, found in _chunks(batch, cut, digest_bytes)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), batch.column("sha256"), pa.array(got, pa.binary())],
-                ["doc_id", "row", "sha256", "recipe"])
+                [batch.column("doc_id"), batch.column("content"), batch.column("sha256"), pa.array(got, pa.binary())],
+                ["doc_id", "content", "sha256", "recipe"])
 
-    return mapped(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, sha256 string, "
+    return mapped(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, content long, sha256 string, "
                              "recipe binary")
 
 
@@ -90,19 +90,19 @@ def chunk_table(docs: DataFrame, cut: tuple[int, int, int], digest_bytes: int) -
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                  cut: tuple[int, int, int] = (11, 512, 16384), digest_bytes: int = 16) -> DataFrame:
-    """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
+    """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256, content``.
 
     ``cut`` is (bits of the mean chunk length, least, most). Texts are equal when their
     bytes are; a null text equals an empty one. Of equal texts the row with the largest
     ``doc_id`` stays (a null id is smaller than any other); of rows with the same id and
-    text one stays. An empty table gives an empty result; other columns are not read.
+    text one stays. ``content`` names a row by id and text. An empty table gives an empty result; other columns are not read.
 
     Identifiers are verified: distinct chunks are grouped by digest and bytes together,
     and a digest that two chunks share counts as unproven. Documents with such a chunk
     are told apart by their SHA-256 as well; at 16 bytes of digest this does not happen.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), as_bytes(text).alias("text"),
-                         row_key(doc_id, text).alias("row"))
+                         row_key(doc_id, text).alias("content"))
     source = source.withColumn("sha256", F.sha2("text", 256))
     table = saved(recipes(source, cut, digest_bytes).withColumn("row", F.monotonically_increasing_id()), "recipes")
     distinct = chunk_table(source, cut, digest_bytes).distinct()
@@ -127,4 +127,4 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.when(one, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (one | (F.col("best.row") == F.col("row"))).alias("kept"),
-        F.col("sha256").alias("text_sha256"), F.col("row").alias("row"))
+        F.col("sha256").alias("text_sha256"), "content")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm import words as W
-from tandem.llm.common import as_bytes, bitmap, bitmap_filter, buffers, ints, lists, mapped, pieces, saved
+from tandem.llm.common import as_bytes, bitmap, bitmap_filter, buffers, ints, lists, mapped, pieces, row_key, saved
 
 _SKETCH = 20  # bits of the sketch's cells
 _MOST = 4  # the largest number of prefix matches that is asked for
@@ -94,7 +94,7 @@ def _need(size: np.ndarray, t: Fraction) -> np.ndarray:
 
 
 def _prefix_rows(docs: DataFrame, n: int, t: Fraction, levels: np.ndarray) -> DataFrame:
-    """``row, doc_id, size, digest, need, probe, tokens`` per document.
+    """``row, doc_id, content, size, digest, need, probe, tokens`` per document.
 
     ``tokens`` are the first ones in the global order, for up to ``_MOST`` matches;
     ``probe`` is the number of matches that the document chose to ask for.
@@ -132,13 +132,13 @@ def _prefix_rows(docs: DataFrame, n: int, t: Fraction, levels: np.ndarray) -> Da
                 kept = at < (plain + _MOST - 1)[doc]
                 counts = np.bincount(doc[kept], minlength=part.num_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), ints(size), pa.array(digests, pa.binary()), ints(need),
+                    [part.column("row"), part.column("doc_id"), part.column("content"), ints(size), pa.array(digests, pa.binary()), ints(need),
                      ints(probe), lists(ints(tokens[kept].view(np.int64)), counts)],
-                    ["row", "doc_id", "size", "digest", "need", "probe", "tokens"])
+                    ["row", "doc_id", "content", "size", "digest", "need", "probe", "tokens"])
 
-    return mapped(docs.select("row", "doc_id", "text"), run,
-                  f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, size long, digest binary, "
-                  "need long, probe long, tokens array<bigint>")
+    return mapped(docs.select("row", "doc_id", "content", "text"), run,
+                  f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, content long, size long, "
+                  "digest binary, need long, probe long, tokens array<bigint>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
@@ -186,12 +186,13 @@ def components(links: DataFrame) -> DataFrame:
 
 def similar_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id: str = "doc_id",
                    text: str = "text") -> DataFrame:
-    """``doc_id, size, component_id, row`` for every row of ``docs``.
+    """``doc_id, size, component_id, kept, content`` for every row of ``docs``.
 
     A document's set are its distinct shingles of ``n`` words between white space, A-Z
     lower-cased; fewer words make one shingle. Two documents are linked if their sets'
     intersection is ``threshold`` or more of their union; ``component_id`` is the least
-    ``doc_id`` that links lead to, itself included, nulls left out. Null texts and texts
+    ``doc_id`` that links lead to, itself included, nulls left out; one row of each component
+    is ``kept``, that of the least id; ``content`` names a row by id and text. Null texts and texts
     without words have an empty set and no links; equal rows are linked like others; an
     empty table gives an empty result; other columns are not read.
 
@@ -203,7 +204,7 @@ def similar_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id:
     """
     t = Fraction(str(threshold))
     source = docs.select(F.col(doc_id).alias("doc_id"), as_bytes(text).alias("text"),
-                         F.monotonically_increasing_id().alias("row"))
+                         row_key(doc_id, text).alias("content"), F.monotonically_increasing_id().alias("row"))
     kept = saved(source, "texts")  # row numbers must be the same in every pass
     levels = _levels(count_sketch(kept, n))
     rows = saved(_prefix_rows(kept, n, t, levels), "prefixes")
@@ -248,15 +249,17 @@ def similar_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id:
     candidates = saved(candidates.join(first.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
     second = saved(_verified(candidates, _sets(kept, candidates, n), t), "links")
     labels = components(first.union(second))
-    inside = (rows.join(classes.select("digest", "head"), "digest", "left")
-              .select("row", "doc_id", "size", F.coalesce("head", "row").alias("head")))
-    inside = saved(inside, "inside").join(labels.withColumnRenamed("row", "head"), "head", "left").select(
-        "row", "doc_id", "size", F.coalesce("root", "head").alias("root"))
-    inside = saved(inside, "rooted")
-    least = saved(inside.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("k"))
+    inside = saved(rows.join(classes.select("digest", "head"), "digest", "left")
+                   .select("row", "doc_id", "content", "size", F.coalesce("head", "row").alias("head")), "inside")
+    inside = saved(inside.join(labels.withColumnRenamed("row", "head"), "head", "left").select(
+        "row", "doc_id", "content", "size", F.coalesce("root", "head").alias("root")), "rooted")
+    first_id = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    least = saved(inside.groupBy("root").agg(F.min(first_id).alias("one"), F.count(F.lit(1)).alias("k"))
                   .where("k > 1").drop("k"), "least")
+    alone = F.col("one").isNull()
     return inside.join(least, "root", "left").select(
-        "doc_id", "size", F.coalesce("component_id", "doc_id").alias("component_id"), "row")
+        "doc_id", "size", F.when(alone, F.col("doc_id")).otherwise(F.col("one.doc_id")).alias("component_id"),
+        (alone | (F.col("one.row") == F.col("row"))).alias("kept"), "content")
 
 
 def _sets(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:

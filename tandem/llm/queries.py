@@ -3,10 +3,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import pii, secrets
+from tandem.llm import pii, quality, secrets
 from tandem.llm.decontamination import benchmark_hits
 from tandem.llm.exact_dedup import exact_groups
 from tandem.llm.jaccard_join import similar_groups
@@ -98,7 +98,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(read(spark, sf_dir, "documents")).drop("row")
+    return exact_groups(read(spark, sf_dir, "documents")).drop("content")
 
 
 ORACLES["op6_exact_dedup"] = """
@@ -125,3 +125,15 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(read(spark, sf_dir, "documents"), length=400)
     return out.select("doc_id", "n_bytes", F.expr("aggregate(removed, 0L, (n, s) -> n + s.end - s.start)").alias("n_removed"),
                       F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
+def site_path() -> Column:
+    """The section of a source that a document of the supplied table lies in."""
+    return F.concat_ws("/", "source", "lang")
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    models = quality.train(docs, read(spark, sf_dir, "labels"))
+    return quality.judge(docs, models, host="source", path=site_path()).drop("content")
