@@ -98,8 +98,8 @@ def fit_linear(doc: np.ndarray, feature: np.ndarray, stats: np.ndarray, gold: np
     w, b = np.zeros(x.shape[1]), np.log(good / (1 - good))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-(x @ w + b)))
-        g = np.append(x.T @ (p - gold) / n + 1e-4 * w, (p - gold).mean())
+        p = 1 / (1 + np.exp(-(x @ w.astype(np.float32) + b)))
+        g = np.append((p - gold).astype(np.float32) @ x / n + 1e-4 * w, (p - gold).mean())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         delta = 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
         w, b = w - delta[:-1], b - delta[-1]
@@ -108,7 +108,7 @@ def fit_linear(doc: np.ndarray, feature: np.ndarray, stats: np.ndarray, gold: np
     return Linear(words, w[len(chosen):], float(b), mean)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 6000, doc_id: str = "doc_id", text: str = "text",
+def train(docs: DataFrame, labels: DataFrame, most: int = 12000, doc_id: str = "doc_id", text: str = "text",
           quality: str = "quality", toxic: str = "toxic") -> tuple[Linear, Linear]:
     """Models of "not junk" and of "not toxic" from at most ``most`` labelled documents, those of least hash.
 
@@ -132,16 +132,18 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 6000, doc_id: str = "d
 
     schema = "q double, t double, features array<int>, stats array<float>"
     table = mapped(given.select("text", "q", "t"), run, schema).limit(2 * most).toArrow()
-    table = table.combine_chunks()
-    stats = np.array(table.column("stats").to_pylist(), np.float32).reshape(-1, _STATS)
-    rows = table.column("features").to_pylist()
+    held = [table.column(c).combine_chunks() for c in ("features", "stats")]
+    held = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in held]
+    stats = held[1].flatten().to_numpy().reshape(-1, _STATS)
+    every, row = held[0].flatten().to_numpy(), held[0].value_lengths().to_numpy()
+    row = np.repeat(np.arange(len(row)), row)
     models = []
     for name, good in (("q", 1.0), ("t", 0.0)):
         value = table.column(name).to_numpy()
-        known = np.flatnonzero(~np.isnan(value.astype(float)))
-        doc = np.repeat(np.arange(len(known)), [len(rows[i]) for i in known])
-        feature = np.array([f for i in known for f in rows[i]], np.int64)
-        models.append(fit_linear(doc, feature, stats[known], (value[known] == good).astype(float)))
+        known = ~np.isnan(value.astype(float))
+        of = np.cumsum(known) - 1
+        some = known[row]
+        models.append(fit_linear(of[row[some]], every[some], stats[known], (value[known] == good).astype(float)))
     return models[0], models[1]
 
 
@@ -204,7 +206,7 @@ def posteriors(scored: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, models: tuple[Linear, Linear], host: str = "source", path: Column | None = None,
-          doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
+          doc_id: str = "doc_id", text: str = "text", threshold: float = 0.6) -> DataFrame:
     """One row per document: ``doc_id, content, host, path, n_words, p, host_share, path_share, posterior, kept``.
 
     ``path`` is a column expression, the whole host where none is given; a null host or
