@@ -21,7 +21,12 @@ _GEAR = np.random.RandomState(11).randint(0, 1 << 32, 256, dtype=np.uint64).asty
 
 
 def cut_points(data: np.ndarray, offsets: np.ndarray, mean_bits: int, least: int, most: int) -> list[np.ndarray]:
-    """The ends of each text's chunks, relative to the text; none for an empty text."""
+    """The ends of each text's chunks, relative to the text; none for an empty text.
+
+    ``least`` must be 32 or more: the hash of a place reaches back 32 bytes.
+    """
+    if least < 32:
+        raise ValueError("chunks must have 32 bytes at least")
     h = _GEAR[data]
     for step in (1, 2, 4, 8, 16):  # the hash of 2s bytes from two of s bytes
         h[step:] += h[:-step] << np.uint32(step)

@@ -54,7 +54,7 @@ def word_bounds(chars: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     # An apostrophe that starts a word takes a short ending with it.
     for i in np.flatnonzero((chars == 0x27) & start):
         if i + 1 < n and not edge[i + 1] and kind[i + 1] == _LETTER:
-            tail = "".join(map(chr, chars[i + 1:i + 3][~edge[i + 1:i + 3].cumsum().astype(bool)]))
+            tail = chr(chars[i + 1]) + (chr(chars[i + 2]) if i + 2 < n and not edge[i + 2] else "")
             size = next((len(e) for e in _ENDINGS if tail.startswith(e)), 0)
             if size:
                 start[i + 1] = False
