@@ -129,7 +129,7 @@ class Tagger:
             grad["table"][d] = one_hot.T @ every.reshape(-1, 4 * h)
         return float((z - score).mean()), grad
 
-    def fit(self, ids: np.ndarray, gold: np.ndarray, epochs: int, rate: float = 0.02, batch: int = 64) -> float:
+    def fit(self, ids: np.ndarray, gold: np.ndarray, epochs: int, rate: float = 0.03, batch: int = 32) -> float:
         """Adam over shuffled batches; returns the last epoch's mean loss."""
         r, m, step, mean = np.random.RandomState(3), {k: (0.0, 0.0) for k in self.p}, 0, 0.0
         for epoch in range(epochs):
@@ -260,7 +260,7 @@ def plausible(part: str, kind: int) -> bool:
     return 12 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 9 <= len(digits) <= 15
 
 
-def train(docs: DataFrame, text: str = "text", most: int = 800, variants: int = 1000, epochs: int = 6) -> Tagger:
+def train(docs: DataFrame, text: str = "text", most: int = 800, variants: int = 1200, epochs: int = 7) -> Tagger:
     """Fit the tagger on at most ``most`` labelled windows and ``variants`` made from them."""
     windows = training_windows(docs, text, most)
     windows += labelled_variants(windows, variants)
