@@ -51,9 +51,7 @@ def template_join(attempts: DataFrame, templates: DataFrame, key: str = "problem
 
 def until_success(runs: DataFrame) -> DataFrame:
     """Attempts in beam order up to and including the first success."""
-    won = runs.filter(F.col("status") == "success").groupBy("problem_id").agg(F.min("beam").alias("__won"))
-    return attach(runs, won, ["problem_id"], "left").filter(
-        F.col("__won").isNull() | (F.col("beam") <= F.col("__won"))).drop("__won")
+    return _first_success(runs).filter("__tried").drop("__tried")
 
 
 def problem_outcome(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -95,35 +93,34 @@ def validation_accuracy(stats: DataFrame, double_count: bool = False) -> DataFra
     return stats.agg(F.round(F.avg(F.try_divide(F.col("success"), tried)), 2).alias("comp_acc"))
 
 
-def beam_grid(runs: DataFrame, beam_size: int) -> DataFrame:
-    """Every problem with every beam position: ``status : detail``, or empty where not tried."""
-    problems = runs.select("problem_id").distinct()
-    grid = problems.select("problem_id", F.explode(F.sequence(F.lit(0), F.lit(beam_size - 1))).alias("beam"))
-    text = F.concat(F.col("status"), F.lit(" : "), F.coalesce(F.replace("detail", F.lit("\n"), F.lit(" ")),
-                                                              F.lit("None")))
-    tried = until_success(runs).select("problem_id", "beam", text.alias("result"))
-    return grid.join(tried, ["problem_id", "beam"], "left").fillna("", ["result"])
+def _result() -> Column:
+    return F.concat(F.col("status"), F.lit(" : "),
+                    F.coalesce(F.replace("detail", F.lit("\n"), F.lit(" ")), F.lit("None")))
 
 
-def success_per_beam(runs: DataFrame, beam_size: int) -> DataFrame:
-    """Per beam position: successes, attempts made, attempts left out.
+def _first_success(runs: DataFrame) -> DataFrame:
+    won = runs.filter(F.col("status") == "success").groupBy("problem_id").agg(F.min("beam").alias("__won"))
+    tried = F.col("__won").isNull() | (F.col("beam") <= F.col("__won"))
+    return attach(runs, won, ["problem_id"], "left").withColumn("__tried", tried).drop("__won")
 
-    The left-out count is arithmetic; the problem x beam grid is never built.
-    """
-    tried = until_success(runs)
-    positions = F.explode(F.sequence(F.lit(0), F.lit(beam_size - 1)))
-    per_beam = tried.groupBy("beam").agg(
-        F.sum((F.col("status") == "success").cast("long")).alias("success"), F.count(F.lit(1)).alias("tried"))
-    total = runs.agg(F.count_distinct("problem_id").alias("problems")).select("problems", positions.alias("beam"))
-    out = total.join(per_beam, "beam", "left").fillna(0, ["success", "tried"])
-    return out.select("beam", "success", "tried", (F.col("problems") - F.col("tried")).alias("empty"))
+
+def beam_grid(runs: DataFrame) -> DataFrame:
+    """``status : detail`` of every attempt; empty after the problem's first success."""
+    return _first_success(runs).select("problem_id", "beam", F.when(F.col("__tried"), _result()).otherwise("").alias("result"))
+
+
+def success_per_beam(runs: DataFrame) -> DataFrame:
+    """Per beam position: successes, attempts made, attempts left out after a success."""
+    tried = F.col("__tried")
+    return _first_success(runs).groupBy("beam").agg(
+        F.sum((tried & (F.col("status") == "success")).cast("long")).alias("success"),
+        F.sum(tried.cast("long")).alias("tried"), F.sum((~tried).cast("long")).alias("empty"))
 
 
 def run_log(runs: DataFrame) -> DataFrame:
-    """All attempts of a problem in beam order (at most one per beam)."""
-    item = F.struct("beam", F.concat("status", F.lit(" : "), F.coalesce("detail", F.lit("None"))).alias("text"))
-    return until_success(runs).groupBy("problem_id").agg(
-        F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text"]).alias("log"))
+    """The lines of each problem's log: one row per attempt up to the first success, to be ordered by beam."""
+    return until_success(runs).select("problem_id", "beam", F.concat(
+        "status", F.lit(" : "), F.coalesce("detail", F.lit("None"))).alias("line"))
 
 
 def checkpoint_table(scores: DataFrame) -> DataFrame:

@@ -11,8 +11,6 @@ from tandem.plans import views as V
 from tandem.plans.registry import query, table
 from tandem.plans.textsql import lit
 
-BEAMS = 10  # beam of a run is the tens digit of props.k
-
 _KEPT = """won AS (SELECT problem_id, min(beam) AS won FROM runs WHERE status = 'success' GROUP BY 1),
 kept AS (SELECT r.* FROM runs r LEFT JOIN won w USING (problem_id) WHERE w.won IS NULL OR r.beam <= w.won)"""
 _OUTCOME = """outcomes AS (SELECT problem_id, CASE WHEN bool_or(status = 'success') THEN 'success'
@@ -40,7 +38,7 @@ def run_status(spark, sf):
     return out.select("event_id", status.alias("status"), detail.alias("detail"))
 
 
-@query("first_success_prefix", f"{_RUNS} SELECT problem_id, beam::INT AS beam, status, detail FROM kept")
+@query("first_success_prefix", f"{_RUNS} SELECT problem_id, beam, status, detail FROM kept")
 def first_success_prefix(spark, sf):
     return R.until_success(V.runs(spark, sf))
 
@@ -67,26 +65,23 @@ def comp_accuracy(spark, sf):
     return R.outcome_stats(_outcomes(spark, sf)).select("success", F.round(R.accuracy(), 6).alias("comp_acc"))
 
 
-@query("success_per_beam", f"""{_RUNS}, grid AS (SELECT unnest(range({BEAMS}))::INT AS beam)
-SELECT g.beam, count(k.beam) FILTER (status = 'success') AS success, count(k.beam) AS tried,
-  (SELECT count(*) FROM outcomes) - count(k.beam) AS empty
-FROM grid g LEFT JOIN kept k ON k.beam = g.beam GROUP BY g.beam""")
+@query("success_per_beam", f"""{_RUNS}
+SELECT beam, count(*) FILTER (won IS NULL OR beam < won OR (beam = won AND status = 'success')) AS tried,
+  count(*) FILTER (beam = won) AS success, count(*) FILTER (beam > won) AS empty
+FROM runs LEFT JOIN won USING (problem_id) GROUP BY beam""")
 def success_per_beam(spark, sf):
-    return R.success_per_beam(V.runs(spark, sf), BEAMS)
+    return R.success_per_beam(V.runs(spark, sf))
 
 
-@query("beam_result_grid", f"""{_RUNS}, grid AS (
-  SELECT problem_id, unnest(range({BEAMS}))::INT AS beam FROM outcomes)
-SELECT g.problem_id, g.beam, coalesce(k.status || ' : ' || k.detail, '') AS result
-FROM grid g LEFT JOIN kept k ON k.problem_id = g.problem_id AND k.beam = g.beam""")
+@query("beam_result_grid", f"""{_RUNS} SELECT problem_id, beam,
+CASE WHEN beam > won THEN '' ELSE status || ' : ' || detail END AS result FROM runs LEFT JOIN won USING (problem_id)""")
 def beam_result_grid(spark, sf):
-    return R.beam_grid(V.runs(spark, sf), BEAMS)
+    return R.beam_grid(V.runs(spark, sf))
 
 
-@query("run_log", f"""{_RUNS} SELECT problem_id,
-string_agg(status || ' : ' || detail, ' | ' ORDER BY beam) AS log FROM kept GROUP BY problem_id""")
+@query("run_log", f"""{_RUNS} SELECT problem_id, beam, status || ' : ' || detail AS line FROM kept""")
 def run_log(spark, sf):
-    return R.run_log(V.runs(spark, sf)).withColumn("log", F.array_join("log", " | "))
+    return R.run_log(V.runs(spark, sf))
 
 
 @query("gold_identity", f"""WITH {V.SQL_COPIES}

@@ -8,6 +8,7 @@ from tandem.operators import ngrams as G
 from tandem.operators import scores as S
 from tandem.plans import views as V
 from tandem.plans.registry import query
+from tandem.scale import placed
 from tandem.plans.textsql import sql_nl_tokens
 
 KEYWORDS = ["la", "the", "le", "de", "and", "un", "der", "die", "of", "el"]
@@ -74,27 +75,27 @@ def bleu_corpus(spark, sf):
 
 def _multi_sql() -> str:
     grams = " UNION ALL ".join(
-        f"""SELECT conv_id, {no} AS ref_no, {n} AS n, unnest(list_transform(range(1, greatest(len({c}) - {n - 2}, 1)),
+        f"""SELECT conv_id, turn, {no} AS ref_no, {n} AS n, unnest(list_transform(range(1, greatest(len({c}) - {n - 2}, 1)),
         lambda i: array_to_string(list_slice({c}, i, i + {n - 1}), ' '))) AS g FROM {src}"""
         for n in (1, 2, 3, 4) for src, c, no in (("hyps", "hyp", "-1"), ("refs", "ref", "ref_no")))
     return f"""{V.SQL_MULTI_REF}, g AS ({grams}),
-cnts AS (SELECT conv_id, ref_no, n, g, count(*) AS c FROM g GROUP BY ALL),
-bags AS (SELECT conv_id, n, g, coalesce(max(c) FILTER (ref_no < 0), 0) AS ch,
-  coalesce(max(c) FILTER (ref_no >= 0), 0) AS cr FROM cnts GROUP BY conv_id, n, g),
-hits AS (SELECT conv_id, {", ".join(f"sum(CASE WHEN n = {n} THEN least(ch, cr) ELSE 0 END)::BIGINT AS m{n}"
-                                    for n in (1, 2, 3, 4))} FROM bags GROUP BY conv_id),
-lens AS (SELECT conv_id, len(hyp) AS hyp_len, len(ref) AS rl,
-  row_number() OVER (PARTITION BY conv_id ORDER BY abs(len(ref) - len(hyp)), len(ref)) AS k
-  FROM refs JOIN hyps USING (conv_id)),
-stats AS (SELECT l.conv_id, l.hyp_len, l.rl AS ref_len, {", ".join(f"coalesce(m{n}, 0) AS m{n}" for n in (1, 2, 3, 4))},
-  0 AS k1, 0 AS ref_kw FROM lens l LEFT JOIN hits USING (conv_id) WHERE k = 1)"""
+cnts AS (SELECT conv_id, turn, ref_no, n, g, count(*) AS c FROM g GROUP BY ALL),
+bags AS (SELECT conv_id, turn, n, g, coalesce(max(c) FILTER (ref_no < 0), 0) AS ch,
+  coalesce(max(c) FILTER (ref_no >= 0), 0) AS cr FROM cnts GROUP BY conv_id, turn, n, g),
+hits AS (SELECT conv_id, turn, {", ".join(f"sum(CASE WHEN n = {n} THEN least(ch, cr) ELSE 0 END)::BIGINT AS m{n}"
+                                    for n in (1, 2, 3, 4))} FROM bags GROUP BY conv_id, turn),
+lens AS (SELECT conv_id, turn, len(hyp) AS hyp_len, len(ref) AS rl,
+  row_number() OVER (PARTITION BY conv_id, turn ORDER BY abs(len(ref) - len(hyp)), len(ref)) AS k
+  FROM refs JOIN hyps USING (conv_id, turn)),
+stats AS (SELECT l.conv_id, l.turn, l.hyp_len, l.rl AS ref_len, {", ".join(f"coalesce(m{n}, 0) AS m{n}" for n in (1, 2, 3, 4))},
+  0 AS k1, 0 AS ref_kw FROM lens l LEFT JOIN hits USING (conv_id, turn) WHERE k = 1)"""
 
 
 @query("bleu_multi_ref", f"""WITH {_multi_sql()}, {V.sql_corpus()}
 SELECT pairs::BIGINT AS pairs, ref_len::BIGINT AS ref_len, round({V.sql_epsilon()}, 6) AS bleu FROM corpus""")
 def bleu_multi_ref(spark, sf):
     hyps, refs = V.multi_ref(spark, sf)
-    c = S.corpus_stats(G.multi_ref_stats(hyps, refs, ["conv_id"]))
+    c = S.corpus_stats(G.multi_ref_stats(hyps, refs, PAIR))
     return c.select("pairs", "ref_len", r6(S.bleu_epsilon(), "bleu"))
 
 
@@ -151,11 +152,11 @@ def bleu_weighted_recall(spark, sf):
 def _recall_multi_sql() -> str:
     sums = ", ".join(f"sum(m{n})::DOUBLE AS m{n}, sum(greatest(ref_len - {n - 1}, 1))::DOUBLE AS r{n}" for n in (2, 3, 4))
     tops = ", ".join(f"sum(m{n}) AS m{n}, sum(r{n}) AS r{n}" for n in (2, 3, 4))
-    return f"""WITH {V.SQL_MULTI_REF}, rows AS (SELECT conv_id, ref_no, array_to_string(hyp, ' ') AS hyp,
-  array_to_string(ref, ' ') AS ref FROM refs JOIN hyps USING (conv_id)),
-{V.sql_stats("rows", ["conv_id", "ref_no"], keywords=KEYWORDS)},
-pp AS (SELECT conv_id, max(hyp_len) AS hyp_len, sum(0.2 * m1 + 0.8 * k1)::DOUBLE AS wm1,
-  sum(greatest(0.2 * ref_len + 0.8 * ref_kw, 1))::DOUBLE AS wr1, {sums} FROM stats GROUP BY conv_id),
+    return f"""WITH {V.SQL_MULTI_REF}, rows AS (SELECT conv_id, turn, ref_no, array_to_string(hyp, ' ') AS hyp,
+  array_to_string(ref, ' ') AS ref FROM refs JOIN hyps USING (conv_id, turn)),
+{V.sql_stats("rows", [*PAIR, "ref_no"], keywords=KEYWORDS)},
+pp AS (SELECT conv_id, turn, max(hyp_len) AS hyp_len, sum(0.2 * m1 + 0.8 * k1)::DOUBLE AS wm1,
+  sum(greatest(0.2 * ref_len + 0.8 * ref_kw, 1))::DOUBLE AS wr1, {sums} FROM stats GROUP BY conv_id, turn),
 corpus AS (SELECT count(*)::DOUBLE AS pairs, sum(hyp_len)::DOUBLE AS hyp_len, sum(wm1) AS wm1, sum(wr1) AS wr1, {tops} FROM pp)
 SELECT pairs::BIGINT AS pairs, hyp_len::BIGINT AS hyp_len, round({V.sql_recall()}, 6) AS bleu FROM corpus"""
 
@@ -163,8 +164,8 @@ SELECT pairs::BIGINT AS pairs, hyp_len::BIGINT AS hyp_len, round({V.sql_recall()
 @query("bleu_recall_multi_ref", _recall_multi_sql())
 def bleu_recall_multi_ref(spark, sf):
     hyps, refs = V.multi_ref(spark, sf)
-    per_ref = G.match_stats(refs.join(hyps, "conv_id"), ["conv_id", "ref_no"], keywords=KEYWORDS)
-    return S.recall_stats(per_ref, ["conv_id"]).select("pairs", "hyp_len", r6(S.bleu_recall(), "bleu"))
+    per_ref = G.match_stats(refs.join(hyps, PAIR), [*PAIR, "ref_no"], keywords=KEYWORDS)
+    return S.recall_stats(per_ref, PAIR).select("pairs", "hyp_len", r6(S.bleu_recall(), "bleu"))
 
 
 _NL = " + ".join(f"ln(m{n}::DOUBLE + {a} + 2.2250738585072014e-308) - "
@@ -219,42 +220,52 @@ def bleu_rollup(spark, sf):
 
 # ---- subtrees and edges ---------------------------------------------------
 
-def subtree_items(spark, sf):
-    """Tree shapes of both texts of a pair: word lengths of neighbours, depth in the line."""
-    p = V.pairs(spark, sf)
-    sides = p.select(*PAIR, F.inline(F.array(F.struct(F.lit("hyp").alias("side"), F.col("hyp").alias("text")),
+def subtree_items(p, keys=PAIR):
+    """Tree shapes of both texts of a pair: word lengths of neighbours, depth in the line.
+
+    A pair is placed by its keys before its rows are made, and stays there for its sums.
+    """
+    sides = placed(p, keys).select(*keys, F.inline(F.array(F.struct(F.lit("hyp").alias("side"), F.col("hyp").alias("text")),
                                              F.struct(F.lit("ref").alias("side"), F.col("ref").alias("text")))))
-    t = sides.select(*PAIR, "side", words(F.col("text")).alias("t"))
+    t = sides.select(*keys, "side", words(F.col("text")).alias("t"))
     shape = F.transform(F.col("t"), lambda w, i: F.struct(F.concat(
         F.lit("("), F.length(w), F.lit(" "), F.coalesce(F.length(F.get(F.col("t"), i + 1)), F.lit(0)),
         F.lit(")")).alias("sexp"), (i % 7 + 1).alias("depth")))
-    return t.select(*PAIR, "side", F.inline_outer(shape)).filter(F.col("sexp").isNotNull())
+    return t.select(*keys, "side", F.inline_outer(shape)).filter(F.col("sexp").isNotNull())
+
+
+def _by(by: str) -> tuple[str, str]:
+    return (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
 
 
-_SIDES = f"""sides AS (SELECT conv_id, turn, 'hyp' AS side, {V.sql_words("hyp")} AS t FROM pairs
-  UNION ALL SELECT conv_id, turn, 'ref', {V.sql_words("ref")} FROM pairs),
-words AS (SELECT conv_id, turn, side, unnest(t) AS w, unnest(range(len(t))) AS i,
-  unnest(list_concat(list_slice(t, 2, len(t)), ['']))  AS nx FROM sides WHERE len(t) > 0)"""
-_TREES = _SIDES + """,
-trees AS (SELECT conv_id, turn, side, '(' || length(w) || ' ' || length(nx) || ')' AS sexp FROM words),
-treebag AS (SELECT conv_id, turn, sexp, count(*) FILTER (side = 'hyp') AS h, count(*) FILTER (side = 'ref') AS r
+def trees_sql(src: str = "pairs", keys: str = "conv_id, turn", by: str = "") -> str:
+    head, tail = _by(by)
+    return f"""sides AS (SELECT {keys}, 'hyp' AS side, {V.sql_words("hyp")} AS t FROM {src}
+  UNION ALL SELECT {keys}, 'ref', {V.sql_words("ref")} FROM {src}),
+words AS (SELECT {keys}, side, unnest(t) AS w, unnest(range(len(t))) AS i,
+  unnest(list_concat(list_slice(t, 2, len(t)), ['']))  AS nx FROM sides WHERE len(t) > 0),
+trees AS (SELECT {keys}, side, '(' || length(w) || ' ' || length(nx) || ')' AS sexp FROM words),
+treebag AS (SELECT {keys}, sexp, count(*) FILTER (side = 'hyp') AS h, count(*) FILTER (side = 'ref') AS r
   FROM trees GROUP BY ALL),
-treesum AS (SELECT sum(CASE WHEN h > 0 THEN r ELSE 0 END)::BIGINT AS matched, sum(r)::BIGINT AS total FROM treebag)"""
+treesum AS (SELECT {head}sum(CASE WHEN h > 0 THEN r ELSE 0 END)::BIGINT AS matched, sum(r)::BIGINT AS total
+  FROM treebag{tail})"""
+
+
+_TREES = trees_sql()
 
 
 @query("subtree_overlap", f"""WITH {V.SQL_PAIRS}, {_TREES}
 SELECT matched, total, round(matched / total, 6) AS score FROM treesum""")
 def subtree_overlap(spark, sf):
-    o = S.overlap(subtree_items(spark, sf), PAIR, ["sexp"], membership=True)
+    o = S.overlap(subtree_items(V.pairs(spark, sf)), PAIR, ["sexp"], membership=True)
     return o.select("matched", "total", r6(S.overlap_score(), "score"))
 
 
-def edge_items(spark, sf):
+def edge_items(p, keys=PAIR):
     """Word-level edges: a word ending in a mark is copied from its neighbour, any other computed from two."""
-    p = V.pairs(spark, sf)
-    sides = p.select(*PAIR, F.inline(F.array(F.struct(F.lit("hyp").alias("side"), F.col("hyp").alias("text")),
+    sides = placed(p, keys).select(*keys, F.inline(F.array(F.struct(F.lit("hyp").alias("side"), F.col("hyp").alias("text")),
                                              F.struct(F.lit("ref").alias("side"), F.col("ref").alias("text")))))
-    t = sides.select(*PAIR, "side", words(F.lower("text")).alias("t"))
+    t = sides.select(*keys, "side", words(F.lower("text")).alias("t"))
 
     def edge(w, i):
         copied = F.rlike(w, F.lit("[.,]$"))
@@ -267,30 +278,38 @@ def edge_items(spark, sf):
                         F.transform(F.concat(far, near), lambda x: F.regexp_replace(x, "[.,]+$", "")).alias("parents"),
                         F.concat(at2, at).alias("parent_pos"))
 
-    return t.select(*PAIR, "side", F.inline_outer(F.transform(F.col("t"), edge))).filter(F.col("pos").isNotNull())
+    return t.select(*keys, "side", F.inline_outer(F.transform(F.col("t"), edge))).filter(F.col("pos").isNotNull())
 
 
-SQL_EDGES = f"""esides AS (SELECT conv_id, turn, 'hyp' AS side, {V.sql_words("lower(hyp)")} AS t FROM pairs
-  UNION ALL SELECT conv_id, turn, 'ref', {V.sql_words("lower(ref)")} FROM pairs),
-ewords AS (SELECT conv_id, turn, side, unnest(t) AS w, unnest(range(len(t)))::INT AS pos,
+def edges_sql(src: str = "pairs", keys: str = "conv_id, turn") -> str:
+    return f"""esides AS (SELECT {keys}, 'hyp' AS side, {V.sql_words("lower(hyp)")} AS t FROM {src}
+  UNION ALL SELECT {keys}, 'ref', {V.sql_words("lower(ref)")} FROM {src}),
+ewords AS (SELECT {keys}, side, unnest(t) AS w, unnest(range(len(t)))::INT AS pos,
   unnest(list_concat([''], list_slice(t, 1, len(t) - 1))) AS p1,
   unnest(list_slice(list_concat(['', ''], t), 1, len(t))) AS p2 FROM esides WHERE len(t) > 0),
-edges AS (SELECT conv_id, turn, side, pos, regexp_replace(w, '[.,]+$', '') AS var,
+edges AS (SELECT {keys}, side, pos, regexp_replace(w, '[.,]+$', '') AS var,
   CASE WHEN regexp_matches(w, '[.,]$') THEN 'comesFrom' ELSE 'computedFrom' END AS rel,
   CASE WHEN pos = 0 THEN ''
        WHEN pos = 1 OR regexp_matches(w, '[.,]$') THEN regexp_replace(p1, '[.,]+$', '')
        ELSE regexp_replace(p2, '[.,]+$', '') || ' ' || regexp_replace(p1, '[.,]+$', '') END AS parents
   FROM ewords)"""
-_EDGESUM = SQL_EDGES + """,
-edgebag AS (SELECT conv_id, turn, var, rel, parents, count(*) FILTER (side = 'hyp') AS h,
+
+
+def edge_sums_sql(src: str = "pairs", keys: str = "conv_id, turn", by: str = "") -> str:
+    head, tail = _by(by)
+    return edges_sql(src, keys) + f""",
+edgebag AS (SELECT {keys}, var, rel, parents, count(*) FILTER (side = 'hyp') AS h,
   count(*) FILTER (side = 'ref') AS r FROM edges GROUP BY ALL),
-edgesum AS (SELECT sum(least(h, r))::BIGINT AS matched, sum(r)::BIGINT AS total FROM edgebag)"""
+edgesum AS (SELECT {head}sum(least(h, r))::BIGINT AS matched, sum(r)::BIGINT AS total FROM edgebag{tail})"""
+
+
+SQL_EDGES, _EDGESUM = edges_sql(), edge_sums_sql()
 
 
 @query("edge_bag_overlap", f"""WITH {V.SQL_PAIRS}, {_EDGESUM}
 SELECT matched, total, round(CASE WHEN total = 0 THEN 1.0 ELSE matched / total END, 6) AS score FROM edgesum""")
 def edge_bag_overlap(spark, sf):
-    o = S.overlap(edge_items(spark, sf), PAIR, ["var", "rel", "parents"])
+    o = S.overlap(edge_items(V.pairs(spark, sf)), PAIR, ["var", "rel", "parents"])
     return o.select("matched", "total", r6(S.overlap_score(1.0), "score"))
 
 
@@ -303,9 +322,9 @@ def component_scores(spark, sf, **more):
     stats = G.match_stats(V.token_pairs(spark, sf), PAIR, keywords=KEYWORDS)
     texts = {m: f() for m, f in TEXT_METRICS.items()} | more
     text = S.tidy(S.corpus_stats(stats, weighted=True).select(*[c.alias(m) for m, c in texts.items()]), [], list(texts))
-    tree = S.overlap(subtree_items(spark, sf), PAIR, ["sexp"], membership=True).select(
+    tree = S.overlap(subtree_items(V.pairs(spark, sf)), PAIR, ["sexp"], membership=True).select(
         F.lit("syntax").alias("metric"), S.overlap_score().alias("value"))
-    flow = S.overlap(edge_items(spark, sf), PAIR, ["var", "rel", "parents"]).select(
+    flow = S.overlap(edge_items(V.pairs(spark, sf)), PAIR, ["var", "rel", "parents"]).select(
         F.lit("dataflow").alias("metric"), S.overlap_score(1.0).alias("value"))
     return text.unionByName(tree).unionByName(flow)
 
@@ -322,24 +341,38 @@ def composite_score(spark, sf):
     return c.select(r6(F.col("composite"), "composite"))
 
 
+BEAM = [*PAIR, "beam"]
+
+
 def beam_metrics(spark, sf):
+    """All metrics of each beam, tidy. MOSES is that of the first beam only, as reports have it."""
     b = V.beams(spark, sf)
-    t = b.select("conv_id", "beam", words(F.col("hyp")).alias("hyp"), words(F.col("ref")).alias("ref"),
-                 (F.col("hyp") == F.col("ref")).alias("same"))
-    stats = G.match_stats(t, ["conv_id", "beam"])
-    scored = S.corpus_stats(stats, ["beam"]).select(
-        "beam", (100 * S.bleu_smoothed()).alias("BLEU"), (100 * S.bleu_epsilon()).alias("ngram_match"),
-        S.bleu_plain().alias("MOSES"))
+    t = b.select(*BEAM, words(F.col("hyp")).alias("hyp"), words(F.col("ref")).alias("ref"))
+    stats = G.match_stats(t, BEAM, keywords=KEYWORDS)
+    scored = S.corpus_stats(stats, ["beam"], weighted=True).select(
+        "beam", (100 * S.bleu_smoothed()).alias("BLEU"), (100 * S.bleu_epsilon()).alias("ngram"),
+        (100 * S.bleu_recall()).alias("weighted_ngram"), F.when(F.col("beam") == 0, S.bleu_plain()).alias("MOSES"))
     em = b.groupBy("beam").agg(S.exact_match(F.col("hyp"), F.col("ref")).alias("EM"))
-    return S.tidy(scored.join(em, "beam"), ["beam"], ["EM", "BLEU", "ngram_match", "MOSES"])
+    tree = S.overlap(subtree_items(b, BEAM), BEAM, ["sexp"], ["beam"], membership=True).select(
+        "beam", (100 * S.overlap_score()).alias("syntax"))
+    flow = S.overlap(edge_items(b, BEAM), BEAM, ["var", "rel", "parents"], ["beam"]).select(
+        "beam", (100 * S.overlap_score(1.0)).alias("dataflow"))
+    wide = scored.join(em, "beam").join(tree, "beam").join(flow, "beam")
+    whole = sum(w * F.col(m) for m, w in QUARTERS.items())
+    return S.tidy(wide.withColumn("composite", whole), ["beam"], ["EM", "BLEU", "MOSES", *QUARTERS, "composite"])
 
 
-_BEAM_METRICS = f"""{V.SQL_BEAMS}, {V.sql_stats("beams", ["conv_id", "beam"])}, {V.sql_corpus(4, "beam")},
+_BEAM_METRICS = f"""{V.SQL_BEAMS}, {V.sql_stats("beams", BEAM, keywords=KEYWORDS)}, {V.sql_corpus(4, "beam")},
+{trees_sql("beams", "conv_id, turn, beam", "beam")}, {edge_sums_sql("beams", "conv_id, turn, beam", "beam")},
 em AS (SELECT beam, 100.0 * sum(CASE WHEN hyp = ref THEN 1 ELSE 0 END) / count(*) AS em FROM beams GROUP BY beam),
-wide AS (SELECT beam, em, 100 * {V.sql_smoothed()} AS bleu, 100 * {V.sql_epsilon()} AS ng, {V.sql_plain()} AS mo
-  FROM corpus JOIN em USING (beam)),
+wide AS (SELECT beam, em, 100 * {V.sql_smoothed()} AS bleu, 100 * {V.sql_epsilon()} AS ng, 100 * {V.sql_recall()} AS wn,
+  CASE WHEN beam = 0 THEN {V.sql_plain()} END AS mo, 100 * (SELECT matched / total FROM treesum t WHERE t.beam = corpus.beam) AS tree,
+  100 * (SELECT matched / total FROM edgesum e WHERE e.beam = corpus.beam) AS flow FROM corpus JOIN em USING (beam)),
 tidy AS (SELECT beam, 'EM' AS metric, em AS value FROM wide UNION ALL SELECT beam, 'BLEU', bleu FROM wide
-  UNION ALL SELECT beam, 'ngram_match', ng FROM wide UNION ALL SELECT beam, 'MOSES', mo FROM wide)"""
+  UNION ALL SELECT beam, 'ngram', ng FROM wide UNION ALL SELECT beam, 'MOSES', mo FROM wide
+  UNION ALL SELECT beam, 'weighted_ngram', wn FROM wide UNION ALL SELECT beam, 'syntax', tree FROM wide
+  UNION ALL SELECT beam, 'dataflow', flow FROM wide
+  UNION ALL SELECT beam, 'composite', 0.25 * (ng + wn + tree + flow) FROM wide)"""
 
 
 @query("metric_best_beam", f"""WITH {_BEAM_METRICS}
@@ -380,5 +413,5 @@ def bag_intersection(spark, sf):
 SELECT n, count(*) AS grams, sum(cr)::BIGINT AS total, max(cr)::BIGINT AS most FROM bags WHERE cr > 0 GROUP BY n""")
 def bag_max_merge(spark, sf):
     _, refs = V.multi_ref(spark, sf)
-    return G.bag_max_merge(refs, ["conv_id"], "ref_no", "ref").groupBy("n").agg(
+    return G.bag_max_merge(refs, PAIR, "ref_no", "ref").groupBy("n").agg(
         F.count(F.lit(1)).alias("grams"), F.sum("cnt").alias("total"), F.max("cnt").alias("most"))

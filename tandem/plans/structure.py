@@ -66,7 +66,7 @@ linked AS (SELECT conv_id, turn, side, pos FROM e WHERE n > 0 UNION SELECT conv_
 SELECT conv_id, turn, side, pos::INT AS pos, var FROM e JOIN linked USING (conv_id, turn, side, pos)""")
 def edge_prune(spark, sf):
     """Words whose length is a multiple of three lose their parents first."""
-    e = scoring.edge_items(spark, sf).withColumn(
+    e = scoring.edge_items(V.pairs(spark, sf)).withColumn(
         "parent_pos", F.when(F.length("var") % 3 == 0, F.array().cast("array<int>")).otherwise(F.col("parent_pos")))
     return S.prune_edges(e, SIDE).select(*SIDE, "pos", "var")
 
@@ -78,7 +78,7 @@ SELECT conv_id, turn, side, pos, min(var) AS var, min(rel) AS rel, coalesce(stri
 FROM x GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY conv_id, turn, side, pos"))
 def edge_merge(spark, sf):
     """Edges arrive as one row per parent and are merged again."""
-    e = scoring.edge_items(spark, sf)
+    e = scoring.edge_items(V.pairs(spark, sf))
     single = e.select(*SIDE, "pos", "var", "rel", F.explode_outer(F.arrays_zip("parents", "parent_pos")).alias("p")).select(
         *SIDE, "pos", "var", "rel", F.array_compact(F.array("p.parents")).alias("parents"),
         F.array_compact(F.array("p.parent_pos")).alias("parent_pos"))
@@ -92,7 +92,7 @@ f AS (SELECT conv_id, turn, side, name, row_number() OVER (PARTITION BY conv_id,
 SELECT conv_id, turn, side, pos, rel, string_agg('var_' || k, ' ' ORDER BY slot) AS names
 FROM u JOIN f USING (conv_id, turn, side, name) GROUP BY conv_id, turn, side, pos, rel""")
 def alpha_rename(spark, sf):
-    r = S.alpha_rename(scoring.edge_items(spark, sf), SIDE)
+    r = S.alpha_rename(scoring.edge_items(V.pairs(spark, sf)), SIDE)
     return r.select(*SIDE, "pos", "rel", F.array_join(F.concat("parents", F.array("var")), " ").alias("names"))
 
 
@@ -101,5 +101,5 @@ def alpha_rename(spark, sf):
 SELECT conv_id, turn, side, pos, var, coalesce(max(CASE WHEN def THEN pos END) OVER (PARTITION BY conv_id, turn, side, var
   ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), pos) AS def_pos FROM d""")
 def last_definition(spark, sf):
-    e = scoring.edge_items(spark, sf).select(*SIDE, "pos", "var", "rel")
+    e = scoring.edge_items(V.pairs(spark, sf)).select(*SIDE, "pos", "var", "rel")
     return S.last_definition(e, SIDE, "pos", "var", F.col("rel") == "comesFrom").select(*SIDE, "pos", "var", "def_pos")

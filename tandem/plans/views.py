@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions.text import SPACE, words
 from tandem.plans.registry import table
-from tandem.scale import attach
+from tandem.scale import attach, ranked, running_max
 
 PAIR = ["conv_id", "turn"]
 
@@ -33,27 +33,34 @@ def copies(spark: SparkSession, sf: str) -> DataFrame:
     return attach(member, rep, ["rep_id"]).select("doc_id", "rep_id", F.col("text").alias("hyp"), "ref")
 
 
-def _first_text(conv: DataFrame, role: str, name: str) -> DataFrame:
-    own = conv.filter(F.col("role") == role)
-    first = own.groupBy("conv_id").agg(F.min("turn").alias("turn"))
-    return own.join(first, PAIR).select("conv_id", F.col("text").alias(name))
+def answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every assistant turn with the user turn it answers (the last one before it), as ``conv_id, turn, ref_no, ref``."""
+    conv = table(spark, sf, "conversations")
+    asked = conv.select(*PAIR, "role", F.when(F.col("role") == "user", F.col("turn")).alias("asked"))
+    last = running_max(asked, ["conv_id"], "turn", "asked").filter(
+        (F.col("role") == "assistant") & F.col("asked").isNotNull())
+    text = conv.filter(F.col("role") == "assistant").select(*PAIR, F.col("text").alias("ref"))
+    return attach(text, last.select(*PAIR, "asked"), PAIR).select(
+        "conv_id", F.col("asked").alias("turn"), F.col("turn").alias("ref_no"), "ref")
 
 
 def multi_ref(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """First user text per conversation, and every assistant turn as a reference."""
-    conv = table(spark, sf, "conversations")
-    hyps = _first_text(conv, "user", "hyp").select("conv_id", words(F.col("hyp")).alias("hyp"))
-    refs = conv.filter(F.col("role") == "assistant").select(
-        "conv_id", F.col("turn").alias("ref_no"), words(F.col("text")).alias("ref"))
-    return hyps, refs
+    """Every user turn that is answered, and the assistant turns up to the next user turn as its references."""
+    refs = answers(spark, sf).select(*PAIR, "ref_no", words(F.col("ref")).alias("ref"))
+    user = table(spark, sf, "conversations").filter(F.col("role") == "user").select(*PAIR, words(F.col("text")).alias("hyp"))
+    return attach(user, refs.select(*PAIR).distinct(), PAIR), refs
+
+
+BEAMS = 3
 
 
 def beams(spark: SparkSession, sf: str) -> DataFrame:
-    """User turns as beams (numbered by turn) against the first assistant text."""
-    conv = table(spark, sf, "conversations")
-    hyps = conv.filter(F.col("role") == "user").select(
-        "conv_id", F.col("turn").alias("beam"), F.col("text").alias("hyp"))
-    return attach(hyps, _first_text(conv, "assistant", "ref"), ["conv_id"])
+    """Three ranked hypotheses for every answer: the turn it answers, and that without its first and its last word."""
+    user = table(spark, sf, "conversations").filter(F.col("role") == "user").select(*PAIR, F.col("text").alias("asked"))
+    both = attach(answers(spark, sf), user, PAIR)
+    parts = [F.col("asked"), F.regexp_replace("asked", f"^[^{SPACE}]*[{SPACE}]", ""),
+             F.regexp_replace("asked", f"[{SPACE}][^{SPACE}]*$", "")]
+    return both.select("conv_id", F.col("ref_no").alias("turn"), "ref", F.posexplode(F.array(*parts)).alias("beam", "hyp"))
 
 
 STATUS = ["success", "failure", "error", "timeout", "script_not_found"]
@@ -62,23 +69,19 @@ STATUS_OF = {"purchase": "success", "view": "failure", "error": "error", "click"
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
-    """One attempt per (problem, beam): the user's earliest event of that beam.
+    """One attempt per event: the beam is the event's rank among its user's, by time and id.
 
-    The beam is the tens digit of ``props.k``, so a problem has at most ten attempts
-    however many events its user has. Event id and status share one long, which keeps
-    the minimum inside a hash aggregate.
+    Ranked within hours, so a user with very many events is no single task.
     """
     events = table(spark, sf, "events")
-    k = F.get_json_object("props", "$.k").try_cast("int")
-    code = F.coalesce(*[F.when(F.col("event_type") == e, F.lit(STATUS.index(s))) for e, s in STATUS_OF.items()])
-    packed = events.select(F.col("user_id").alias("problem_id"), F.floor(k / 10).cast("int").alias("beam"),
-                           (F.col("event_id") * 8 + code).alias("packed"))
-    first = packed.groupBy("problem_id", "beam").agg(F.min("packed").alias("packed"))
-    names = F.array(*[F.lit(s) for s in STATUS])
-    event, code = F.expr("packed div 8"), F.pmod("packed", F.lit(8)).cast("int")
-    identical = (code == 0) & (event % 5 == 0)
-    return first.select("problem_id", "beam", F.get(names, code).alias("status"),
-                        F.when(identical, "identical to gold").otherwise(event.cast("string")).alias("detail"))
+    status = F.coalesce(*[F.when(F.col("event_type") == e, F.lit(s)) for e, s in STATUS_OF.items()])
+    identical = (status == "success") & (F.col("event_id") % 5 == 0)
+    tries = events.select(
+        F.col("user_id").alias("problem_id"), F.to_date("ts").alias("day"), F.hour("ts").alias("hour"), "ts", "event_id",
+        status.alias("status"),
+        F.when(identical, "identical to gold").otherwise(F.col("event_id").cast("string")).alias("detail"))
+    return ranked(tries, ["problem_id"], ["day", "hour"], ["ts", "event_id"], "beam").select(
+        "problem_id", "beam", "status", "detail")
 
 
 # ---- the same inputs in SQL ----------------------------------------------
@@ -103,27 +106,30 @@ copies AS (
   FROM documents d JOIN first_doc f ON string_split(d.text, chr(10))[1] = f.opening
   JOIN documents r ON r.doc_id = f.rep_id WHERE d.doc_id <> f.rep_id)"""
 
-SQL_BEAMS = """first_answer AS (
-  SELECT conv_id, arg_min(text, turn) AS ref FROM conversations WHERE role = 'assistant' GROUP BY 1),
-beams AS (
-  SELECT c.conv_id, c.turn AS beam, c.text AS hyp, f.ref
-  FROM conversations c JOIN first_answer f USING (conv_id) WHERE c.role = 'user')"""
-
-SQL_MULTI_REF = f"""hyps AS (
-  SELECT conv_id, {sql_words("arg_min(text, turn)")} AS hyp FROM conversations WHERE role = 'user' GROUP BY conv_id),
-refs AS (
-  SELECT conv_id, turn AS ref_no, {sql_words("text")} AS ref FROM conversations WHERE role = 'assistant')"""
-
-SQL_RUNS = """firsts AS (
-  SELECT user_id AS problem_id, (CAST(json_extract_string(props, '$.k') AS INTEGER) // 10) AS beam,
-         min(event_id) AS event_id
-  FROM events GROUP BY 1, 2),
-runs AS (
-  SELECT f.problem_id, f.beam, CASE e.event_type WHEN 'purchase' THEN 'success' WHEN 'view' THEN 'failure'
+_SQL_ANSWERS = """answers AS (
+  SELECT conv_id, asked AS turn, turn AS ref_no, text AS ref FROM (
+    SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS asked
+    FROM conversations) WHERE role = 'assistant' AND asked IS NOT NULL)"""
+
+SQL_BEAMS = f"""{_SQL_ANSWERS},
+asked AS (SELECT a.conv_id, a.ref_no AS turn, a.ref, c.text AS t FROM answers a
+  JOIN conversations c ON c.conv_id = a.conv_id AND c.turn = a.turn),
+beams AS (SELECT conv_id, turn, 0 AS beam, t AS hyp, ref FROM asked
+  UNION ALL SELECT conv_id, turn, 1, regexp_replace(t, '^[^{SPACE}]*[{SPACE}]', ''), ref FROM asked
+  UNION ALL SELECT conv_id, turn, 2, regexp_replace(t, '[{SPACE}][^{SPACE}]*$', ''), ref FROM asked)"""
+
+SQL_MULTI_REF = f"""{_SQL_ANSWERS},
+refs AS (SELECT conv_id, turn, ref_no, {sql_words("ref")} AS ref FROM answers),
+hyps AS (SELECT conv_id, turn, {sql_words("text")} AS hyp FROM conversations
+  WHERE role = 'user' AND (conv_id, turn) IN (SELECT (conv_id, turn) FROM answers))"""
+
+SQL_RUNS = """runs AS (
+  SELECT user_id AS problem_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS beam,
+         CASE event_type WHEN 'purchase' THEN 'success' WHEN 'view' THEN 'failure'
            WHEN 'error' THEN 'error' WHEN 'click' THEN 'timeout' ELSE 'script_not_found' END AS status,
-         CASE WHEN e.event_type = 'purchase' AND f.event_id % 5 = 0 THEN 'identical to gold'
-              ELSE CAST(f.event_id AS VARCHAR) END AS detail
-  FROM firsts f JOIN events e USING (event_id))"""
+         CASE WHEN event_type = 'purchase' AND event_id % 5 = 0 THEN 'identical to gold'
+              ELSE CAST(event_id AS VARCHAR) END AS detail
+  FROM events)"""
 
 
 def sql_stats(src: str, keys: list[str], max_n: int = 4, h: str = "hyp", r: str = "ref", tok=sql_words,

@@ -42,6 +42,22 @@ def ranked(
     )
 
 
+def running_max(df: DataFrame, keys: Sequence[str], order: str, value: str, block: int = 1024) -> DataFrame:
+    """Replace ``value`` by its maximum over the rows of ``keys`` up to the row, by the integer column ``order``.
+
+    Maxima of blocks of ``order`` are carried over first, so windows over rows stay
+    inside one block and the window over blocks has one row for each.
+    """
+    keys, cell = list(keys), F.floor(F.col(order) / block)
+    rows = df.withColumn("__cell", cell)
+    tops = rows.groupBy(*keys, "__cell").agg(F.max(value).alias("__top"))
+    before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*keys, "__cell", F.max("__top").over(before).alias("__before"))
+    inside = Window.partitionBy(*keys, "__cell").orderBy(order)
+    return (rows.join(tops, [*keys, "__cell"])
+            .withColumn(value, F.coalesce(F.max(value).over(inside), F.col("__before"))).drop("__cell", "__before"))
+
+
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join per-key statistics (unique on ``keys``) back to their rows.
 
@@ -52,21 +68,10 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inn
     return df.join(stats, list(keys), how)
 
 
-def placed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Place rows by ``keys`` in the session's number of shuffle partitions.
-
-    For rows that are about to be exploded: adaptive execution would size the
-    partitions by the bytes before the explosion, so their number is kept.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
-
-
-def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Spread an input that has fewer splits than the cluster has cores.
+def placed(df: DataFrame, keys: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Place rows by ``keys``; their number of partitions is adaptive execution's unless given.
 
-    Small tables sit in one row group, which one core would read and process alone.
-    Inputs of many splits are left as they are.
+    Give one where rows are about to be exploded far beyond their present size, as
+    partitions are sized by the bytes before the explosion.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < 2 * cores else df
+    return df.repartition(*keys) if partitions is None else df.repartition(partitions, *keys)

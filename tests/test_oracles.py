@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from tandem.plans.registry import QUERIES
 from tools.check import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +20,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     out = compare(spark, con, name, SF)
     assert not out.startswith("FAIL"), out

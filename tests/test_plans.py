@@ -4,6 +4,7 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from tandem.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
@@ -18,7 +19,7 @@ def plan(spark, name):
     return E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_product_joins_and_no_python(spark, name):
     text = plan(spark, name)
     assert "CartesianProduct" not in text
