@@ -1,20 +1,19 @@
-"""Span masking over token-id arrays, in Arrow batches; the simpler noises are column
-expressions in ``functions.arrays``. Draws depend on the seed and the row id only."""
+"""Span masking of token-id arrays as a column expression; the simpler noises are in ``functions.arrays``.
+
+All draws are seeded hashes of the row id and a position or number, so a row's result
+depends on nothing else and can be repeated in SQL.
+"""
 from __future__ import annotations
 
-import math
-import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
-
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-# the helpers below travel with the job; workers need not have this package installed
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from tandem.functions.hashing import state, state_sql, uniform, uniform_sql
+from tandem.functions.text import bind
 
 
 @dataclass(frozen=True)
@@ -27,58 +26,118 @@ class SpanNoise:
     first_word: int = 10
     vocab_size: int = 50000
 
+    def length_cuts(self) -> list[float]:
+        """A draw's span length is the number of these that it reaches."""
+        total = sum(self.length_weights)
+        return [round(c / total, 9) for c in accumulate(self.length_weights)][:-1]
+
+    def outcome_cuts(self) -> list[float]:
+        return [round(c, 9) for c in accumulate(self.outcome_weights)][:-1]
+
+
+def _longs() -> Column:
+    return F.array().cast("array<bigint>")
+
+
+def _lengths(budget: Column, cfg: SpanNoise, seed: int, row_id: Column) -> Column:
+    """Span lengths, drawn until they add up to the budget; the last is cut to fit."""
+    def draw(k: Column) -> Column:
+        u = uniform(seed + 1, row_id, k)
+        return sum(((u >= c).cast("bigint") for c in cfg.length_cuts()), F.lit(0).cast("bigint"))
+
+    def step(acc: Column, k: Column) -> Column:
+        left = budget - acc["sum"]
+        return F.when(left <= 0, acc).otherwise(bind(F.least(draw(k), left), lambda size: F.struct(
+            (acc["sum"] + size).alias("sum"), F.concat(acc["all"], F.array(size)).alias("all"))))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("sum"), _longs().alias("all"))
+    return F.aggregate(F.sequence(F.lit(0).cast("bigint"), budget - 1), start, step, lambda acc: acc["all"])
+
+
+def _random(cfg: SpanNoise, seed: int, low: int, *ids: Column) -> Column:
+    return (F.lit(low) + F.floor(uniform(seed, *ids) * (cfg.vocab_size - low))).cast("bigint")
+
 
-def _insert(ids: np.ndarray, count: int, cfg: SpanNoise, rng: np.random.Generator) -> np.ndarray:
-    size = len(ids) + count
-    spots = rng.permutation(size - 2)[:count] + 1
-    n_random = int((rng.random(count) < cfg.random_insert).sum())
-    out = np.empty(size, dtype=ids.dtype)
-    free = np.ones(size, dtype=bool)
-    free[spots] = False
-    out[free] = ids
-    out[spots[:n_random]] = rng.integers(cfg.first_word, cfg.vocab_size, n_random)
-    out[spots[n_random:]] = cfg.mask_id
-    return out
-
-
-def mask_row(ids: np.ndarray, cfg: SpanNoise, rng: np.random.Generator) -> np.ndarray:
-    """Mask spans up to the budget; both end marks stay. A span shrinks to its first
-    token, which is masked, kept or replaced; spans of length 0 insert a token."""
-    budget = math.ceil(len(ids) * cfg.share)
-    weights = np.asarray(cfg.length_weights, dtype=float)
-    spans = rng.choice(len(weights), size=budget, p=weights / weights.sum())
-    total = np.cumsum(spans)
-    if total[-1] > budget:
-        last = int(np.searchsorted(total, budget))
-        spans = spans[:last + 1].copy()
-        spans[last] = budget - (total[last - 1] if last else 0)
-    inserts = int((spans == 0).sum())
-    spans = spans[spans > 0]
-    out = ids.copy()
-    if len(spans):
-        starts = rng.permutation(len(ids) - 2)[:len(spans)] + 1
-        spans = spans[:len(starts)]
-        outcome = rng.choice(3, size=len(starts), p=cfg.outcome_weights)
-        out[starts[outcome == 0]] = cfg.mask_id
-        out[starts[outcome == 2]] = rng.integers(0, cfg.vocab_size, int((outcome == 2).sum()))
-        keep = np.ones(len(ids), dtype=bool)
-        for start, span in zip(starts, spans):
-            keep[start + 1:start + span] = False
-        keep[[0, -1]] = True
-        out = out[keep]
-    return _insert(out, inserts, cfg, rng) if inserts else out
+def span_masked(ids: Column, row_id: Column, cfg: SpanNoise = SpanNoise(), seed: int = 0) -> Column:
+    """``ids`` with spans masked up to the budget; both end marks stay.
+
+    Spans start at the inner places of least hash. A span shrinks to its first token,
+    which is masked, kept or replaced; a span of length 0 inserts a token somewhere inside.
+    Rows without inner tokens pass through.
+    """
+    n = F.size(ids).cast("bigint")
+    inner = F.sequence(F.lit(1).cast("bigint"), n - 2)
+
+    def place(p: Column) -> Column:
+        return F.struct(state(seed + 2, row_id, p).alias("h"), p.alias("p"))
+
+    def token(p: Column, last: Column) -> Column:
+        u, (masked, kept) = uniform(seed + 3, row_id, p), cfg.outcome_cuts()
+        own = F.get(ids, p.cast("int"))
+        changed = (F.when(u < masked, F.lit(cfg.mask_id).cast("bigint")).when(u < kept, own)
+                   .otherwise(_random(cfg, seed + 4, 0, row_id, p)))
+        return F.when(place(p) <= last, changed).otherwise(own)
+
+    def shrunk(spans: Column) -> Column:
+        used = F.least(F.size(spans).cast("bigint"), n - 2).cast("int")
+        starts = F.slice(F.array_sort(F.transform(inner, place)), F.lit(1), used)
+
+        def rest(found: Column) -> Column:
+            gone = F.flatten(F.zip_with(found, F.slice(spans, F.lit(1), used), lambda s, size: F.when(
+                (size > 1) & (s["p"] + 1 <= n - 2), F.sequence(s["p"] + 1, F.least(s["p"] + size - 1, n - 2)))
+                .otherwise(_longs())))
+            # the place itself is compared with the last start: no look-up per token
+            return F.transform(F.array_except(inner, gone), lambda p: token(p, F.get(found, used - 1)))
+
+        return F.concat(F.slice(ids, 1, 1), bind(starts, rest), F.slice(ids, -1, 1))
+
+    def inserted(row: Column, count: Column) -> Column:
+        def fresh(k: Column) -> Column:
+            value = F.when(uniform(seed + 6, row_id, k) < cfg.random_insert, _random(
+                cfg, seed + 7, cfg.first_word, row_id, k)).otherwise(F.lit(cfg.mask_id).cast("bigint"))
+            gap = F.floor(uniform(seed + 5, row_id, k) * (F.size(row) - 1)).cast("bigint")
+            return F.struct(gap.alias("at"), (k + 1).alias("k"), value.alias("v"))
+
+        old = F.transform(row, lambda v, i: F.struct(i.cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("k"),
+                                                     v.alias("v")))
+        new = F.transform(F.sequence(F.lit(0).cast("bigint"), count - 1), fresh)
+        return F.transform(F.array_sort(F.concat(old, new)), lambda x: x["v"])
+
+    def masked(lengths: Column) -> Column:
+        zero = F.size(F.filter(lengths, lambda x: x == 0)).cast("bigint")
+        return bind(shrunk(F.filter(lengths, lambda x: x > 0)),
+                    lambda row: F.when(zero > 0, inserted(row, zero)).otherwise(row))
+
+    budget = F.ceil(n * F.lit(cfg.share))
+    return F.when(n <= 2, ids).otherwise(bind(_lengths(budget, cfg, seed, row_id), masked))
 
 
 def mask_spans(df: DataFrame, row_id: str, ids: str, cfg: SpanNoise = SpanNoise(), seed: int = 0) -> DataFrame:
-    """``row_id, ids``: rows with both end marks; rows without inner tokens pass through."""
-    key_type = df.schema[row_id].dataType.simpleString()
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for key, row in zip(pdf[row_id], pdf[ids]):
-                row = np.asarray(row, dtype=np.int64)
-                out.append(mask_row(row, cfg, np.random.default_rng([seed, int(key)])) if len(row) > 2 else row)
-            yield pd.DataFrame({row_id: pdf[row_id], ids: out})
-
-    return df.select(row_id, ids).mapInPandas(batches, f"{row_id} {key_type}, {ids} array<bigint>")
+    """``row_id, ids`` with the ids ``span_masked``."""
+    return df.select(row_id, span_masked(F.col(ids), F.col(row_id), cfg, seed).alias(ids))
+
+
+def span_sql(source: str, row_id: str, cfg: SpanNoise = SpanNoise(), seed: int = 0) -> str:
+    """CTEs ending in ``masked`` (row id, n, ids joined by blanks) over ``source`` (row id, ids)."""
+    u = [uniform_sql(seed + i, row_id, x) for i, x in ((1, "k"), (3, "p"), (4, "p"), (5, "k"), (6, "k"), (7, "k"))]
+    length = " + ".join(f"({u[0]} >= {c})::INT" for c in cfg.length_cuts())
+    masked, kept = cfg.outcome_cuts()
+    return f"""base AS (SELECT {row_id}, ids, len(ids) AS n, ceil(len(ids) * {cfg.share})::BIGINT AS budget FROM {source}),
+draws AS (SELECT {row_id}, budget, k, {length} AS size FROM base, unnest(range(budget)) d(k) WHERE n > 2),
+sums AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY {row_id} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM draws),
+spans AS (SELECT {row_id}, k, least(size, budget - before)::BIGINT AS size FROM sums WHERE before < budget),
+numbered AS (SELECT {row_id}, size, row_number() OVER (PARTITION BY {row_id}, size > 0 ORDER BY k) AS j FROM spans),
+places AS (SELECT {row_id}, n, p, ids[p + 1] AS own, row_number() OVER (PARTITION BY {row_id} ORDER BY {state_sql(seed + 2, row_id, "p")}, p) AS j
+  FROM base, unnest(range(1, n - 1)) q(p)),
+starts AS (SELECT {row_id}, p, n, size FROM places JOIN numbered USING ({row_id}, j) WHERE size > 0),
+gone AS (SELECT DISTINCT {row_id}, g AS p FROM starts, unnest(range(p + 1, least(p + size - 1, n - 2) + 1)) r(g)),
+inner_ AS (SELECT {row_id}, p, CASE WHEN s.size IS NULL THEN own WHEN {u[1]} < {masked} THEN {cfg.mask_id} WHEN {u[1]} < {kept} THEN own
+  ELSE floor({u[2]} * {cfg.vocab_size})::BIGINT END AS v FROM places LEFT JOIN starts s USING ({row_id}, p) ANTI JOIN gone USING ({row_id}, p)),
+kept AS (SELECT {row_id}, v, row_number() OVER (PARTITION BY {row_id} ORDER BY p) - 1 AS slot, count(*) OVER (PARTITION BY {row_id}) AS m FROM (
+  SELECT * FROM inner_ UNION ALL SELECT {row_id}, 0, ids[1] FROM base UNION ALL SELECT {row_id}, n - 1, ids[n] FROM base)),
+fresh AS (SELECT {row_id}, j - 1 AS k FROM numbered WHERE size = 0),
+final AS (SELECT {row_id}, slot, 0 AS k, v FROM kept UNION ALL
+  SELECT {row_id}, floor({u[3]} * (m - 1))::BIGINT, k + 1, CASE WHEN {u[4]} < {cfg.random_insert}
+    THEN {cfg.first_word} + floor({u[5]} * {cfg.vocab_size - cfg.first_word})::BIGINT ELSE {cfg.mask_id} END
+  FROM fresh JOIN (SELECT DISTINCT {row_id}, m FROM kept) USING ({row_id})),
+masked AS (SELECT {row_id}, count(*)::INT AS n, string_agg(v, ' ' ORDER BY slot, k) AS ids FROM final GROUP BY {row_id})"""

@@ -246,7 +246,11 @@ def noise_blank(spark, sf):
     return t.select("doc_id", F.array_join(A.blank_tokens(F.col("t"), 0.2, "<mask>", 4, F.col("doc_id")), " ").alias("tokens"))
 
 
-@query("noise_span")
+_SPANS = N.span_sql("marked", "doc_id", seed=9)
+
+
+@query("noise_span", f"""WITH {_TOK}, marked AS (SELECT doc_id, list_concat([2::BIGINT], list_transform(t, lambda w: (length(w) + 100)::BIGINT), [2::BIGINT]) AS ids
+FROM tok), {_SPANS} SELECT * FROM masked""")
 def noise_span(spark, sf):
     """Word lengths as stand-in ids between end marks."""
     ids = doc_tokens(spark, sf).select("doc_id", F.concat(F.array(F.lit(2).cast("bigint")), F.transform(
