@@ -1,21 +1,11 @@
-"""Code tokens. Brace languages: one lexer pattern in the JVM. Python: the standard
-``tokenize`` module per row in Arrow batches; everything after it runs in the JVM again."""
+"""Code tokens, by one lexer pattern for brace languages and one for Python."""
 from __future__ import annotations
 
-import io
-import sys
-import tokenize
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.functions.text import C_FAMILY_SYMBOLS, PYTHON_SYMBOLS, literal_tokens
-
-# the helpers below travel with the job; workers need not have this package installed
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from tandem.scale import placed
 
 # Operators of more than one character, longest first.
 OPERATORS = [">>>=", "<<=", ">>=", ">>>", "...", "->*", "::", "->", "++", "--", "&&", "||", "==", "!=", "<=", ">=",
@@ -66,88 +56,113 @@ def c_tokens(code: Column, keep_comments: bool = False) -> Column:
 
 # ---- Python ---------------------------------------------------------------
 
-_FSTRING = {getattr(tokenize, n, None): n for n in ("FSTRING_START", "FSTRING_END")}
-
-
-def _whole_strings(source: str) -> Iterator[tuple[int, str, tuple, tuple, str]]:
-    """Token stream in which a formatted string is one STRING, as before Python 3.12."""
-    lines = [x + "\n" for x in source.split("\n")]
-    opened, depth = None, 0
-    for tok in tokenize.generate_tokens(io.StringIO(source).readline):
-        mark = _FSTRING.get(tok.type)
-        if mark == "FSTRING_START":
-            opened, depth = (tok if depth == 0 else opened), depth + 1
-        elif mark == "FSTRING_END":
-            depth -= 1
-            if depth == 0:
-                (r0, c0), (r1, c1) = opened.start, tok.end
-                if r0 == r1:
-                    text = lines[r0 - 1][c0:c1]
-                else:
-                    text = lines[r0 - 1][c0:] + "".join(lines[r0:r1 - 1]) + lines[r1 - 1][:c1]
-                yield tokenize.STRING, text, opened.start, tok.end, opened.line
-        elif depth == 0:
-            yield tok.type, tok.string, tok.start, tok.end, tok.line
-
-
-def _python_row(source: str) -> tuple[list[str], list[str]]:
-    """Kinds and texts of one function's tokens; docstrings lose their line end as well."""
-    kinds, texts, skip_line_end = [], [], False
-    for kind, text, _, _, line in _whole_strings(source):
-        if kind == tokenize.NEWLINE:
-            if not skip_line_end:
-                kinds.append("plain"), texts.append("NEW_LINE")
-            skip_line_end = False
-        elif kind == tokenize.STRING and text == line.strip():
-            skip_line_end = True
-        elif kind == tokenize.STRING:
-            kinds.append("string"), texts.append(text)
-        elif kind == tokenize.INDENT:
-            kinds.append("plain"), texts.append("INDENT")
-        elif kind == tokenize.DEDENT:
-            if texts and texts[-1] == "INDENT":
-                kinds.pop(), texts.pop()
-            else:
-                kinds.append("plain"), texts.append("DEDENT")
-        elif kind not in (tokenize.NL, tokenize.COMMENT, tokenize.ENDMARKER, tokenize.ENCODING):
-            kinds.append("plain"), texts.append(text)
-    return kinds, texts
-
-
-def _python_stripped(source: str) -> str:
-    """Source without comments and docstrings, columns kept, blank lines dropped."""
-    out, row, col, before = [], -1, 0, tokenize.INDENT
-    for kind, text, start, end, _ in _whole_strings(source):
-        col = 0 if start[0] > row else col
-        out.append(" " * (start[1] - col))
-        alone = before in (tokenize.INDENT, tokenize.NEWLINE) or start[1] == 0
-        if kind != tokenize.COMMENT and not (kind == tokenize.STRING and alone):
-            out.append(text)
-        before, (row, col) = kind, end
-    return "\n".join(x for x in "".join(out).split("\n") if x.strip())
-
-
-_BAD = (tokenize.TokenError, SyntaxError, ValueError, IndexError)
-
-
-def python_tokens(df: DataFrame, row_id: str, code: str) -> DataFrame:
-    """``row_id, status, tokens, stripped``; a row that does not tokenize has status ``err``."""
-    id_type = df.schema[row_id].dataType.simpleString()
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for key, text in zip(pdf[row_id], pdf[code]):
-                try:
-                    source = text.replace("\\r", "").replace("\r", "")
-                    kinds, texts = _python_row(source)
-                    rows.append((key, "ok", kinds, texts, _python_stripped(text)))
-                except _BAD:
-                    rows.append((key, "err", None, None, None))
-            yield pd.DataFrame(rows, columns=[row_id, "status", "kinds", "texts", "stripped"])
-
-    raw = df.select(row_id, code).mapInPandas(
-        batches, f"{row_id} {id_type}, status string, kinds array<string>, texts array<string>, stripped string")
-    tokens = F.zip_with("kinds", "texts", lambda k, t: F.when(
-        k == "string", literal_tokens(t, PYTHON_SYMBOLS)).otherwise(t))
-    return raw.select(row_id, "status", tokens.alias("tokens"), "stripped")
+# Operators of more than one character, longest first, and the single ones.
+PYTHON_OPERATORS = ["**=", "//=", ">>=", "<<=", "...", "**", "//", ">>", "<<", "<=", ">=", "==", "!=", "->", "+=", "-=",
+                    "*=", "/=", "%=", "&=", "|=", "^=", "@=", ":="]
+PYTHON_MARKS = "()[]{},:;.+-*/%&|^~<>=@"
+
+
+def _python_lexer() -> str:
+    """Strings, comments, joined lines, line ends with the next line's indentation, blanks, numbers, names, marks.
+
+    Quantifiers are possessive, so that long strings do not deepen the matcher's stack.
+    """
+    def long_string(q: str) -> str:
+        return rf"{q * 3}[^{q}\\]*+(?:(?:\\.|{q}(?!{q * 2}))[^{q}\\]*+)*+{q * 3}"
+
+    def string(q: str) -> str:
+        return rf"{q}[^{q}\\\n]*+(?:\\.[^{q}\\\n]*+)*+{q}"
+
+    strings = "|".join([long_string('"'), long_string("'"), string('"'), string("'")])
+    number = r"0[xXoObB][0-9a-fA-F_]++|(?:[0-9][0-9_]*+\.?[0-9_]*+|\.[0-9][0-9_]*+)(?:[eE][+-]?[0-9_]++)?[jJ]?"
+    ops = "|".join(_escape(o) for o in PYTHON_OPERATORS)
+    return (rf"(?s)[rRbBuUfF]{{0,2}}+(?:{strings})|#[^\n]*+|\\\n|\n[ \t\f]*+|[ \t\f]++|{number}"
+            rf"|[\p{{L}}_][\p{{L}}\p{{N}}_]*+|{ops}|.")
+
+
+def _marked(lines: Column) -> Column:
+    """Lines with the INDENT and DEDENT marks in front of them, and whether all of them close a level that was opened.
+
+    A level that holds a docstring only gets neither mark: its INDENT waits for the next line.
+    """
+    def repeat(mark: str, times: Column) -> Column:
+        return F.array_repeat(F.lit(mark), times.cast("int"))
+
+    def step(acc: Column, line: Column) -> Column:
+        width, code = line["width"], line["code"]
+        kept = F.filter(acc["levels"], lambda x: x <= width)
+        pops = F.size(acc["levels"]) - F.size(kept)
+        deeper = F.coalesce(F.get(kept, F.size(kept) - 1), F.lit(-1)) < width
+        waits = acc["waits"]
+        before = F.when(waits & (pops > 0), repeat("DEDENT", pops - 1)).when(
+            waits, repeat("INDENT", F.lit(1))).otherwise(repeat("DEDENT", pops))
+        now = deeper & ~line["doc"]
+        marks = F.when(now, F.concat(before, repeat("INDENT", F.lit(1)))).otherwise(before)
+        moved = F.struct(
+            F.when(deeper, F.concat(kept, F.array(width))).otherwise(kept).alias("levels"),
+            (deeper & line["doc"]).alias("waits"), (acc["good"] & ~((pops > 0) & deeper)).alias("good"),
+            F.concat(acc["out"], F.array(F.concat(marks, line["tokens"]))).alias("out"))
+        aside = F.struct(acc["levels"].alias("levels"), waits.alias("waits"), acc["good"].alias("good"),
+                         F.concat(acc["out"], F.array(line["tokens"])).alias("out"))
+        return F.when(code, moved).otherwise(aside)
+
+    start = F.struct(F.array(F.lit(0)).alias("levels"), F.lit(False).alias("waits"), F.lit(True).alias("good"),
+                     F.array().cast("array<array<string>>").alias("out"))
+    return F.aggregate(lines, start, step, lambda acc: F.struct(
+        acc["good"].alias("good"), F.flatten(F.concat(acc["out"], F.array(repeat(
+            "DEDENT", F.size(acc["levels"]) - 1 - acc["waits"].cast("int"))))).alias("tokens")))
+
+
+def python_tokens(df: DataFrame, row_id: str, code: str, keep_comments: bool = False) -> DataFrame:
+    """``row_id, status, tokens, stripped``; status ``err`` and nulls where brackets, strings or levels do not close.
+
+    Line ends inside brackets count for nothing. A string that is a whole line is dropped
+    with its line end; other literals come in blank-separated form, comments too if kept.
+    ``stripped`` is the source without comments and without strings that begin a line,
+    columns kept, blank lines dropped. ``row_id`` must be unique. A document is placed by
+    its id once; its tokens are rows of that partition only.
+    """
+    source = F.concat(F.lit("\n"), F.regexp_replace(F.col(code), r"\r|\\r", ""), F.lit("\n"))
+    raw = F.regexp_extract_all(source, F.lit(_python_lexer()), F.lit(0))
+    rows = placed(df.select(F.col(row_id), F.col(code)), [row_id]).select(row_id, F.posexplode_outer(raw).alias("pos", "t"))
+    first, last = F.substring("t", 1, 1), F.substring("t", -1, 1)
+    kind = (F.when(first == "\n", "line").when(first == "#", "comment").when(F.rlike("t", F.lit(r"^[ \t\f]|^\\\n")), "blank")
+            .when(last.isin('"', "'") & (F.length("t") > 1), "string").when(F.col("t").isin("(", "[", "{"), "open")
+            .when(F.col("t").isin(")", "]", "}"), "close")
+            .when((F.length("t") == 1) & ~F.rlike("t", F.lit(r"[\p{L}\p{N}_]")) & ~F.instr(F.lit(PYTHON_MARKS), F.col("t")).cast("boolean"),
+                  "bad").otherwise("plain"))
+    doc = Window.partitionBy(row_id).orderBy("pos")
+    so_far = doc.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("kind", kind).withColumn("depth", F.sum(
+        F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)).over(so_far))
+    ends = (F.col("kind") == "line") & (F.col("depth") == 0)
+    rows = rows.withColumn("line", F.sum(ends.cast("int")).over(so_far)).withColumn("before", F.lag("t").over(doc))
+    text = (F.when(F.col("kind") == "string", literal_tokens(F.col("t"), PYTHON_SYMBOLS))
+            .when(F.col("kind") == "comment", literal_tokens(F.col("t"), PYTHON_SYMBOLS, comment=True)).otherwise(F.col("t")))
+    is_code = ~F.col("kind").isin("line", "comment", "blank")
+    shown = is_code | (F.lit(keep_comments) & (F.col("kind") == "comment"))
+    head = F.min(F.when(is_code, F.col("pos"))).over(Window.partitionBy(row_id, "line"))
+    rows = rows.withColumn("head", head)
+    string_first = (F.col("kind") == "string") & ((F.col("pos") == F.col("head")) | (F.col("before") == "\n"))
+    width = F.length(F.regexp_replace(F.substring("t", 2, 1 << 20), "\t", " " * 8))
+    per_line = rows.groupBy(row_id, "line").agg(
+        F.max(F.when(ends, width)).alias("width"), F.count(F.when(is_code, 1)).alias("n"),
+        F.count(F.when(F.col("kind") == "string", 1)).alias("strings"),
+        F.array_sort(F.collect_list(F.when(shown, F.struct("pos", F.col("kind"), text.alias("x"))))).alias("shown"),
+        F.array_sort(F.collect_list(F.when((F.col("kind") != "comment") & ~string_first, F.struct("pos", "t")))).alias("rest"),
+        (F.max((F.col("kind") == "bad").cast("int")) + F.min(F.least("depth", F.lit(0))) * -1).alias("bad"),
+        F.max_by("depth", "pos").alias("depth"))
+    only = (F.col("n") == 1) & (F.col("strings") == 1)
+    tokens = F.transform(F.filter("shown", lambda x: ~(only & (x["kind"] == "string"))), lambda x: x["x"])
+    tokens = F.when((F.col("n") > 0) & ~only, F.concat(tokens, F.array(F.lit("NEW_LINE")))).otherwise(tokens)
+    line = F.struct("line", F.col("width").alias("width"), (F.col("n") > 0).alias("code"), only.alias("doc"), tokens.alias("tokens"))
+    out = per_line.groupBy(row_id).agg(
+        F.array_sort(F.collect_list(F.when(F.size("shown") > 0, line))).alias("lines"),
+        F.array_sort(F.collect_list(F.struct("line", F.array_join(F.transform("rest", lambda x: x["t"]), "").alias("t")))).alias("rest"),
+        F.sum("bad").alias("bad"), F.max_by("depth", "line").alias("depth"))
+    out = out.select(row_id, "bad", "depth", _marked(F.col("lines")).alias("m"),
+                     F.array_join(F.transform("rest", lambda x: x["t"]), "").alias("rest"))
+    good = (F.col("bad") == 0) & (F.col("depth") == 0) & F.col("m.good")
+    stripped = F.array_join(F.filter(F.split("rest", "\n"), lambda x: F.trim(x) != ""), "\n")
+    return out.select(row_id, F.when(good, "ok").otherwise("err").alias("status"),
+                      F.when(good, F.filter("m.tokens", lambda t: t != "")).alias("tokens"), F.when(good, stripped).alias("stripped"))

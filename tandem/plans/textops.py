@@ -90,23 +90,26 @@ def code_tokens_c(spark, sf):
     return t.select("page_id", F.size("t").cast("long").alias("n"), F.array_join("t", " ").alias("tokens"))
 
 
-def python_source(c):
-    """Every line of a text as one statement of a small function."""
-    body = F.array_join(F.transform(F.split(F.regexp_replace(c, "[\"\\\\\\\\]", ""), "\n"),
+def python_source(doc_id, c):
+    """Every line of a text as one statement of a small function; every tenth function has an open bracket."""
+    body = F.array_join(F.transform(F.split(F.regexp_replace(c, "[\"\\\\]", ""), "\n"),
                                     lambda x: F.concat(F.lit('    x = f("'), x, F.lit('") # note'))), "\n")
-    return F.concat(F.lit('def fun(a, b):\n    """doc"""\n'), body, F.lit("\n    return x\n"))
+    head = F.when(doc_id % 10 == 3, "def fun((a, b):").otherwise("def fun(a, b):")
+    return F.concat(head, F.lit('\n    """doc"""\n'), body, F.lit("\n    return x\n"))
 
 
 _PYSTR = Q.sql_literal_tokens("('\"' || line || '\"')", X.PYTHON_SYMBOLS)
 
 
 @query("code_tokens_py", f"""WITH l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS i
-  FROM (SELECT doc_id, replace(replace(text, '"', ''), chr(92), '') AS t FROM documents))
-SELECT doc_id, 'ok' AS status, 'def fun ( a , b ) : NEW_LINE INDENT ' || string_agg('x = f ( ' || {_PYSTR} || ' ) NEW_LINE', ' ' ORDER BY i)
+  FROM (SELECT doc_id, replace(replace(text, '"', ''), chr(92), '') AS t FROM documents)),
+g AS (SELECT doc_id, 'def fun ( a , b ) : NEW_LINE INDENT ' || string_agg('x = f ( ' || {_PYSTR} || ' ) NEW_LINE', ' ' ORDER BY i)
   || ' return x NEW_LINE DEDENT' AS tokens, 'def fun(a, b):' || chr(10) || string_agg('    x = f("' || line || '") ', chr(10) ORDER BY i)
-  || chr(10) || '    return x' AS stripped FROM l GROUP BY doc_id""")
+  || chr(10) || '    return x' AS stripped FROM l GROUP BY doc_id)
+SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'err' ELSE 'ok' END AS status,
+  CASE WHEN doc_id % 10 <> 3 THEN tokens END AS tokens, CASE WHEN doc_id % 10 <> 3 THEN stripped END AS stripped FROM g""")
 def code_tokens_py(spark, sf):
-    src = docs(spark, sf).select("doc_id", python_source(F.col("text")).alias("code"))
+    src = docs(spark, sf).select("doc_id", python_source(F.col("doc_id"), F.col("text")).alias("code"))
     t = Z.python_tokens(src, "doc_id", "code")
     return t.select("doc_id", "status", F.array_join("tokens", " ").alias("tokens"), "stripped")
 

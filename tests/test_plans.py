@@ -11,8 +11,6 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not p
 
 # joined by range with one row per language or length bound
 RANGE_JOINS = {"length_buckets", "weighted_draw"}
-# the only operators that need Python workers
-PYTHON = {"code_tokens_py", "noise_span"}
 
 
 def plan(spark, name):
@@ -24,7 +22,7 @@ def test_no_product_joins_and_no_python(spark, name):
     text = plan(spark, name)
     assert "CartesianProduct" not in text
     assert ("NestedLoop" in text) == (name in RANGE_JOINS)
-    assert ("InPandas" in text) == (name in PYTHON)
+    assert "InPandas" not in text and "InArrow" not in text
     assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
 
 

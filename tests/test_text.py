@@ -71,6 +71,19 @@ def test_python_tokens(spark):
     assert (got[2].status, got[3].status) == ("err", "err") and got[2].tokens is None
 
 
+def test_python_levels_and_comments(spark):
+    rows = [("if a:\n    if b:\n        c\nd\n",
+             "if a : NEW_LINE INDENT if b : NEW_LINE INDENT c NEW_LINE DEDENT DEDENT d NEW_LINE"),
+            ("f(a,\n  b)  # two words\n", "f ( a , b ) #"), ("if a:\n        b\n    c\n", None), ("a)\n", None),
+            ("x = 1.5e3 ** y // 2\n", "x = 1.5e3 ** y // 2 NEW_LINE"), ("", ""), ("x = 'a", None)]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)] + [(99, None)], "id long, code string")
+    got = {r.id: r for r in Z.python_tokens(df, "id", "code", keep_comments=True).collect()}
+    assert len(got) == len(rows) + 1
+    for i, (_, want) in enumerate(rows):
+        assert got[i].status == ("err" if want is None else "ok")
+        assert want is None or " ".join(got[i].tokens).startswith(want)
+
+
 @pytest.mark.parametrize("code, types, names", [
     ("static int f ( )", ["None"], ["None"]),
     ("int f ( int a , String [ ] b )", ["int ", "String [ ]"], ["a", "b"]),
