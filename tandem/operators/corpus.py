@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions.text import docstring_tokens, squeeze, strip
-from tandem.scale import ranked
+from tandem.scale import placed, ranked
 
 
 def select_submissions(subs: DataFrame, meta: DataFrame, ignored: DataFrame, outliers: DataFrame,
@@ -126,26 +126,29 @@ UNKNOWN, FIRST_ID = 3, 4  # Fixed values: ids 0..3 are the special tokens.
 def build_vocabulary(df: DataFrame, tokens: str, min_count: int = 2) -> DataFrame:
     """``token, cnt, token_id`` by falling count, then token.
 
-    Ids come from counts per (count, first character, second character): no sort
-    over the whole vocabulary in one task.
+    Ids come from counts per count and beginning of the token, up to its fifth
+    character: no sort over the whole vocabulary in one task, nor over all rare tokens.
     """
     counts = (df.select(F.explode_outer(tokens).alias("token")).filter(F.col("token").isNotNull())
               .groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
               .filter(F.col("cnt") >= min_count)
               .withColumn("__c", -F.col("cnt")).withColumn("__a", F.substring("token", 1, 1))
-              .withColumn("__b", F.substring("token", 2, 1)))
-    return ranked(counts, [], ["__c", "__a", "__b"], ["token"], "token_id").select(
+              .withColumn("__b", F.substring("token", 2, 1)).withColumn("__d", F.substring("token", 3, 3)))
+    return ranked(counts, [], ["__c", "__a", "__b", "__d"], ["token"], "token_id").select(
         "token", "cnt", (F.col("token_id") + FIRST_ID).alias("token_id"))
 
 
 def numericalize(df: DataFrame, row_id: str, tokens: str, vocab: DataFrame) -> DataFrame:
-    """Token ids in order, out-of-vocabulary tokens as ``UNKNOWN``.
+    """Token ids in order, out-of-vocabulary tokens as ``UNKNOWN``; a row without tokens has none.
 
-    A vocabulary under the broadcast threshold is looked up in place. A larger one is
-    joined by token, where adaptive execution splits the partition of a frequent token.
+    A row's repeated tokens are one cell with all their positions, made where the row is
+    placed. A vocabulary under the broadcast threshold is looked up in place. A larger one
+    is joined by token, where adaptive execution splits the partition of a frequent token.
     """
-    cells = df.select(row_id, F.posexplode_outer(tokens).alias("pos", "token")).filter(F.col("token").isNotNull())
+    each = placed(df.select(row_id, tokens), [row_id]).select(row_id, F.posexplode_outer(tokens).alias("pos", "token"))
+    cells = each.groupBy(row_id, "token").agg(F.collect_list("pos").alias("at"))
     found = cells.join(vocab.select("token", "token_id"), "token", "left").select(
-        row_id, F.struct("pos", F.coalesce(F.col("token_id"), F.lit(UNKNOWN)).alias("id")).alias("cell"))
-    ids = found.groupBy(row_id).agg(F.array_sort(F.collect_list("cell")).alias("cells"))
+        row_id, F.transform("at", lambda p: F.struct(
+            p.alias("pos"), F.coalesce(F.col("token_id"), F.lit(UNKNOWN)).alias("id"))).alias("cells"))
+    ids = found.groupBy(row_id).agg(F.array_sort(F.flatten(F.collect_list("cells"))).alias("cells"))
     return ids.select(row_id, F.transform("cells", lambda c: c["id"]).alias("ids"))

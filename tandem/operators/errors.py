@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tandem.functions.text import strip
+
 PREFIX = "error : "
 
 # Python error classes, in match order.
@@ -63,7 +65,8 @@ def classify(message: Column, rules: Sequence[Rule], other: str | None = "other"
 
 
 def error_lines(df: DataFrame, text: str) -> DataFrame:
-    return df.filter(F.startswith(F.col(text), F.lit(PREFIX)))
+    """Messages that begin with the error mark, blanks in front aside."""
+    return df.filter(F.startswith(strip(F.col(text)), F.lit(PREFIX)))
 
 
 def class_counts(classified: DataFrame, rules: Sequence[Rule], name: str = "class") -> DataFrame:

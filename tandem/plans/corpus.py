@@ -352,9 +352,9 @@ def vocabulary(spark, sf):
     return C.build_vocabulary(doc_tokens(spark, sf), "t")
 
 
-@query("numericalize", f"""WITH {_VOCAB} SELECT doc_id, count(*) AS n, count(*) FILTER (v.token IS NULL) AS unknown,
-string_agg(coalesce(token_id, 3)::VARCHAR, ' ' ORDER BY pos) AS ids
-FROM toks t LEFT JOIN vocab v ON v.token = t.token GROUP BY doc_id""")
+@query("numericalize", f"""WITH {_VOCAB} SELECT doc_id, count(t.token) AS n, count(t.token) FILTER (v.token IS NULL) AS unknown,
+coalesce(string_agg(CASE WHEN t.token IS NOT NULL THEN coalesce(token_id, 3)::VARCHAR END, ' ' ORDER BY pos), '') AS ids
+FROM documents d LEFT JOIN toks t USING (doc_id) LEFT JOIN vocab v ON v.token = t.token GROUP BY doc_id""")
 def numericalize(spark, sf):
     t = doc_tokens(spark, sf)
     ids = C.numericalize(t, "doc_id", "t", C.build_vocabulary(t, "t"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tandem.functions.text import strip
+from tandem.scale import ranked
 
 _S = T.StringType()
 RECORD = T.StructType([
@@ -20,19 +21,29 @@ METADATA = T.StructType([T.StructField(n, _S) for n in (
     "status", "cpu_time", "memory", "code_size", "accuracy")])
 
 
-def jsonl(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType = RECORD) -> DataFrame:
-    """JSON lines; a line that does not parse is a row of nulls and is dropped."""
+def _parsed(lines: DataFrame, schema: T.StructType, *more: str) -> DataFrame:
+    """Text lines as records and the columns ``more``; blank lines and lines that do not parse are dropped.
+
+    Every line is parsed against the whole schema, whatever columns are used later.
+    """
     bad = "_bad"
     full = T.StructType([*schema.fields, T.StructField(bad, _S)])
-    df = spark.read.schema(full).option("columnNameOfCorruptRecord", bad).json(paths)
-    return df.filter(F.col(bad).isNull()).drop(bad)
+    row = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}).alias("row")
+    out = lines.filter(F.trim("value") != "").select(row, *more)
+    return out.filter(F.col("row").isNotNull() & F.col(f"row.{bad}").isNull()).select(
+        *[F.col(f"row.{n}").alias(n) for n in schema.fieldNames()], *more)
+
+
+def jsonl(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType = RECORD) -> DataFrame:
+    """JSON lines; a line that does not parse is dropped."""
+    return _parsed(spark.read.text(paths), schema)
 
 
 def split_files(spark: SparkSession, folder: str, schema: T.StructType = RECORD) -> DataFrame:
     """``train/valid/test.jsonl`` of one folder with a ``split`` column; absent files are simply not there."""
-    df = (spark.read.schema(schema).option("pathGlobFilter", "*.jsonl").json(folder)
-          .withColumn("split", F.regexp_extract(F.col("_metadata.file_name"), r"^(train|valid|test)\d*\.jsonl$", 1)))
-    return df.filter(F.col("split") != "")
+    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(folder).withColumn(
+        "split", F.regexp_extract(F.col("_metadata.file_name"), r"^(train|valid|test)\d*\.jsonl$", 1))
+    return _parsed(lines.filter(F.col("split") != ""), schema, "split")
 
 
 def metadata(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -80,11 +91,14 @@ def block_lines(block: Column) -> Column:
 def cluster_heads(spark: SparkSession, path: str) -> DataFrame:
     """First member of every blank-line separated block.
 
-    The reader splits the file at empty lines, so blocks are records and a large
-    file is read by many tasks.
+    The reader splits the file at empty lines, of either kind of line end, so blocks are
+    records and a large file is read by many tasks.
     """
-    blocks = spark.read.text(path, lineSep="\n\n")
-    heads = blocks.select(F.explode(F.transform(block_lines(F.col("value")), lambda xs: xs[0])).alias("path"))
+    first = spark.read.text(path, lineSep="\n").limit(1).collect()
+    end = "\r\n" if first and first[0][0].endswith("\r") else "\n"
+    blocks = spark.read.text(path, lineSep=end * 2)
+    block = F.replace("value", F.lit("\r"), F.lit(""))
+    heads = blocks.select(F.explode(F.transform(block_lines(block), lambda xs: xs[0])).alias("path"))
     return heads.select(path_stem(F.col("path")).alias("submission_id")).distinct()
 
 
@@ -119,13 +133,41 @@ def gen_log(lines: DataFrame, value: str = "value", drop_first_token: bool = Fal
         F.regexp_extract(v, "(?d)" + GEN_LINE, 2).try_cast("double").alias("score"), text.alias("hypothesis"))
 
 
-def references(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Several reference tables (Parquet ``pair_id, ref``) numbered by ``ref_no``."""
-    parts = [spark.read.parquet(p).withColumn("ref_no", F.lit(i).cast("long")) for i, p in enumerate(paths)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def ordered_log(lines: DataFrame, value: str = "value", drop_first_token: bool = False) -> DataFrame:
+    """``gen_log`` in the order of its numeric ids, whatever order they were written in."""
+    return gen_log(lines, value, drop_first_token).orderBy("id")
+
+
+def references(spark: SparkSession, stem: str) -> DataFrame:
+    """``ref_no, line, ref`` of the text files ``stem``, ``stem0``, ``stem1``, …, each plain or ``.gz``.
+
+    The file without a number comes first. Lines are numbered from 0 in file order.
+    """
+    name = stem.rpartition("/")[2]
+    lines = spark.read.text(stem + "{,.gz,[0-9]*}")
+    number = F.regexp_extract(F.col("_metadata.file_name"), rf"^\Q{name}\E([0-9]*)(\.gz)?$", 1)
+    known = F.rlike(F.col("_metadata.file_name"), F.lit(rf"^\Q{name}\E[0-9]*(\.gz)?$"))
+    rows = lines.filter(known).select(
+        F.when(number == "", -1).otherwise(number.try_cast("bigint")).alias("ref_no"), F.col("value").alias("ref"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return ranked(rows, ["ref_no"], ["block"], ["at"], "line").select("ref_no", "line", "ref")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+
+def either_direction(spark: SparkSession, root: str, src: str, tgt: str) -> tuple[DataFrame, bool]:
+    """Parquet pairs under ``root/src-tgt``, else those under ``root/tgt-src`` with their sides exchanged.
+
+    Also says whether they were exchanged. Pairs have the columns ``source`` and ``target``.
+    """
+    if exists(spark, f"{root}/{src}-{tgt}"):
+        return spark.read.parquet(f"{root}/{src}-{tgt}"), False
+    back = spark.read.parquet(f"{root}/{tgt}-{src}")
+    names = {"source": "target", "target": "source"}
+    return back.select(*[F.col(c).alias(names.get(c, c)) for c in back.columns]), True
 
 
 def keywords(spark: SparkSession, path: str, lang: str) -> DataFrame:
@@ -134,11 +176,13 @@ def keywords(spark: SparkSession, path: str, lang: str) -> DataFrame:
 
 
 def numbered_splits(spark: SparkSession, root: str, split: str) -> DataFrame:
-    """``split``, ``split1``, ``split2``, … under ``root`` as one table with ``part``."""
+    """``split``, ``split1``, ``split2``, … under ``root`` as one table with ``part``; folders above do not count."""
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(root)
-    part = F.regexp_extract(F.col("_metadata.file_path"), rf"/{split}(\d*)[/.]", 1)
-    inside = F.rlike(F.col("_metadata.file_path"), F.lit(rf"/{split}\d*[/.]"))
-    return df.withColumn("part", F.when(part == "", 0).otherwise(part.try_cast("int"))).filter(inside)
+    base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
+    below = F.substring_index(F.col("_metadata.file_path"), base, -1)
+    part = F.regexp_extract(below, rf"/{split}(\d*)[/.]", 1)
+    return df.withColumn("part", F.when(part == "", 0).otherwise(part.try_cast("int"))).filter(
+        F.rlike(below, F.lit(rf"/{split}\d*[/.]")))
 
 
 def canonical_pair(src: Column, tgt: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Incremental metric counts: every micro-batch of scored pairs leaves one small row of
+"""Incremental metric counts: every micro-batch of scored pairs leaves a few small rows of
 additive statistics, and the total is their sum whenever it is asked for."""
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ def write_counts(pairs: DataFrame, path: str, keys: Sequence[str], checkpoint: s
 
     def one(batch: DataFrame, batch_id: int) -> None:
         stats = match_stats(batch, [*by, *keys], hyp, ref)
-        corpus_stats(stats, by).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        corpus_stats(stats, by).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (pairs.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import pytest
@@ -40,6 +41,8 @@ def test_corpus_files(spark, tmp_path):
 
     (tmp_path / "clusters").write_text("\n\n/a/s1.java\n/a/s2.java\n\n\n \n/a/s3.java\n  \n/a/s4.java\n/a/s5.java")
     assert ids(R.cluster_heads(spark, str(tmp_path / "clusters"))) == ["s1", "s3", "s4"]
+    (tmp_path / "clusters2").write_bytes(b"/a/s1.java\r\n/a/s2.java\r\n\r\n/a/s3.java\r\n")
+    assert ids(R.cluster_heads(spark, str(tmp_path / "clusters2"))) == ["s1", "s3"]
     (tmp_path / "same").write_text("p1,p2,p3\np4\np5,p6\n")
     assert ids(R.identical_problems(spark, str(tmp_path / "same")), "problem_id") == ["p2", "p3", "p6"]
 
@@ -57,6 +60,9 @@ def test_json_and_splits(spark, tmp_path):
                      C.code_field(F.col("code"), F.col("function")).alias("c")).collect()
     assert sorted((r.c, r.d) for r in out if r.d) == [("a", "x y"), ("b", "Do it now .")]
     assert [r.c for r in out if r.d is None] == ["c"]
+    assert rec.count() == rec.select("code").count() == 3
+    (d / "valid.jsonl").write_text("{broken\n\n" + json.dumps(rows[1]))
+    assert R.split_files(spark, str(d)).count() == 5
 
 
 def test_lines(spark):
@@ -66,6 +72,7 @@ def test_lines(spark):
     assert df.select(R.split_id_code(F.col("v"), True)[1]).first()[0] == "a"
     log = spark.createDataFrame([("H-3\t-0.5\t__en__ a b",), ("S-3\tx",), ("H-10\t-1.5\tq",)], "value string")
     assert sorted(tuple(r) for r in R.gen_log(log, drop_first_token=True).collect()) == [(3, -0.5, "a b"), (10, -1.5, "")]
+    assert [r.id for r in R.ordered_log(log).collect()] == [3, 10]
 
 
 def test_selection(spark):
@@ -89,10 +96,10 @@ def test_length_policy(spark):
 
 
 def test_numericalize(spark):
-    df = spark.createDataFrame([(1, "b a b z".split()), (2, "a b".split())], "id long, t array<string>")
+    df = spark.createDataFrame([(1, "b a b z".split()), (2, "a b".split()), (3, [])], "id long, t array<string>")
     vocab = C.build_vocabulary(df, "t")
     assert {r.token: r.token_id for r in vocab.collect()} == {"b": 4, "a": 5}
-    assert {r.id: r.ids for r in C.numericalize(df, "id", "t", vocab).collect()} == {1: [4, 5, 4, 3], 2: [5, 4]}
+    assert {r.id: r.ids for r in C.numericalize(df, "id", "t", vocab).collect()} == {1: [4, 5, 4, 3], 2: [5, 4], 3: []}
 
 
 @pytest.mark.parametrize("keys", [[], ["k"]])
@@ -115,7 +122,7 @@ def test_round_robin_wraps(spark):
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(i, "train", "en", i % 2, [1, i]) for i in range(20)],
                                "id long, split string, lang string, shard int, ids array<int>")
-    W.write_shards(df, str(tmp_path / "s"), "id", files=3)
+    W.write_shards(df, str(tmp_path / "s"), rows_per_file=4)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == 20 and back.filter("shard = 1").count() == 10
     assert (tmp_path / "s" / "split=train" / "lang=en" / "shard=0").is_dir()
@@ -135,9 +142,20 @@ def test_more_sources_and_sinks(spark, tmp_path):
         spark.range(n).write.parquet(str(tmp_path / "d" / name))
     parts = R.numbered_splits(spark, str(tmp_path / "d"), "train").groupBy("part").count().collect()
     assert {r.part: r["count"] for r in parts} == {0: 2, 1: 3}
-    refs = df.select("pair_id", F.col("target").alias("ref"))
-    refs.write.parquet(str(tmp_path / "r0")), refs.write.parquet(str(tmp_path / "r1"))
-    assert R.references(spark, [str(tmp_path / "r0"), str(tmp_path / "r1")]).filter("ref_no = 1").count() == 2
+    with pytest.raises(Exception, match="already exists"):
+        W.write_jsonl(df, str(tmp_path / "json"))
+    deep = str(tmp_path / "train" / "data")
+    spark.range(2).write.parquet(f"{deep}/train"), spark.range(3).write.parquet(f"{deep}/valid")
+    assert R.numbered_splits(spark, deep, "train").count() == 2
+    (tmp_path / "ref").write_text("a\nb\n"), (tmp_path / "reference").write_text("no\n")
+    with gzip.open(tmp_path / "ref1.gz", "wt") as f:
+        f.write("c\nd\n")
+    got = sorted(tuple(r) for r in R.references(spark, str(tmp_path / "ref")).collect())
+    assert got == [(-1, 0, "a"), (-1, 1, "b"), (1, 0, "c"), (1, 1, "d")]
+    df.write.parquet(str(tmp_path / "x" / "java-python"))
+    assert R.either_direction(spark, str(tmp_path / "x"), "java", "python")[1] is False
+    back, turned = R.either_direction(spark, str(tmp_path / "x"), "python", "java")
+    assert turned and {(r.source, r.target) for r in back.collect()} == {("b", "a"), ("d", "c")}
     (tmp_path / "go.txt").write_text("break\n case \n")
     assert [r.keyword for r in R.keywords(spark, str(tmp_path / "go.txt"), "go").collect()] == ["break", "case"]
 
