@@ -159,3 +159,10 @@ def alpha_rename(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.transform(cells, lambda c: c["fresh"]).alias("names"))
     return back.select(*keys, "pos", "rel", F.element_at("names", -1).alias("var"),
                        F.slice("names", F.lit(1), F.size("names") - 1).alias("parents"))
+
+
+def sole_function(spans: DataFrame, row_id: str, standalone_only: bool = False) -> DataFrame:
+    """``row_id, kind, function`` of the rows that hold exactly one function; of any kind unless told otherwise."""
+    one = spans.groupBy(row_id).agg(F.count(F.lit(1)).alias("__n"), F.min("kind").alias("kind"),
+                                    F.min("function").alias("function")).filter("__n = 1").drop("__n")
+    return one.filter(F.col("kind") == "standalone") if standalone_only else one

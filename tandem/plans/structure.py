@@ -9,7 +9,7 @@ from tandem.plans import scoring
 from tandem.plans import textops as T
 from tandem.plans import textsql as Q
 from tandem.plans import views as V
-from tandem.plans.registry import query, table
+from tandem.plans.registry import ORACLES, query, table
 
 SIDE = [*V.PAIR, "side"]
 
@@ -35,6 +35,12 @@ def brace_spans(spark, sf):
     return S.brace_spans(code, "page_id", "t")
 
 
+@query("sole_function", f"""SELECT page_id, min(kind) AS kind, min(function) AS function
+FROM ({ORACLES["brace_spans"]}) GROUP BY page_id HAVING count(*) = 1""")
+def sole_function(spark, sf):
+    return S.sole_function(brace_spans(spark, sf), "page_id")
+
+
 @query("indent_spans", rf"""WITH {T.SQL_BLOCK_CODE}, docs AS (SELECT doc_id, {V.sql_words("code")} AS t FROM block),
 tok AS (SELECT doc_id, unnest(t) AS tok, unnest(range(len(t)))::INT AS pos FROM docs WHERE len(t) > 0),
 dep AS MATERIALIZED (SELECT doc_id, pos, tok, depth FROM (SELECT *, sum(CASE tok WHEN 'INDENT' THEN 1 WHEN 'DEDENT' THEN -1 ELSE 0 END)

@@ -64,3 +64,10 @@ def test_last_definition(spark):
                                 (1, 4, "a", False), (1, 5, "b", False)], "doc long, pos int, name string, def boolean")
     got = S.last_definition(df, ["doc"], "pos", "name", F.col("def")).orderBy("pos").collect()
     assert [r.def_pos for r in got] == [0, 1, 0, 0, 3, 1]
+
+
+def test_sole_function(spark):
+    df = spark.createDataFrame([(1, "class", "a"), (2, "standalone", "b"), (3, "class", "c"), (3, "standalone", "d")],
+                               "id long, kind string, function string")
+    assert {r.id for r in S.sole_function(df, "id").collect()} == {1, 2}
+    assert [r.function for r in S.sole_function(df, "id", standalone_only=True).collect()] == ["b"]
