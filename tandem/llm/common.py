@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tandem.session import ensure_checkpoint_dir
 
 #: Bytes of text that are held as one set of arrays.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Bits of a bitmap of hashes; its size does not depend on the data.
 BITS = 22
 
@@ -103,9 +103,14 @@ def pieces(batch: pa.RecordBatch, name: str = "text", limit: int = CHUNK,
 
 
 def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with the package shipped."""
+    """``mapInArrow`` with the package shipped; workers give back what they no longer use."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def ints(values: np.ndarray, kind=pa.int64()) -> pa.Array:
@@ -136,6 +141,14 @@ def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
+def sieve(batch: pa.RecordBatch, key: str, bits: np.ndarray, keep: bool = True) -> pa.RecordBatch:
+    """The rows of a batch whose ``key`` may be in the bitmap, or with ``keep=False`` those that cannot be.
+
+    For tasks that run Python anyway: a filter of its own would hold a second worker.
+    """
+    return batch.filter(pa.array(in_bitmap(bits, batch.column(key).to_numpy(zero_copy_only=False)) == keep))
+
+
 def bitmap_filter(df: DataFrame, key: str, bits: np.ndarray, keep: bool = True) -> DataFrame:
     """The rows whose ``key`` (long) may be in the bitmap, or with ``keep=False`` those that cannot be."""
     ship(df.sparkSession)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.common import as_bytes, bitmap, bitmap_filter, buffers, ints, mapped, pieces, row_key, saved
+from tandem.llm.common import as_bytes, bitmap, bitmap_filter, buffers, ints, mapped, pieces, row_key, saved, sieve
 
 _GEAR = np.random.RandomState(17).randint(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 _STEP = 1 << 19
@@ -148,13 +148,17 @@ def _settle(every: DataFrame) -> tuple[DataFrame, DataFrame]:
     return whole, contexts.join(several, "name").select("name", "one.*")
 
 
-def _cut(docs: DataFrame, length: int) -> DataFrame:
-    """Texts without the bytes of ``repeats`` (first and last starts of repeated strings)."""
+def _cut(docs: DataFrame, length: int, skip: np.ndarray | None = None) -> DataFrame:
+    """Texts without the bytes of ``repeats`` (first and last starts of repeated strings).
+
+    Rows that may be in the bitmap ``skip`` are left out.
+    """
+    shared = None if skip is None else docs.sparkSession.sparkContext.broadcast(skip)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch if shared is None else sieve(batch, "row", shared.value, keep=False)):
                 spans, kept, digests = [], [], []
                 for text, repeats in zip(part.column("text").to_pylist(), part.column("repeats").to_pylist()):
                     runs: list[list[int]] = []
@@ -174,7 +178,7 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
                     [part.column("doc_id"), ints(sizes), pa.array(spans, kind), pa.array(kept, pa.binary()),
                      pa.array(digests, pa.string())], ["doc_id", "n_bytes", "removed", "kept", "kept_sha256"])
 
-    return mapped(docs.select("doc_id", "text", "repeats"), run,
+    return mapped(docs.select("doc_id", "row", "text", "repeats"), run,
                   f"doc_id {id_type}, n_bytes long, removed array<struct<start: bigint, end: bigint>>, kept binary, "
                   "kept_sha256 string")
 
@@ -208,6 +212,5 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 32, doc_id: s
         F.collect_set(F.struct("first", "last")).alias("repeats")), "repeats")
     touched = bitmap(repeats, "row")
     changed = bitmap_filter(source, "row", touched).join(repeats, "row", "left")
-    same = bitmap_filter(source, "row", touched, keep=False).withColumn("repeats", F.lit(None).cast(
-        "array<struct<first: bigint, last: bigint>>"))
-    return _cut(changed.unionByName(same), length)
+    same = source.withColumn("repeats", F.lit(None).cast("array<struct<first: bigint, last: bigint>>"))
+    return _cut(changed, length).unionByName(_cut(same, length, touched))
