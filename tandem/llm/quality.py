@@ -108,7 +108,7 @@ def fit_linear(doc: np.ndarray, feature: np.ndarray, stats: np.ndarray, gold: np
     return Linear(words, w[len(chosen):], float(b), mean)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 12000, doc_id: str = "doc_id", text: str = "text",
+def train(docs: DataFrame, labels: DataFrame, most: int = 8000, doc_id: str = "doc_id", text: str = "text",
           quality: str = "quality", toxic: str = "toxic") -> tuple[Linear, Linear]:
     """Models of "not junk" and of "not toxic" from at most ``most`` labelled documents, those of least hash.
 
