@@ -24,15 +24,15 @@ def _kept(docs: DataFrame, decisions: DataFrame, once: bool = False) -> DataFram
 
     Rows that are surely untouched pass straight through; only the others are shuffled.
     """
-    key = free_name(docs, "content")
+    key, drop_key, drop_id = (free_name(docs, x) for x in ("content", "drop_key", "drop_id"))
     each = saved(decisions.groupBy(F.col("content").alias(key), F.col("doc_id").alias("id"))
                  .agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "decisions")
     touched = each.where(~F.col("kept") | (F.lit(once) & (F.col("n") > 1)))
     bits = bitmap(touched, key)
     named = docs.withColumn(key, row_key("doc_id", "text"))
-    drop = each.where(~F.col("kept")).select(F.col(key).alias("__key"), "id")
+    drop = each.where(~F.col("kept")).select(F.col(key).alias(drop_key), F.col("id").alias(drop_id))
     some = bitmap_filter(named, key, bits).join(
-        drop, (F.col(key) == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
+        drop, (F.col(key) == F.col(drop_key)) & F.col("doc_id").eqNullSafe(F.col(drop_id)), "left_anti")
     if once:
         some = some.dropDuplicates(["doc_id", key])
     return bitmap_filter(named, key, bits, keep=False).unionByName(some).drop(key)
