@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: str = "*", app: str = "tandem", shuffle: int = 8,
@@ -25,7 +25,7 @@ def local_session(cores: str = "*", app: str = "tandem", shuffle: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Directory for ``checkpoint()``: the cluster's shared folder if one is configured.
+    """Directory for checkpoints and intermediate tables: the cluster's shared folder if one is configured.
 
     A temporary folder is created only where nothing is set and the master is local.
     """
@@ -39,9 +39,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="tandem-ckpt-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` reliably (survives lost executors)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
