@@ -4,7 +4,8 @@ Shingles are put in one global order, rare ones first as far as a sketch of all
 tell. Two sets that are similar enough share at least m of their first tokens if both
 prefixes are m - 1 tokens longer than the plain prefix filter needs. Each document chooses
 m by the estimated cost of its candidates; the other side's tokens carry the least m at
-which they count. Pairs with too few shared prefix tokens are never verified.
+which they count. A pair is looked for by its rarest shared tokens only and is verified only
+if it shares as many prefix tokens as its sizes demand.
 """
 from __future__ import annotations
 
@@ -15,15 +16,14 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.llm import words as W
-from tandem.llm.common import as_bytes, bitmap, bitmap_filter, buffers, ints, lists, mapped, pieces, row_key, saved
+from tandem.llm.common import as_bytes, bitmap, buffers, in_bitmap, ints, lists, mapped, pieces, row_key, saved, sieve
 
 _SKETCH = 20  # bits of the sketch's cells
 _MOST = 4  # the largest number of prefix matches that is asked for
-_STARS = 3  # prefix tokens by which the first look for links goes
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +94,7 @@ def _need(size: np.ndarray, t: Fraction) -> np.ndarray:
 
 
 def _prefix_rows(docs: DataFrame, n: int, t: Fraction, levels: np.ndarray) -> DataFrame:
-    """``row, doc_id, content, size, digest, need, probe, tokens`` per document.
+    """``row, doc_id, size, digest, need, probe, tokens`` per document.
 
     ``tokens`` are the first ones in the global order, for up to ``_MOST`` matches;
     ``probe`` is the number of matches that the document chose to ask for.
@@ -132,15 +132,85 @@ def _prefix_rows(docs: DataFrame, n: int, t: Fraction, levels: np.ndarray) -> Da
                 kept = at < (plain + _MOST - 1)[doc]
                 counts = np.bincount(doc[kept], minlength=part.num_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), part.column("content"), ints(size), pa.array(digests, pa.binary()), ints(need),
+                    [part.column("row"), part.column("doc_id"), ints(size), pa.array(digests, pa.binary()), ints(need),
                      ints(probe), lists(ints(tokens[kept].view(np.int64)), counts)],
-                    ["row", "doc_id", "content", "size", "digest", "need", "probe", "tokens"])
+                    ["row", "doc_id", "size", "digest", "need", "probe", "tokens"])
 
-    return mapped(docs.select("row", "doc_id", "content", "text"), run,
-                  f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, content long, size long, "
+    return mapped(docs.select("row", "doc_id", "text"), run,
+                  f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, size long, "
                   "digest binary, need long, probe long, tokens array<bigint>")
 
 
+def _near(t: Fraction) -> str:
+    """Sizes ``sa`` and ``sb`` that can be similar at all."""
+    return f"{t.denominator} * least(sa, sb) >= {t.numerator} * greatest(sa, sb)"
+
+
+def _demand(t: Fraction) -> str:
+    """Tokens that the prefixes of a similar pair share at least, for ``m`` matches.
+
+    Of the side whose prefix ends first every shared token before that end counts, so the
+    overlap is at most their number and what lies behind that prefix. Beyond ``m``, more
+    matches are asked for as the sizes ask for more overlap.
+    """
+    overlap = f"ceil({t.numerator} * (sa + sb) / ({t.numerator} + {t.denominator}) - 0.0000001)"
+    behind = "greatest(sa - least(sa, sa - na + m), sb - least(sb, sb - nb + m))"
+    return f"greatest({overlap} - {behind}, least(m, na, nb))"
+
+
+def _enough(t: Fraction) -> str:
+    return f"shared >= {_demand(t)}"
+
+
+def _early(t: Fraction, place: str, size: str, need: str) -> str:
+    """Whether a shared token can be the rarest one of a similar pair.
+
+    As many shared tokens as the pair has to have, less one, come after it in either prefix.
+    Places are those of the longest prefix, at most ``_MOST - m`` too large.
+    """
+    return f"{place} - ({_MOST} - m) <= least({size}, {size} - {need} + m) - {_demand(t)}"
+
+
+def _postings(heads: DataFrame, bits: np.ndarray) -> DataFrame:
+    """``row, size, need, probe, token, tier`` of the prefix tokens that may occur in another prefix.
+
+    ``tier`` is the least number of matches for which the token belongs to the prefix.
+    """
+    shared = heads.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, size, need, probe = (batch.column(c).to_numpy() for c in ("row", "size", "need", "probe"))
+            held = batch.column("tokens")
+            tokens, counts = held.flatten().to_numpy(), held.value_lengths().to_numpy()
+            of = np.repeat(np.arange(len(row)), counts)
+            place = np.arange(len(of)) - (np.cumsum(counts) - counts)[of]
+            kept = in_bitmap(shared.value, tokens)
+            of, place, tokens = of[kept], place[kept], tokens[kept]
+            tier = np.maximum(1, place - (size - need + 1)[of] + 2)
+            yield pa.RecordBatch.from_arrays([ints(x) for x in (row[of], size[of], need[of], probe[of], tokens, tier)],
+                                             ["row", "size", "need", "probe", "token", "tier"])
+
+    return mapped(heads.select("row", "size", "need", "probe", "tokens"), run,
+                  "row long, size long, need long, probe long, token long, tier long")
+
+
+def _stars(postings: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs (a, b) of a document and the most typical ones that it shares enough prefix tokens with.
+
+    Only one member of each posting list is a partner, that whose tokens are the most
+    frequent, so there are no more rows than postings however long a list is.
+    """
+    own = postings.where("tier = 1").select("token", "row", "size", "need", "typical")
+    top = saved(own.groupBy("token").agg(F.max(F.struct("typical", "row", "size", "need")).alias("one"))
+                .select("token", F.col("one.row").alias("a"), F.col("one.size").alias("sa"), F.col("one.need").alias("na")),
+                "tops")
+    pairs = own.select("token", F.col("row").alias("b"), F.col("size").alias("sb"), F.col("need").alias("nb")).join(top, "token")
+    return saved(pairs.where("a <> b").where(_near(t)).withColumn("m", F.lit(1))
+                 .groupBy("a", "b", "sa", "sb", "na", "nb", "m").agg(F.count(F.lit(1)).alias("shared"))
+                 .where(_enough(t)).select("a", "b"), "star")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """The pairs (a, b) whose sets (row, tokens: binary, sorted) are similar enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,76 +267,82 @@ def similar_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id:
     empty table gives an empty result; other columns are not read.
 
     Equal sets are collapsed first. Links of the rest are looked for twice: each document
-    with one of its posting lists' members, for a few rare tokens, which already joins most
-    groups of copies; then all candidates of the prefix join whose components still differ.
+    with the first members of its posting lists, which already joins most groups of copies;
+    then all candidates of the prefix join whose components still differ.
     A link inside a component adds nothing to it, so none is missed, and a large group of
     copies costs as many comparisons as it has members, not their square.
     """
     t = Fraction(str(threshold))
-    source = docs.select(F.col(doc_id).alias("doc_id"), as_bytes(text).alias("text"),
-                         row_key(doc_id, text).alias("content"), F.monotonically_increasing_id().alias("row"))
-    kept = saved(source, "texts")  # row numbers must be the same in every pass
-    levels = _levels(count_sketch(kept, n))
-    rows = saved(_prefix_rows(kept, n, t, levels), "prefixes")
+    source = docs.select(F.col(doc_id).alias("doc_id"), as_bytes(text).alias("text"), row_key(doc_id, text).alias("row"))
+    levels = _levels(count_sketch(source, n))
+    rows = saved(_prefix_rows(source, n, t, levels).withColumn("number", F.monotonically_increasing_id()), "prefixes")
     classes = saved(rows.where("size > 0").groupBy("digest").agg(F.min("row").alias("head"), F.count(F.lit(1)).alias("k")),
                     "classes")
-    heads = saved(rows.join(classes.select(F.col("head").alias("row")), "row")
-                  .select("row", "size", "need", "probe", "tokens"), "heads")
-    entry = F.expr("transform(tokens, (x, i) -> struct(x as token, greatest(1, i - (size - need + 1) + 2) as tier))")
-    every = heads.select("row", "size", "need", "probe", F.inline(entry))
-    common = every.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("row").alias("least"))
-    tokens = saved(common.where("df > 1"), "tokens")
-    postings = saved(every.join(tokens.select("token", "df"), "token"), "postings")
-
-    star = (postings.where("tier = 1").select("row", "token", "df").groupBy("row")
-            .agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "token"))), 1, _STARS).alias("few"))
-            .select("row", F.explode("few.token").alias("token"))
-            .join(tokens.select("token", "least"), "token").where("row <> least")
-            .select(F.col("least").alias("a"), F.col("row").alias("b")).distinct())
-    star = saved(star, "star")
-    first = saved(_verified(star, _sets(kept, star, n), t), "links")
+    heads = saved(rows.select("row", "size", "need", "probe", "tokens").join(
+        classes.select(F.col("head").alias("row")), "row").dropDuplicates(["row"]), "heads")
+    again = saved(heads.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+                  .where("df > 1"), "again")
+    shared = _postings(heads, bitmap(again, "token", 23)).join(again, "token")
+    in_row = Window.partitionBy("row")
+    postings = saved(shared.withColumns({
+        "typical": F.sum("df").over(in_row),
+        # Places by exact frequency; tokens of no other prefix come first and were left out.
+        "place": F.row_number().over(in_row.orderBy("df", "token")) - 1
+        + F.least("size", F.expr(f"size - need + {_MOST}")) - F.count(F.lit(1)).over(in_row)}), "postings")
+
+    star = _stars(postings, t)
+    first = saved(_verified(star, _sets(source, star, n), t), "links")
     labels = components(first)
     sizes = labels.groupBy("root").agg(F.count(F.lit(1)).alias("weight"))
     placed = saved(labels.join(sizes, "root"), "placed")
     named = saved(postings.join(placed, "row", "left").select(
-        "token", "tier", "row", "size", "need", "probe", F.coalesce("root", "row").alias("root"),
+        "token", "tier", "place", "row", "size", "need", "probe", F.coalesce("root", "row").alias("root"),
         F.coalesce("weight", F.lit(1)).alias("weight")), "named")
     order = F.struct("weight", "root")
     spans = saved(named.groupBy("token").agg(F.max(order).alias("high"), F.min(order).alias("low"))
                   .where("low < high").select("token", "high"), "spans")
     mixed = saved(named.join(spans, "token"), "mixed")
-    left = mixed.where(order < F.col("high")).select(
-        "token", F.col("row").alias("a"), F.col("size").alias("sa"), F.col("need").alias("na"), F.col("probe"),
-        F.col("tier").alias("ta"), F.col("root").alias("ra"), F.col("weight").alias("wa"))
-    right = mixed.select("token", F.col("row").alias("b"), F.col("size").alias("sb"), F.col("tier").alias("tb"),
-                         F.col("root").alias("rb"), F.col("weight").alias("wb"))
-    p, q = t.numerator, t.denominator
-    near = f"{q} * least(sa, sb) >= {p} * greatest(sa, sb)"
-    candidates = (left.where("ta <= probe").join(right, "token")
-                  .where("tb <= probe").where("wa < wb or (wa = wb and ra < rb)").where(near)
-                  .groupBy("a", "b", "probe").agg(F.count(F.lit(1)).alias("shared")).where("shared >= probe")
-                  .select("a", "b"))
-    candidates = saved(candidates.join(first.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
-    second = saved(_verified(candidates, _sets(kept, candidates, n), t), "links")
+    left = mixed.where(order < F.col("high")).where("tier <= probe").select(
+        "token", F.col("row").alias("a"), F.col("size").alias("sa"), F.col("need").alias("na"), F.col("probe").alias("m"),
+        F.col("place").alias("pa"), F.col("root").alias("ra"), F.col("weight").alias("wa"))
+    right = mixed.select("token", F.col("row").alias("b"), F.col("size").alias("sb"), F.col("need").alias("nb"),
+                         F.col("tier").alias("tb"), F.col("place").alias("pb"), F.col("root").alias("rb"),
+                         F.col("weight").alias("wb"))
+    found = (left.join(right, "token").where("tb <= m").where("wa < wb or (wa = wb and ra < rb)").where(_near(t))
+             .where(_early(t, "pa", "sa", "na")).where(_early(t, "pb", "sb", "nb")).select("a", "b").distinct())
+    found = saved(found.join(first.select("a", "b"), ["a", "b"], "left_anti"), "found")
+    lists = heads.select("row", "size", "need", "tokens")
+    both = found.join(lists.toDF("a", "sa", "na", "ta"), "a").join(lists.toDF("b", "sb", "nb", "tb"), "b")
+    candidates = saved(both.withColumns({"m": F.lit(_MOST), "shared": F.size(F.array_intersect("ta", "tb"))})
+                       .where(_enough(t)).select("a", "b"), "candidates")
+    second = saved(_verified(candidates, _sets(source, candidates, n), t), "links")
     labels = components(first.union(second))
+    # A text without shingles is linked with nothing: its root is a number of its own.
     inside = saved(rows.join(classes.select("digest", "head"), "digest", "left")
-                   .select("row", "doc_id", "content", "size", F.coalesce("head", "row").alias("head")), "inside")
+                   .select("number", "row", "doc_id", "size", "head"), "inside")
     inside = saved(inside.join(labels.withColumnRenamed("row", "head"), "head", "left").select(
-        "row", "doc_id", "content", "size", F.coalesce("root", "head").alias("root")), "rooted")
-    first_id = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+        "number", "row", "doc_id", "size", F.coalesce("root", "head").alias("root"),
+        F.when(F.col("head").isNull(), F.col("number")).alias("own")), "rooted")
+    first_id = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number")
     least = saved(inside.groupBy("root").agg(F.min(first_id).alias("one"), F.count(F.lit(1)).alias("k"))
                   .where("k > 1").drop("k"), "least")
-    alone = F.col("one").isNull()
+    alone = F.col("one").isNull() | F.col("own").isNotNull()
     return inside.join(least, "root", "left").select(
         "doc_id", "size", F.when(alone, F.col("doc_id")).otherwise(F.col("one.doc_id")).alias("component_id"),
-        (alone | (F.col("one.row") == F.col("row"))).alias("kept"), "content")
+        (alone | (F.col("one.number") == F.col("number"))).alias("kept"), F.col("row").alias("content"))
 
 
 def _sets(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """``row, tokens``: the whole sets of the documents in ``pairs``, as sorted 64-bit numbers."""
+    """``row, tokens``: the whole sets of the documents in ``pairs``, as sorted 64-bit numbers.
+
+    A bitmap of their rows is tested on every document; the join that follows is exact.
+    """
+    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "row"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(sieve(batch, "row", shared.value)):
                 doc, tokens = shingle_sets(part.column("text"), n)
                 ends = np.cumsum(np.bincount(doc, minlength=part.num_rows)) * 8
                 raw = tokens.tobytes()
@@ -274,6 +350,4 @@ def _sets(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
                     [part.column("row"), pa.array([raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())],
                                                   pa.binary())], ["row", "tokens"])
 
-    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b"))
-    some = bitmap_filter(docs.select("row", "text"), "row", bitmap(wanted, "row"))
-    return mapped(some, run, "row long, tokens binary")
+    return mapped(docs.select("row", "text"), run, "row long, tokens binary")
