@@ -163,12 +163,13 @@ def _enough(t: Fraction) -> str:
 
 
 def _early(t: Fraction, place: str, size: str, need: str) -> str:
-    """Whether a shared token can be the rarest one of a similar pair.
+    """Whether a shared token can be one of the ``m`` rarest ones of a similar pair.
 
-    As many shared tokens as the pair has to have, less one, come after it in either prefix.
-    Places are those of the longest prefix, at most ``_MOST - m`` too large.
+    The others that the pair has to share come after it in either prefix. Places are those
+    of the longest prefix, at most ``_MOST - m`` too large.
     """
-    return f"{place} - ({_MOST} - m) <= least({size}, {size} - {need} + m) - {_demand(t)}"
+    demand = _demand(t)
+    return f"{place} - ({_MOST} - m) <= least({size}, {size} - {need} + m) - {demand} + least(m, {demand}) - 1"
 
 
 def _postings(heads: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -309,7 +310,9 @@ def similar_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id:
                          F.col("tier").alias("tb"), F.col("place").alias("pb"), F.col("root").alias("rb"),
                          F.col("weight").alias("wb"))
     found = (left.join(right, "token").where("tb <= m").where("wa < wb or (wa = wb and ra < rb)").where(_near(t))
-             .where(_early(t, "pa", "sa", "na")).where(_early(t, "pb", "sb", "nb")).select("a", "b").distinct())
+             .where(_early(t, "pa", "sa", "na")).where(_early(t, "pb", "sb", "nb"))
+             .groupBy("a", "b", "sa", "sb", "na", "nb", "m").agg(F.count(F.lit(1)).alias("shared"))
+             .where(f"shared >= least(m, {_demand(t)})").select("a", "b"))
     found = saved(found.join(first.select("a", "b"), ["a", "b"], "left_anti"), "found")
     lists = heads.select("row", "size", "need", "tokens")
     both = found.join(lists.toDF("a", "sa", "na", "ta"), "a").join(lists.toDF("b", "sb", "nb", "tb"), "b")
