@@ -79,10 +79,39 @@ class Tagger:
             out[t] = state
         return (out[::-1] if d else out), kept
 
+    def _states(self, ids: np.ndarray, d: int) -> np.ndarray:
+        """Hidden states of one direction [T, h, B], as ``_run`` makes them, laid out and written in place for speed."""
+        h, (n, length) = self.h, ids.shape
+        # every gate is 1 / (1 + exp(-x)), and tanh(x) is twice that of 2 x, less 1
+        scale = -np.repeat(np.array([1, 2], np.float32), [3 * h, h])
+        table, wh = self.p["table"][d] * scale, np.ascontiguousarray((self.p["wh"][d] * scale).T)
+        seq = np.ascontiguousarray(ids.T).astype(np.intp)
+        out, cell, state = np.empty((length, h, n), np.float32), np.zeros((h, n), np.float32), np.zeros((h, n), np.float32)
+        z, pre, some = np.empty((4 * h, n), np.float32), np.empty((n, 4 * h), np.float32), np.empty((h, n), np.float32)
+        with np.errstate(over="ignore"):  # 1 / inf is 0, as it should be
+            for t in range(length - 1, -1, -1) if d else range(length):
+                np.matmul(wh, state, out=z)
+                z += np.take(table, seq[t], axis=0, out=pre, mode="clip").T
+                np.exp(z, out=z)
+                z += 1
+                np.reciprocal(z, out=z)
+                new = z[3 * h:]
+                new *= 2
+                new -= 1
+                cell *= z[h:2 * h]
+                cell += np.multiply(z[:h], new, out=some)
+                state = np.multiply(cell, -2, out=out[t])
+                np.exp(state, out=state)
+                state += 1
+                np.divide(2, state, out=state)
+                state -= 1
+                state *= z[2 * h:3 * h]
+        return out
+
     def emissions(self, ids: np.ndarray) -> np.ndarray:
         """Tag scores [B, T, TAGS]."""
-        both = np.concatenate([self._run(ids, 0)[0], self._run(ids, 1)[0]], 2)
-        return (both @ self.p["wo"] + self.p["bo"]).transpose(1, 0, 2)
+        both = np.concatenate([self._states(ids, 0), self._states(ids, 1)], 1)
+        return np.matmul(np.ascontiguousarray(self.p["wo"].T), both).transpose(2, 0, 1) + self.p["bo"]
 
     def loss(self, ids: np.ndarray, gold: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of tag sequences, and its gradient."""
@@ -175,6 +204,26 @@ class Tagger:
                 out[k] = path[starts[j]:, j]
         return out
 
+    def stretches(self, e: np.ndarray) -> list[tuple[int, int]]:
+        """Parts of a region outside which its best tags are "outside" for certain, with a place more at each side.
+
+        A run of other tags gains over "outside" at most the sum of what each of its places and
+        transitions gains; a place lies in the best path's runs only if a run through it can gain.
+        """
+        more = max(0.0, float(self.p["trans"].max() - self.p["trans"][0, 0]))
+        gain = (e[:, 1:].max(1) - e[:, 0]).astype(float) + more
+        sums = np.concatenate([[0.0], np.cumsum(gain)])
+        most = np.maximum.accumulate(sums[:0:-1])[::-1] - np.minimum.accumulate(sums[:-1])
+        open_ = np.concatenate([[False], most + more >= -1e-3, [False]])  # room for rounding
+        edge = np.flatnonzero(open_[1:] != open_[:-1])
+        out: list[tuple[int, int]] = []
+        for a, b in zip(np.maximum(edge[::2] - 1, 0).tolist(), np.minimum(edge[1::2] + 1, len(e)).tolist()):
+            if out and a < out[-1][1]:
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
+        return out
+
 
 def training_windows(docs: DataFrame, text: str, most: int) -> list[tuple[str, list]]:
     """At most ``most`` windows of whole-corpus texts with the spans that the patterns found in them.
@@ -216,7 +265,7 @@ def labelled_variants(windows: list[tuple[str, list]], count: int, seed: int = 5
 
     def make() -> tuple[str, int]:
         k = r.randint(0, 6)
-        name, host, end = names[r.randint(6)], hosts[r.randint(4)] + str(r.randint(100)), ends[r.randint(4)]
+        name, host, end = names[r.randint(6)], hosts[r.randint(4)] + ["", str(r.randint(100))][r.randint(2)], ends[r.randint(4)]
         if k == 0:
             mark, dot = [(" at ", " dot "), ("[at]", "[dot]"), ("(at)", "."), ("@", ".")][r.randint(4)]
             return f"{name}{mark}{host}{dot}{end}", 0
@@ -274,43 +323,35 @@ def train(docs: DataFrame, text: str = "text", most: int = 800, variants: int =
 
 
 def tag_texts(tagger: Tagger, texts: list[str], batch: int = 512) -> list[list]:
-    """Spans that the tagger sees in each text.
-
-    Personal data of these kinds has a digit or an @ in it, so windows without either are
-    outside by definition and are not run.
-    """
-    windows, where = [], []
+    """Spans that the tagger sees in each text. It is run on every window."""
     coded = [symbols(t) for t in texts]
-    for i, s in enumerate(coded):
-        hot = np.flatnonzero((s == 4) | (s == 32 + _PUNCTUATION.index("@"))) // STRIDE
-        for g in np.unique(np.maximum(np.concatenate([hot, hot - 1]), 0)).tolist():
-            part = s[g * STRIDE:g * STRIDE + WIDTH]
-            windows.append(np.pad(part, (0, WIDTH - len(part))))
-            where.append((i, g))
-    found: list[list] = [[] for _ in texts]
-    if not windows:
-        return found
-    ids = np.stack(windows)
+    room = [len(s) + WIDTH for s in coded]  # the last windows reach beyond the text
+    first = np.concatenate([[0], np.cumsum(room)]).astype(np.int64)
+    flat = np.zeros(first[-1], np.uint8)
+    starts = [np.arange(f, f + len(s), STRIDE) for f, s in zip(first.tolist(), coded)]
+    for f, s in zip(first.tolist(), coded):
+        flat[f:f + len(s)] = s
+    total, norm = np.zeros((first[-1], TAGS), np.float32), np.zeros((first[-1], 1), np.float32)
     weight = np.minimum(np.arange(1, WIDTH + 1), np.arange(WIDTH, 0, -1)).astype(np.float32)[:, None]
-    regions, origin, k = [], [], 0
-    scores = np.concatenate([tagger.emissions(ids[a:a + batch]) for a in range(0, len(ids), batch)])
-    while k < len(where):
-        j = k
-        while j + 1 < len(where) and where[j + 1][0] == where[k][0] and where[j + 1][1] == where[j][1] + 1:
-            j += 1
-        i, g = where[k]
-        length = min(len(coded[i]) - g * STRIDE, (where[j][1] - g) * STRIDE + WIDTH)
-        total, norm = np.zeros((length + WIDTH, TAGS), np.float32), np.zeros((length + WIDTH, 1), np.float32)
-        for m in range(k, j + 1):
-            at = (where[m][1] - g) * STRIDE
-            total[at:at + WIDTH] += scores[m] * weight
-            norm[at:at + WIDTH] += weight
-        regions.append(total[:length] / norm[:length])
-        origin.append((i, g * STRIDE))
-        k = j + 1
-    for (i, at), path in zip(origin, tagger.decode(regions)):
-        start = np.flatnonzero(path % 2 == 1)
-        for a in start.tolist():
+    for turn in range(WIDTH // STRIDE):  # windows of one turn do not overlap
+        at = np.concatenate([s[turn::WIDTH // STRIDE] for s in starts] or [np.empty(0, np.int64)])
+        for k in range(0, len(at), batch):
+            where = at[k:k + batch, None] + np.arange(WIDTH)
+            total[where] += tagger.emissions(flat[where]) * weight
+            norm[where] += weight
+    found: list[list] = [[] for _ in texts]
+    parts, origin = [], []
+    for i, (f, s) in enumerate(zip(first.tolist(), coded)):
+        if len(s):
+            whole = total[f:f + len(s)] / norm[f:f + len(s)]
+            for a, b in tagger.stretches(whole):
+                part = whole[a:b].copy()
+                for edge in [0] * (a > 0) + [-1] * (b < len(s)):  # "outside" for certain
+                    part[edge, 1:] = -1e9
+                parts.append(part)
+                origin.append((i, a))
+    for (i, at), path in zip(origin, tagger.decode(parts)):
+        for a in np.flatnonzero(path % 2 == 1).tolist():
             kind, b = (int(path[a]) - 1) // 2, a + 1
             while b < len(path) and path[b] == 2 + 2 * kind:
                 b += 1

@@ -311,6 +311,44 @@ def test_find_pii(spark, none):
     assert pii.find_pii(none, tagger).count() == 0
 
 
+def test_spelt_out_addresses_without_digits_are_seen():
+    plain = [(re.sub("[0-9]", "", X.prose(i, 14)), []) for i in range(200)]
+    windows = plain[:140] + pii.labelled_variants(plain[:140], 1200)
+    ids, gold = np.zeros((len(windows), pii.WIDTH), np.uint8), np.zeros((len(windows), pii.WIDTH), np.int64)
+    for i, (part, spans) in enumerate(windows):
+        part = part[:pii.WIDTH]
+        ids[i, :len(part)], gold[i] = pii.symbols(part), pii.tags(pii.WIDTH, spans)
+    tagger = pii.Tagger()
+    tagger.fit(ids, gold, 7)
+    held = [(t, s) for t, s in pii.labelled_variants(plain[140:], 1500, seed=99) if s and not re.search("[0-9@]", t)]
+    assert len(held) > 50
+    for front in ("", X.prose("front", 600)):  # alone, and behind other text
+        got = pii.tag_texts(tagger, [front + t for t, _ in held])
+        right = sum((s[0][0] + len(front), s[0][1] + len(front), s[0][2]) in g for g, (_, s) in zip(got, held))
+        assert right >= 0.75 * len(held)
+
+
+def test_decoding_stretches_equals_decoding_the_whole():
+    r, t = np.random.RandomState(2), pii.Tagger(hidden=3)
+    t.p["trans"] = r.randn(pii.TAGS, pii.TAGS).astype(np.float32)
+    for _ in range(60):
+        e = r.randn(60, pii.TAGS).astype(np.float32) * 3
+        e[:, 0] += r.choice([0, 4, 12], 60, p=[0.1, 0.3, 0.6])
+        got = np.zeros(60, np.int64)
+        for a, b in t.stretches(e):
+            part = e[a:b].copy()
+            for edge in [0] * (a > 0) + [-1] * (b < 60):
+                part[edge, 1:] = -1e9
+            got[a:b] = t.decode([part])[0]
+        assert got.tolist() == t.decode([e])[0].tolist()
+
+
+def test_emissions_equal_those_of_training():
+    t, ids = pii.Tagger(), np.random.RandomState(4).randint(0, 60, (5, 20)).astype(np.uint8)
+    both = np.concatenate([t._run(ids, d)[0] for d in (0, 1)], 2)
+    assert np.abs((both @ t.p["wo"] + t.p["bo"]).transpose(1, 0, 2) - t.emissions(ids)).max() < 1e-4
+
+
 # --- exact dedup ---
 
 @pytest.mark.parametrize("digest_bytes", [16, 1])
