@@ -248,6 +248,19 @@ def test_find_secrets(spark, none):
     assert secrets.find_secrets(none, net).count() == 0
 
 
+def test_every_class_keeps_the_demanded_recall(monkeypatch):
+    r, net = np.random.RandomState(6), secrets.Network()
+    gold = (np.arange(3000) % 10 == 0).astype(np.float32)
+    shapes = np.arange(3000) // 1000
+    x = (r.randn(3000) + gold * np.array([0.5, 2, 6])[shapes]).astype(np.float32)  # hard to tell, less hard, easy
+    monkeypatch.setattr(net, "logits", lambda coded: x)
+    net.calibrate([], gold, shapes, recall=0.95)
+    p = net.probabilities([])
+    for s in range(3):
+        kept = p[(shapes == s) & (gold == 1)] >= net.thresholds[s]
+        assert 0.95 <= kept.mean() <= 0.96
+
+
 def test_network_gradient():
     net = secrets.Network(width=3, filters=4, hidden=3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
