@@ -248,6 +248,29 @@ def test_find_secrets(spark, none):
     assert secrets.find_secrets(none, net).count() == 0
 
 
+def test_secrets_without_digits_short_or_with_symbols_are_candidates():
+    for text, body in (("it was kRtqWzbLmPxvDnYf then", "kRtqWzbLmPxvDnYf"), ("pwd: hunter2x", "hunter2x"),
+                       ("pass=abcdef, and", "abcdef"), ("login = 'cat&mouse!9'", "cat&mouse!9"), ("x p!ss#w0rd$of^me y", "p!ss#w0rd$of^me")):
+        assert body in [text[a:b] for a, b in secrets.candidates(text)], text
+
+
+def test_secrets_of_every_class_are_found_in_held_out_findings():
+    kinds: dict[int, list] = defaultdict(list)
+    findings = secrets.labelled_variants([], 2400, seed=11)
+    net = secrets.Network()
+    coded, gold = [secrets.encoded(t, (a, b)) for t, a, b, _ in findings], np.array([f[3] for f in findings], np.float32)
+    shapes = np.array([secrets.shape(t[a:b]) for t, a, b, _ in findings])
+    net.fit(coded[:1600], gold[:1600], 5)
+    net.calibrate(coded[1600:], gold[1600:], shapes[1600:], 0.95)
+    held = secrets.labelled_variants([], 1200, seed=77)
+    for t, a, b, label in held:
+        seen = (a, b) in secrets.candidates(t)
+        s = secrets.shape(t[a:b])
+        kinds[s + 10 * label].append(seen and net.probabilities([secrets.encoded(t, (a, b))])[0] >= net.thresholds[s])
+    assert all(len(kinds[10 + s]) > 20 and np.mean(kinds[10 + s]) > 0.8 for s in range(5)), {k: np.mean(v) for k, v in kinds.items()}
+    assert np.mean([x for s in range(5) for x in kinds[s]]) < 0.1
+
+
 def test_every_class_keeps_the_demanded_recall(monkeypatch):
     r, net = np.random.RandomState(6), secrets.Network()
     gold = (np.arange(3000) % 10 == 0).astype(np.float32)
