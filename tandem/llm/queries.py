@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import pii, quality, secrets
+from tandem.llm import clustering, pii, quality, rules, secrets
+from tandem.llm.collocations import collocations
 from tandem.llm.decontamination import benchmark_hits
 from tandem.llm.exact_dedup import exact_groups
 from tandem.llm.jaccard_join import similar_groups
@@ -137,3 +138,64 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     models = quality.train(docs, read(spark, sf_dir, "labels"))
     return quality.judge(docs, models, host="source", path=site_path()).drop("content")
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_collocations"] = r"""
+WITH piece AS (SELECT coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) t FROM documents),
+words AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') w FROM piece),
+phrase AS (SELECT lang, k, w[i:i + k - 1] p, count(*) f FROM words, unnest([1, 2, 3]) s(k), unnest(range(1, len(w) - k + 2)) u(i)
+    WHERE len(w) >= k GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT n FROM phrase WHERE k = 1 GROUP BY lang),
+candidate AS (SELECT lang, k, p, f a FROM phrase WHERE k > 1 AND f >= 10),
+around AS (SELECT lang, p[i:i + 1] p, max(a) f FROM candidate, unnest([1, 2]) u(i) WHERE k = 3 GROUP BY ALL),
+cuts AS (SELECT c.lang, c.p, c.a, j, x.f l, y.f r, (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) score
+    FROM candidate c, unnest(range(1, c.k)) u(j)
+    JOIN phrase x ON x.lang = c.lang AND x.p = c.p[1:j] JOIN phrase y ON y.lang = c.lang AND y.p = c.p[j + 1:c.k]),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+kept AS (SELECT s.*, array_to_string(s.p, ' ') phrase FROM lowest s LEFT JOIN around USING (lang, p)
+    WHERE around.f IS NULL OR 100 * around.f < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) rank, phrase, a, l, r, n,
+    score::BIGINT score FROM kept JOIN total USING (lang) QUALIFY rank <= 2000"""
+
+
+@query
+def op12_shallot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.with_inertia(*clustering.shallot(read(spark, sf_dir, "embeddings"), k=16, rounds=3, size=64))
+
+
+def _rounds(n: int) -> str:
+    """SQL of ``n`` rounds: assignment ``a<i>`` to centroids ``c<i>``, whose means are ``c<i + 1>``."""
+    out = []
+    for i in range(n + 1):
+        out.append(f"""a{i} AS (SELECT vec_id, x, c{i}.k, list_sum(list_transform(range(1, 65), lambda j: (x[j] - c[j]) * (x[j] - c[j]))) d
+    FROM vector, c{i} QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, c{i}.k) = 1)""")
+        if i < n:
+            out.append(f"""m{i} AS (SELECT k, j, sum(x[j]) s, count(*) q FROM a{i}, unnest(range(1, 65)) u(j) GROUP BY k, j),
+c{i + 1} AS (SELECT k, coalesce(c1, c) c FROM c{i} LEFT JOIN (SELECT k, list(((s - ((s % q) + q) % q) // q)::BIGINT ORDER BY j) c1
+    FROM m{i} GROUP BY k) USING (k))""")
+    return ",\n".join(out)
+
+
+ORACLES["op12_shallot"] = f"""
+WITH vector AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda v: floor(64 * v::DOUBLE)::BIGINT) x
+    FROM embeddings WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda v: v IS NOT NULL AND isfinite(v)))),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 k, x c FROM vector
+    QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id)) <= 16),
+{_rounds(3)}
+SELECT vec_id, k::INTEGER AS cluster, d::BIGINT distance, sum(d) OVER (PARTITION BY k)::BIGINT cluster_inertia,
+    sum(d) OVER ()::BIGINT inertia, sha256(array_to_string(c, ',')) centroid_sha256
+FROM a3 JOIN c3 USING (k)"""
+
+
+@query
+def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.judged(read(spark, sf_dir, "documents"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                        failed.alias("base_failed"), (~failed & F.col("good")).alias("kept"), "p_good")
