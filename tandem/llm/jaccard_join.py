@@ -24,6 +24,8 @@ from tandem.llm.common import as_bytes, bitmap, buffers, in_bitmap, ints, lists,
 
 _SKETCH = 20  # bits of the sketch's cells
 _MOST = 4  # the largest number of prefix matches that is asked for
+_FEW = 8  # tokens of so many sets at most are joined as they are
+_BAND = 1.05  # the ratio of the bands of sizes
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +155,8 @@ def _demand(t: Fraction) -> str:
     overlap is at most their number and what lies behind that prefix. Beyond ``m``, more
     matches are asked for as the sizes ask for more overlap.
     """
-    overlap = f"ceil({t.numerator} * (sa + sb) / ({t.numerator} + {t.denominator}) - 0.0000001)"
+    whole = t.numerator + t.denominator
+    overlap = f"({t.numerator} * (sa + sb) + {whole - 1}) div {whole}"
     behind = "greatest(sa - least(sa, sa - na + m), sb - least(sb, sb - nb + m))"
     return f"greatest({overlap} - {behind}, least(m, na, nb))"
 
@@ -163,13 +166,28 @@ def _enough(t: Fraction) -> str:
 
 
 def _early(t: Fraction, place: str, size: str, need: str) -> str:
-    """Whether a shared token can be one of the ``m`` rarest ones of a similar pair.
+    """Whether a shared token can be the rarest one of a similar pair: the others it has to share follow in either prefix."""
+    return f"{place} <= least({size}, {size} - {need} + m) - {_demand(t)}"
 
-    The others that the pair has to share come after it in either prefix. Places are those
-    of the longest prefix, at most ``_MOST - m`` too large.
+
+def _banded(postings: DataFrame, t: Fraction, own: str, other: str) -> DataFrame:
+    """``postings`` with the key columns ``own`` and ``other``: bands of their set's size and of a partner's.
+
+    A token can be the rarest one that a pair shares only up to a place that depends on both
+    sizes (see ``_early``; here with room for rounding, and for the better end of a band), so a posting
+    goes to those bands only where it may still be. That takes the tokens that a large group
+    shares out of the lists of sets which differ before them. Tokens of few sets need no bands.
     """
-    demand = _demand(t)
-    return f"{place} - ({_MOST} - m) <= least({size}, {size} - {need} + m) - {demand} + least(m, {demand}) - 1"
+    r = float(t)
+    band = F.floor(F.log(F.col("size")) / F.lit(math.log(_BAND)))
+    limit = "size - {r} / (1 + {r}) * (size + {x}) + greatest(0, {r} * ({x} - size)) + 2"
+    ends = [f"least(greatest(pow({_BAND}D, j + {k}) {e}, {r}D * size), size / {r}D)" for k, e in ((0, "- 1"), (1, "+ 1"))]
+    fits = " or ".join("place <= " + limit.format(r=f"{r}D", x=f"({x})") for x in ends)
+    bands = F.expr(f"filter(sequence({own} - {math.ceil(-math.log(r) / math.log(_BAND)) + 1}L, "
+                   f"{own} + {math.ceil(-math.log(r) / math.log(_BAND)) + 1}L), j -> {fits})")
+    frequent = postings.where(F.col("df") > _FEW).withColumn(own, band).withColumn(other, F.explode(bands))
+    rare = postings.where(F.col("df") <= _FEW).withColumns({own: F.lit(-1).cast("long"), other: F.lit(-1).cast("long")})
+    return frequent.unionByName(rare)
 
 
 def _postings(heads: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -285,11 +303,16 @@ def similar_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id:
                   .where("df > 1"), "again")
     shared = _postings(heads, bitmap(again, "token", 23)).join(again, "token")
     in_row = Window.partitionBy("row")
-    postings = saved(shared.withColumns({
-        "typical": F.sum("df").over(in_row),
-        # Places by exact frequency; tokens of no other prefix come first and were left out.
-        "place": F.row_number().over(in_row.orderBy("df", "token")) - 1
-        + F.least("size", F.expr(f"size - need + {_MOST}")) - F.count(F.lit(1)).over(in_row)}), "postings")
+    # Places are those by exact frequency in the shortest prefix that holds the token. Tokens of
+    # no other prefix come first and were left out.
+    before = in_row.orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.lit(0)
+    for m in range(1, _MOST + 1):
+        held = (F.col("tier") <= m).cast("int")
+        inside = (F.least("size", F.col("size") - F.col("need") + m) - F.sum(held).over(in_row)
+                  + F.coalesce(F.sum(held).over(before), F.lit(0)))
+        place = F.when(F.col("tier") == m, inside).otherwise(place)
+    postings = saved(shared.withColumns({"typical": F.sum("df").over(in_row), "place": place}), "postings")
 
     star = _stars(postings, t)
     first = saved(_verified(star, _sets(source, star, n), t), "links")
@@ -297,27 +320,27 @@ def similar_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id:
     sizes = labels.groupBy("root").agg(F.count(F.lit(1)).alias("weight"))
     placed = saved(labels.join(sizes, "root"), "placed")
     named = saved(postings.join(placed, "row", "left").select(
-        "token", "tier", "place", "row", "size", "need", "probe", F.coalesce("root", "row").alias("root"),
+        "token", "tier", "df", "place", "row", "size", "need", "probe", F.coalesce("root", "row").alias("root"),
         F.coalesce("weight", F.lit(1)).alias("weight")), "named")
     order = F.struct("weight", "root")
     spans = saved(named.groupBy("token").agg(F.max(order).alias("high"), F.min(order).alias("low"))
                   .where("low < high").select("token", "high"), "spans")
     mixed = saved(named.join(spans, "token"), "mixed")
-    left = mixed.where(order < F.col("high")).where("tier <= probe").select(
-        "token", F.col("row").alias("a"), F.col("size").alias("sa"), F.col("need").alias("na"), F.col("probe").alias("m"),
-        F.col("place").alias("pa"), F.col("root").alias("ra"), F.col("weight").alias("wa"))
-    right = mixed.select("token", F.col("row").alias("b"), F.col("size").alias("sb"), F.col("need").alias("nb"),
-                         F.col("tier").alias("tb"), F.col("place").alias("pb"), F.col("root").alias("rb"),
-                         F.col("weight").alias("wb"))
-    found = (left.join(right, "token").where("tb <= m").where("wa < wb or (wa = wb and ra < rb)").where(_near(t))
-             .where(_early(t, "pa", "sa", "na")).where(_early(t, "pb", "sb", "nb"))
-             .groupBy("a", "b", "sa", "sb", "na", "nb", "m").agg(F.count(F.lit(1)).alias("shared"))
-             .where(f"shared >= least(m, {_demand(t)})").select("a", "b"))
+    left = _banded(mixed.where(order < F.col("high")).where("tier <= probe"), t, "ka", "kb").select(
+        "token", "ka", "kb", F.col("row").alias("a"), F.col("size").alias("sa"), F.col("need").alias("na"),
+        F.col("probe").alias("m"), F.col("place").alias("pa"), F.col("root").alias("ra"), F.col("weight").alias("wa"))
+    right = _banded(mixed, t, "kb", "ka").select(
+        "token", "ka", "kb", F.col("row").alias("b"), F.col("size").alias("sb"), F.col("need").alias("nb"),
+        F.col("tier").alias("tb"), F.col("place").alias("pb"), F.col("root").alias("rb"), F.col("weight").alias("wb"))
+    found = (left.join(right, ["token", "ka", "kb"]).where("tb <= m").where("wa < wb or (wa = wb and ra < rb)")
+             .where(_near(t)).where(_early(t, "pa", "sa", "na")).where(_early(t, "pb", "sb", "nb"))
+             .select("a", "b", "m").distinct())
     found = saved(found.join(first.select("a", "b"), ["a", "b"], "left_anti"), "found")
     lists = heads.select("row", "size", "need", "tokens")
     both = found.join(lists.toDF("a", "sa", "na", "ta"), "a").join(lists.toDF("b", "sb", "nb", "tb"), "b")
-    candidates = saved(both.withColumns({"m": F.lit(_MOST), "shared": F.size(F.array_intersect("ta", "tb"))})
-                       .where(_enough(t)).select("a", "b"), "candidates")
+    # A document that chose to ask for more matches has so many more tokens in its prefix.
+    ahead = "size(array_intersect(slice(ta, 1, cast(least(sa, sa - na + m) as int)), slice(tb, 1, cast(least(sb, sb - nb + m) as int))))"
+    candidates = saved(both.withColumn("shared", F.expr(ahead)).where(_enough(t)).select("a", "b"), "candidates")
     second = saved(_verified(candidates, _sets(source, candidates, n), t), "links")
     labels = components(first.union(second))
     # A text without shingles is linked with nothing: its root is a number of its own.
