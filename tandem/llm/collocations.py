@@ -17,10 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.llm.common import as_bytes, buffers, ints, mapped, pieces, saved
+from tandem.llm.common import as_bytes, buffers, discard, ints, mapped, pieces, saved
 
 #: Bytes of text in a block; a longer text is a block by itself.
 BLOCK = 8 << 20
+#: Bits of a group's number in its block.
+_SHIFT = 26
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK, _END = np.zeros(256, bool), np.zeros(256, bool)
@@ -34,19 +36,35 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np
     inside = ~(end | _BLANK[data])
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
-    start, stop = inside.copy(), inside.copy()
-    start[1:] &= ~inside[:-1] | edge[1:-1]
-    stop[:-1] &= ~inside[1:] | edge[1:-1]
-    start, stop = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    doc = np.searchsorted(offsets, start, "right") - 1
-    ends = np.cumsum(end)[start] if len(start) else start
+    mark = inside.copy()
+    mark[1:] &= ~inside[:-1] | edge[1:-1]
+    start = np.flatnonzero(mark).astype(np.int32 if len(data) < 1 << 31 else np.int64)
+    mark[:] = inside
+    mark[:-1] &= ~inside[1:] | edge[1:-1]
+    size = np.flatnonzero(mark).astype(start.dtype) + 1 - start
+    del mark, edge
+    doc = (np.searchsorted(offsets, start, "right") - 1).astype(np.int32)
+    ends = np.cumsum(end, dtype=start.dtype)[start] if len(start) else start
     fresh = np.ones(len(start), bool)
     fresh[1:] = (ends[1:] != ends[:-1]) | (doc[1:] != doc[:-1])
-    bounds = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int64)
+    del end, ends
+    bounds = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
     held = pa.py_buffer(_LOWER[data[inside]].tobytes())
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), held]), doc, fresh
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Compressed, with the number of bytes in front: the relation is shuffled once for each length."""
+    raw = values.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _array(value: pa.Scalar, kind: type) -> np.ndarray:
+    raw = value.as_buffer()
+    size = int.from_bytes(raw[:8].to_pybytes(), "little")
+    return np.frombuffer(pa.decompress(raw[8:], decompressed_size=size, codec="zstd"), kind)
+
+
 def occurrences(docs: DataFrame, lang: str, text: str) -> DataFrame:
     """The relation of single words: a row for each block of texts.
 
@@ -54,7 +72,7 @@ def occurrences(docs: DataFrame, lang: str, text: str) -> DataFrame:
     -1 between pieces; ``langs``, ``names`` and ``n`` are the groups: language, word, count.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 16
         for batch in batches:
             for part in pieces(batch, "text", BLOCK):
                 names, doc, fresh = cut(*buffers(part.column("text")))
@@ -68,7 +86,7 @@ def occurrences(docs: DataFrame, lang: str, text: str) -> DataFrame:
                 ids[np.arange(len(code)) + np.cumsum(fresh)] = code
                 one = np.array([0, len(group)], np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [ints(np.array([number])), pa.array([ids.tobytes()], pa.binary()),
+                    [ints(np.array([number])), pa.array([_packed(ids)], pa.binary()),
                      pa.ListArray.from_arrays(one, of.dictionary.take(pa.array(group % width))),
                      pa.ListArray.from_arrays(one, coded.dictionary.take(pa.array(group // width)).cast(pa.binary())),
                      pa.ListArray.from_arrays(one, ints(count))], ["block", "ids", "langs", "names", "n"])
@@ -79,10 +97,6 @@ def occurrences(docs: DataFrame, lang: str, text: str) -> DataFrame:
                  "occurrences")
 
 
-def _array(value: pa.Scalar, kind: type) -> np.ndarray:
-    return np.frombuffer(value.as_buffer(), kind)
-
-
 def _longer(ids: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where phrases of ``size + 1`` words start whose first and last ``size`` words are in the relation ``at``.
 
@@ -103,16 +117,15 @@ def _words(size: int) -> list[str]:
 
 
 def _groups(relation: DataFrame, size: int) -> DataFrame:
-    """``block, g, w1.., n``: the groups of ``size + 1`` words of each block."""
-    names = ["block", "g", *_words(size + 1), "n"]
+    """``at, w1.., n``: the groups of ``size + 1`` words of each block; ``at`` is the block and the group's number in it."""
+    names = ["at", *_words(size + 1), "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, a, b, c in zip(*(batch.column(x) for x in ("block", "ids", "at", "vocab"))):
                 ids, vocab = _array(a, np.int32), _array(c, np.int64)
                 _, key, member = _longer(ids, _array(b, np.int32), size)
-                columns = [np.full(len(member), block.as_py()), np.arange(len(member)),
-                           *(vocab[ids[member + j]] for j in range(size + 1)), np.bincount(key, minlength=len(member))]
+                columns = [(block.as_py() << _SHIFT) + np.arange(len(member)), *(vocab[ids[member + j]] for j in range(size + 1)), np.bincount(key, minlength=len(member))]
                 yield pa.RecordBatch.from_arrays([ints(x) for x in columns], names)
 
     return mapped(relation, run, ", ".join(f"{n} long" for n in names))
@@ -123,7 +136,7 @@ _RELATION = "block long, ids binary, at binary, vocab binary"
 
 def _row(block: pa.Scalar, ids: np.ndarray, at: np.ndarray, vocab: np.ndarray) -> pa.Table:
     return pa.table({"block": pa.array([block.as_py()], pa.int64()), **{
-        k: pa.array([v.tobytes()], pa.binary()) for k, v in (("ids", ids), ("at", at), ("vocab", vocab))}})
+        k: pa.array([_packed(v)], pa.binary()) for k, v in (("ids", ids), ("at", at), ("vocab", vocab))}})
 
 
 def _semi_joined(relation: DataFrame, frequent: DataFrame, size: int) -> DataFrame:
@@ -161,27 +174,28 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int, lang: str, text:
     """
     first = occurrences(docs, lang, text)
     groups = first.select("block", F.posexplode(F.arrays_zip("langs", "names", "n")).alias("g", "one")).select(
-        "block", F.col("g").cast("long").alias("g"), F.col("one.langs").alias("lang"), F.col("one.names").alias("word"),
-        F.col("one.n").alias("n"))
-    totals = groups.groupBy("lang").agg(F.sum("n").alias("n"))
-    keys, found, relation = ["lang", "word"], [], first.select("block", "ids")
+        (F.shiftleft("block", _SHIFT) + F.col("g")).alias("at"), F.col("one.langs").alias("lang"),
+        F.col("one.names").alias("word"), F.col("one.n").alias("n"))
+    totals = saved(groups.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    keys, found, relation = ["lang", "word"], [], first
     for size in range(1, longest + 1):
         if size == longest > 1:  # nothing is made from these
             found.append(saved(groups.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least), "groups"))
             break
-        # A block has a group once, so no group has more rows here than there are blocks.
-        held = saved(groups.withColumn("f", F.sum("n").over(Window.partitionBy(*keys))).where(F.col("f") >= least)
-                     .drop("n"), "held")
-        whole = held.select(*keys, "f").distinct()
-        if size == 1:
-            whole = saved(whole.withColumn("id", F.monotonically_increasing_id()), "groups")
-            back = held.join(whole.drop("f"), keys).select("block", "g", "id")
-        else:
-            whole, back = saved(whole, "groups"), held.select("block", "g")
-        found.append(whole)
+        # A block has a group once, so no group has more rows here than there are blocks. The first
+        # block's number of a group is its number over all documents, and only that row keeps the words.
+        whole = Window.partitionBy(*keys)
+        held = groups.withColumns({"f": F.sum("n").over(whole), "id": F.min("at").over(whole)}).where(F.col("f") >= least)
+        own = F.col("at") == F.col("id")
+        held = saved(held.select("at", "id", "f", *(F.when(own, F.col(k)).alias(k) for k in keys)), "held")
+        found.append(saved(held.where(own).select("id", *keys, "f"), "groups"))
         if size < longest:
-            relation = _semi_joined(relation, back, size)
-            groups, keys = _groups(relation, size), _words(size + 1)
+            back = held.select(F.shiftright("at", _SHIFT).alias("block"), F.col("at").bitwiseAND((1 << _SHIFT) - 1).alias("g"),
+                               *(["id"] if size == 1 else []))
+            longer = _semi_joined(relation.select(*[c for c in relation.columns if c in ("block", "ids", "at", "vocab")]),
+                                  back, size)
+            discard(held, relation)
+            relation, groups, keys = longer, _groups(longer, size), _words(size + 1)
     return totals, found
 
 

@@ -1,6 +1,7 @@
 """What the operators share: saved tables, Arrow batches as byte arrays, bounded bitmaps."""
 from __future__ import annotations
 
+import gc
 import io
 import uuid
 import zipfile
@@ -10,7 +11,6 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import SparkFiles  # noqa: F401 - kept importable on executors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +55,26 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``saved`` that no plan reads any more, and let Spark drop the shuffle files of finished steps.
+
+    Spark's cleaner frees shuffle files once the driver's garbage collector has met the plans they belong to.
+    """
+    for table in tables:
+        path = getattr(table, "_saved_at", None)
+        if path:
+            sc = table.sparkSession.sparkContext
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+            table._saved_at = None
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def as_bytes(name: str) -> Column:

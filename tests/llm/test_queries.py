@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not p
 
 
 def test_names():
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in Q.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in Q.QUERIES} == set(range(1, 14))
     assert set(Q.QUERIES) | {"pipeline"} <= set(E.queries()) and set(Q.ORACLES) <= set(E.oracle_sql())
 
 
@@ -28,7 +28,7 @@ def rows(spark):
 @pytest.mark.parametrize("name", sorted(Q.ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = Q.QUERIES[name](spark, SF)
     cur = con.execute(Q.ORACLES[name])
