@@ -26,6 +26,7 @@ _SKETCH = 20  # bits of the sketch's cells
 _MOST = 4  # the largest number of prefix matches that is asked for
 _FEW = 8  # tokens of so many sets at most are joined as they are
 _BAND = 1.05  # the ratio of the bands of sizes
+_LAST = 8  # tokens before one whose rows make its own needless
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -312,7 +313,10 @@ def similar_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id:
         inside = (F.least("size", F.col("size") - F.col("need") + m) - F.sum(held).over(in_row)
                   + F.coalesce(F.sum(held).over(before), F.lit(0)))
         place = F.when(F.col("tier") == m, inside).otherwise(place)
-    postings = saved(shared.withColumns({"typical": F.sum("df").over(in_row), "place": place}), "postings")
+    last = in_row.orderBy("df", "token").rowsBetween(-_LAST, -1)
+    ahead = F.when(F.col("df") > _FEW, F.collect_list(F.struct("token", "tier")).over(last))
+    postings = saved(shared.withColumns({"typical": F.sum("df").over(in_row), "place": place, "ahead": ahead})
+                     .withColumn("ahead", F.expr("transform(filter(ahead, s -> s.tier <= tier), s -> s.token)")), "postings")
 
     star = _stars(postings, t)
     first = saved(_verified(star, _sets(source, star, n), t), "links")
@@ -320,7 +324,7 @@ def similar_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id:
     sizes = labels.groupBy("root").agg(F.count(F.lit(1)).alias("weight"))
     placed = saved(labels.join(sizes, "root"), "placed")
     named = saved(postings.join(placed, "row", "left").select(
-        "token", "tier", "df", "place", "row", "size", "need", "probe", F.coalesce("root", "row").alias("root"),
+        "token", "tier", "df", "place", "ahead", "row", "size", "need", "probe", F.coalesce("root", "row").alias("root"),
         F.coalesce("weight", F.lit(1)).alias("weight")), "named")
     order = F.struct("weight", "root")
     spans = saved(named.groupBy("token").agg(F.max(order).alias("high"), F.min(order).alias("low"))
@@ -328,13 +332,16 @@ def similar_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id:
     mixed = saved(named.join(spans, "token"), "mixed")
     left = _banded(mixed.where(order < F.col("high")).where("tier <= probe"), t, "ka", "kb").select(
         "token", "ka", "kb", F.col("row").alias("a"), F.col("size").alias("sa"), F.col("need").alias("na"),
-        F.col("probe").alias("m"), F.col("place").alias("pa"), F.col("root").alias("ra"), F.col("weight").alias("wa"))
+        F.col("probe").alias("m"), F.col("place").alias("pa"), F.col("ahead").alias("la"), F.col("root").alias("ra"), F.col("weight").alias("wa"))
     right = _banded(mixed, t, "kb", "ka").select(
         "token", "ka", "kb", F.col("row").alias("b"), F.col("size").alias("sb"), F.col("need").alias("nb"),
-        F.col("tier").alias("tb"), F.col("place").alias("pb"), F.col("root").alias("rb"), F.col("weight").alias("wb"))
+        F.col("tier").alias("tb"), F.col("place").alias("pb"), F.col("ahead").alias("lb"), F.col("root").alias("rb"),
+        F.col("weight").alias("wb"))
     found = (left.join(right, ["token", "ka", "kb"]).where("tb <= m").where("wa < wb or (wa = wb and ra < rb)")
              .where(_near(t)).where(_early(t, "pa", "sa", "na")).where(_early(t, "pb", "sb", "nb"))
-             .select("a", "b", "m").distinct())
+             # A pair that shares a token shortly before this one has its row from there.
+             .where("la is null or not arrays_overlap(la, lb)").select("a", "b", "m"))
+    found = saved(found.distinct(), "found")
     found = saved(found.join(first.select("a", "b"), ["a", "b"], "left_anti"), "found")
     lists = heads.select("row", "size", "need", "tokens")
     both = found.join(lists.toDF("a", "sa", "na", "ta"), "a").join(lists.toDF("b", "sb", "nb", "tb"), "b")
