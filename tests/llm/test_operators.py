@@ -311,7 +311,7 @@ def test_tagger_gradient_and_decoding():
     r = np.random.RandomState(1)
     ids, gold = r.randint(0, 60, (2, 7)).astype(np.uint8), r.randint(0, pii.TAGS, (2, 7))
     _, grad = t.loss(ids, gold)
-    for k, at in (("table", (1, ids[0, 2], 4)), ("wh", (0, 1, 5)), ("wo", (2, 3)), ("bo", (4,)), ("trans", (1, 2))):
+    for k, at in (("emb", (ids[0, 2], 4)), ("wx", (1, 3, 4)), ("b", (0, 5)), ("wh", (0, 1, 5)), ("wo", (2, 3)), ("bo", (4,)), ("trans", (1, 2))):
         t.p[k][at] += 1e-3
         high = t.loss(ids, gold)[0]
         t.p[k][at] -= 2e-3
@@ -324,7 +324,7 @@ def test_tagger_gradient_and_decoding():
     regions = [r.randn(n, pii.TAGS).astype(np.float32) for n in (1, 3, 4)]
     for e, path in zip(regions, t.decode(regions)):
         def score(p):
-            return sum(e[i, x] for i, x in enumerate(p)) + sum(t.p["trans"][a, b] for a, b in zip(p, p[1:]))
+            return sum(e[i, x] for i, x in enumerate(p)) + sum(t.steps()[a, b] for a, b in zip(p, p[1:]))
         assert abs(max(map(score, itertools.product(range(pii.TAGS), repeat=len(e)))) - score(path.tolist())) < 1e-4
 
 
@@ -367,16 +367,24 @@ def test_spelt_out_addresses_without_digits_are_seen():
 def test_decoding_stretches_equals_decoding_the_whole():
     r, t = np.random.RandomState(2), pii.Tagger(hidden=3)
     t.p["trans"] = r.randn(pii.TAGS, pii.TAGS).astype(np.float32)
+    closed = 0
     for _ in range(60):
         e = r.randn(60, pii.TAGS).astype(np.float32) * 3
         e[:, 0] += r.choice([0, 4, 12], 60, p=[0.1, 0.3, 0.6])
-        got = np.zeros(60, np.int64)
-        for a, b in t.stretches(e):
-            part = e[a:b].copy()
-            for edge in [0] * (a > 0) + [-1] * (b < 60):
-                part[edge, 1:] = -1e9
-            got[a:b] = t.decode([part])[0]
+        got, inside = np.zeros(62, np.int64), np.ones(62, bool)
+        inside[[0, 61]] = False
+        around = np.concatenate([np.zeros((1, pii.TAGS)), e, np.zeros((1, pii.TAGS))]).astype(np.float32)
+        open_ = t.open_places(around.T, inside)
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], open_, [0]])))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            part = around[max(1, a - 1):min(61, b + 1)].copy()
+            for place in [0] * (a > 1) + [-1] * (b < 61):
+                part[place, 1:] = -1e9
+            got[max(1, a - 1):min(61, b + 1)] |= t.decode([part])[0]
+        closed += 60 - int(open_.sum())
+        got = got[1:61]
         assert got.tolist() == t.decode([e])[0].tolist()
+    assert closed > 200
 
 
 def test_emissions_equal_those_of_training():
