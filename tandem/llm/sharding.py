@@ -46,56 +46,80 @@ def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def ordinal(df: DataFrame, name: str) -> Column:
-    """A column as a double that keeps its order: strings by their first six bytes; null is null."""
-    if isinstance(df.schema[name].dataType, StringType):
-        return F.conv(F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return F.col(name).cast("double")
+def _numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``rows`` sorted by range, saved, with ``part`` and ``at``, the place within the part."""
+    ranged = saved(rows.repartitionByRange(*order).sortWithinPartitions(*order)
+                   .withColumn("number", F.monotonically_increasing_id()), "ranged")
+    return ranged.select("*", F.shiftright("number", 33).alias("part"),
+                         F.col("number").bitwiseAND(F.lit((1 << 33) - 1)).alias("at")).drop("number")
+
+
+def _starts(parts: DataFrame) -> DataFrame:
+    """``part, before, whole``: from ``part, n`` the sum of the parts before each, and of all. A row for each partition."""
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"),
+                        F.sum("n").over(Window.partitionBy()).alias("whole"))
+
+
+def string_bounds(values: DataFrame, cells: int) -> list[str]:
+    """At most ``cells - 1`` of the whole strings ``values.value`` that cut the rows into runs of about equal length.
+
+    Counts of distinct strings are sorted by range and cumulated part by part; the driver gets the bounds.
+    """
+    counts = saved(values.where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n")), "counts")
+    rows = _numbered(counts, ["value"])
+    starts = _starts(rows.groupBy("part").agg(F.sum("n").alias("n")))
+    inside = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("own", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(starts), "part")
+    cell = F.floor((F.col("before") + F.col("own")) / F.col("whole") * cells)
+    got = placed.groupBy(cell.alias("cell")).agg(F.min("value").alias("value")).collect()  # one row a cell
+    return sorted((r["value"] for r in got), key=lambda v: v.encode())[1:]
 
 
 def hilbert_shards(docs: DataFrame, shards: int, dimensions: Sequence[str], tie: Sequence[str] = (),
                    bits: int = 5) -> DataFrame:
     """``docs`` with ``curve``, ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard).
 
-    Every dimension is quantised at its ``2**bits - 1`` quantiles (approximate, over all
-    rows; only these boundaries reach the driver), null being the lowest. Rows are sorted
+    Every dimension is quantised at its ``2**bits - 1`` quantiles (numbers: approximate; strings: whole ones, by
+    exact counts; only these boundaries reach the driver), null being the lowest. Rows are sorted
     by curve index, then by ``tie``, and cut into runs whose lengths differ by one at
     most. The sort is by range with a unique last key, so equal rows, a hot dimension
     value or a single cell are spread over many tasks. With fewer rows than shards some
-    shards stay empty; an empty table gives an empty result. ``docs`` is read once per
-    pass, so hand over the slim columns only.
+    shards stay empty; an empty table gives an empty result; columns of ``docs`` with the names of the
+    three new ones are replaced. ``docs`` is read once per pass, so hand over the slim columns only.
     """
-    inner = [f"__d{i}" for i in range(len(dimensions))]
-    slim = saved(docs.withColumns({d: ordinal(docs, n) for d, n in zip(inner, dimensions)})
-                 .withColumn("__row", F.monotonically_increasing_id()), "points")
-    cells = 1 << bits
+    names, cells = [f"d{i}" for i in range(len(dimensions))], 1 << bits
+    strings = [isinstance(docs.schema[d].dataType, StringType) for d in dimensions]
+    columns = [F.col(d) if text else F.col(d).cast("double") for d, text in zip(dimensions, strings)]
+    slim = saved(docs.select(F.struct(*docs.columns).alias("given"), *(c.alias(n) for c, n in zip(columns, names)),
+                             F.monotonically_increasing_id().alias("row")), "points")
     marks = [k / cells for k in range(1, cells)]
-    edges = slim.agg(*(F.percentile_approx(d, marks, 10000).alias(d) for d in inner)).head()
-    bounds = [np.unique(np.array(edges[d] or [], float)) for d in inner]
+    numbers = [n for n, text in zip(names, strings) if not text]
+    edges = slim.agg(F.count(F.lit(1)), *(F.percentile_approx(n, marks, 10000).alias(n) for n in numbers)).head()
+    bounds = [string_bounds(slim.select(F.col(n).alias("value")), cells) if text else sorted(set(edges[n] or []))
+              for n, text in zip(names, strings)]
 
-    kept = slim.select(*inner, *(c for c in slim.columns if c not in inner))
+    def cell(name: str, marks: list) -> Column:
+        """How many bounds a value has reached; one more where a cell is left for null."""
+        total = F.lit(int(len(marks) + 1 < cells))
+        for mark in marks:
+            total = total + (F.col(name) >= F.lit(mark)).cast("int")
+        # not a number is taken for null
+        return F.coalesce(F.when(~F.isnan(F.col(name)) if name in numbers else F.lit(True), total), F.lit(0)).alias(name)
 
     def curve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(inner))]
-            got = [np.where(np.isnan(v), 0, np.searchsorted(b, np.nan_to_num(v), "right") + (len(b) + 1 < cells))
-                   for v, b in zip(got, bounds)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[len(inner):], pa.array(hilbert_index(np.stack(got, 1), bits))],
-                [*batch.schema.names[len(inner):], "curve"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[len(inner):])
-    placed = mapped(kept, curve, f"{schema}, curve long")
-    order = ["curve", *tie, "__row"]
-    ranged = saved(placed.repartitionByRange(*order).sortWithinPartitions(*order)
-                   .withColumn("__at", F.monotonically_increasing_id()), "curve")
-    part, inside = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = ranged.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
-                           F.sum("__n").over(Window.partitionBy()).alias("__all"))
-    return (ranged.withColumn("__part", part).join(F.broadcast(starts), "__part")  # a row for each partition
-            .withColumn("__rank", F.col("__before") + inside)
-            .withColumn("shard", F.expr(f"cast(__rank * {shards} div __all as int)"))
-            .withColumn("slot", F.expr(f"__rank - (shard * __all + {shards - 1}) div {shards}"))
-            .drop("__part", "__before", "__all", "__rank", "__at", "__row"))
+            got = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], 1)
+            yield pa.RecordBatch.from_arrays([batch.column("given"), batch.column("row"), pa.array(hilbert_index(got, bits))],
+                                             ["given", "row", "curve"])
+
+    celled = slim.select("given", "row", *(cell(n, b) for n, b in zip(names, bounds)))
+    placed = mapped(celled, curve, f"given {slim.schema['given'].dataType.simpleString()}, row long, curve long")
+    keyed = placed.select("*", *(F.col("given")[t].alias(f"tie{i}") for i, t in enumerate(tie)))
+    rows = _numbered(keyed, ["curve", *(f"tie{i}" for i in range(len(tie))), "row"])
+    starts = _starts(rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")))
+    out = (rows.join(F.broadcast(starts), "part").withColumn("rank", F.col("before") + F.col("at"))
+           .withColumn("shard", F.expr(f"cast(rank * {shards} div whole as int)"))
+           .withColumn("slot", F.expr(f"rank - (shard * whole + {shards - 1}) div {shards}")))
+    kept = [c for c in docs.columns if c.lower() not in ("curve", "shard", "slot")]
+    return out.select(*(F.col("given")[c].alias(c) for c in kept), "curve", "shard", "slot")

@@ -15,7 +15,7 @@ from tandem.llm.jaccard_join import components as link_components
 from tandem.llm.jaccard_join import similar_groups
 from tandem.llm.packing import pack
 from tandem.llm.queries import bpe_path
-from tandem.llm.sharding import hilbert_index, hilbert_shards
+from tandem.llm.sharding import hilbert_index, hilbert_shards, string_bounds
 from tandem.llm.spans import pii_spans, secret_spans
 from tandem.llm.substring_dedup import remove_repeats, samples
 from tests.llm import fixtures as X
@@ -140,6 +140,27 @@ def test_shards(docs, shards):
     assert [x[1:] for x in sorted(at, key=lambda x: x[1:])] == [x[1:] for x in sorted(at)]
 
 
+def test_sources_with_a_common_beginning_are_told_apart(spark):
+    rows = [(i, f"https://example/{'abcdefgh'[i % 8]}", i, 7) for i in range(400)] + [(400, None, 1, 7), (401, "z\u00e9", 2, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, slot long, row long").repartition(3)
+    got = hilbert_shards(df, 8, ["source"], tie=["doc_id"], bits=4).collect()
+    assert X.order((r.doc_id, r.source, r.row) for r in got) == X.order((a, b, d) for a, b, _, d in rows)
+    ordered = [r.source or "" for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    assert ordered == sorted(ordered, key=str.encode)  # one dimension: the curve is its order
+    assert max(len({r.source for r in got if r.shard == s}) for s in range(8)) <= 4
+
+
+def test_string_bounds_are_quantiles_of_whole_strings(spark):
+    r = np.random.RandomState(3)
+    values = [f"common-prefix-{x:05d}" for x in np.minimum(r.geometric(0.01, 3000), 400)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "value string").repartition(5)
+    bounds, ordered = string_bounds(df, 16), sorted(values)
+    assert bounds == sorted(set(bounds)) and len(bounds) <= 15
+    cells = np.searchsorted(bounds, ordered, "right")
+    single = Counter(values).most_common(1)[0][1]
+    assert max(Counter(cells.tolist()).values()) <= 3000 / 16 + 2 * single
+
+
 def test_shards_of_nothing(none):
     assert hilbert_shards(none.select("doc_id", "lang"), 4, ["doc_id", "lang"]).count() == 0
 

@@ -2,6 +2,8 @@
 import hashlib
 import os
 import re
+import zlib
+from collections import Counter
 
 import duckdb
 import pytest
@@ -48,7 +50,12 @@ def test_substring_dedup(spark, rows):
 
 def test_sharding(spark, rows):
     got = Q.op3_sharding(spark, SF).collect()
-    assert len(got) == len(rows) and {r.law for r in got} == {"rows"} and all(r.grown_shard is None for r in got)
+    raw = [(i, (t or "").encode()) for i, t in rows]
+    assert X.order((r.doc_id, r["size"], r.text_crc32) for r in got) == X.order((i, len(b) + 8, zlib.crc32(b)) for i, b in raw)
+    assert {r.law for r in got} == {"rows"} and all(r.grown_shard is None for r in got)
+    sizes = Counter(r.shard for r in got)
+    assert set(sizes) == set(range(24)) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in sizes.items())
 
 
 def test_language(spark, rows):
