@@ -24,9 +24,10 @@ from tandem.llm.common import as_bytes, bitmap, buffers, in_bitmap, ints, lists,
 
 _SKETCH = 20  # bits of the sketch's cells
 _MOST = 4  # the largest number of prefix matches that is asked for
-_FEW = 8  # tokens of so many sets at most are joined as they are
+_FEW = 8  # a pair's rows from tokens of so many sets at most are all made
+_MANY = 64  # tokens of so many sets at most are joined without bands
 _BAND = 1.05  # the ratio of the bands of sizes
-_LAST = 8  # tokens before one whose rows make its own needless
+_LAST = 4  # tokens before one whose rows make its own needless
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,19 +177,18 @@ def _banded(postings: DataFrame, t: Fraction, own: str, other: str) -> DataFrame
 
     A token can be the rarest one that a pair shares only up to a place that depends on both
     sizes (see ``_early``; here with room for rounding, and for the better end of a band), so a posting
-    goes to those bands only where it may still be. That takes the tokens that a large group
-    shares out of the lists of sets which differ before them. Tokens of few sets need no bands.
+    goes to those of the few bands of similar sizes where it may still be. That takes the tokens that a large
+    group shares out of the lists of sets which differ before them. Tokens of up to ``_MANY`` sets need no bands.
     """
     r = float(t)
-    band = F.floor(F.log(F.col("size")) / F.lit(math.log(_BAND)))
-    limit = "size - {r} / (1 + {r}) * (size + {x}) + greatest(0, {r} * ({x} - size)) + 2"
-    ends = [f"least(greatest(pow({_BAND}D, j + {k}) {e}, {r}D * size), size / {r}D)" for k, e in ((0, "- 1"), (1, "+ 1"))]
-    fits = " or ".join("place <= " + limit.format(r=f"{r}D", x=f"({x})") for x in ends)
-    bands = F.expr(f"filter(sequence({own} - {math.ceil(-math.log(r) / math.log(_BAND)) + 1}L, "
-                   f"{own} + {math.ceil(-math.log(r) / math.log(_BAND)) + 1}L), j -> {fits})")
-    frequent = postings.where(F.col("df") > _FEW).withColumn(own, band).withColumn(other, F.explode(bands))
-    rare = postings.where(F.col("df") <= _FEW).withColumns({own: F.lit(-1).cast("long"), other: F.lit(-1).cast("long")})
-    return frequent.unionByName(rare)
+    frequent = postings.where(F.col("df") > _MANY).withColumn(own, F.floor(F.log(F.col("size")) / F.lit(math.log(_BAND))))
+    reach = math.ceil(-math.log(r) / math.log(_BAND)) + 1
+    out = postings.where(F.col("df") <= _MANY).withColumns({own: F.lit(-1).cast("long"), other: F.lit(-1).cast("long")})
+    for step in range(-reach, reach + 1):
+        ends = [f"least(greatest(pow({_BAND}D, {own} + {step + k}) {e}, {r}D * size), size / {r}D)" for k, e in ((0, "- 1"), (1, "+ 1"))]
+        fits = [f"place <= size - {r}D / (1 + {r}D) * (size + {x}) + greatest(0, {r}D * ({x} - size)) + 2" for x in ends]
+        out = out.unionByName(frequent.where(" or ".join(fits)).withColumn(other, F.col(own) + step))
+    return out
 
 
 def _postings(heads: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -330,6 +330,7 @@ def similar_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id:
     spans = saved(named.groupBy("token").agg(F.max(order).alias("high"), F.min(order).alias("low"))
                   .where("low < high").select("token", "high"), "spans")
     mixed = saved(named.join(spans, "token"), "mixed")
+    # The lists are read once for each band.
     left = _banded(mixed.where(order < F.col("high")).where("tier <= probe"), t, "ka", "kb").select(
         "token", "ka", "kb", F.col("row").alias("a"), F.col("size").alias("sa"), F.col("need").alias("na"),
         F.col("probe").alias("m"), F.col("place").alias("pa"), F.col("ahead").alias("la"), F.col("root").alias("ra"), F.col("weight").alias("wa"))
