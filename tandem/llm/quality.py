@@ -71,12 +71,14 @@ class Linear:
         return sums + (shaped(stats) - self.mean) @ self.stats + self.bias
 
 
-def fit_linear(doc: np.ndarray, feature: np.ndarray, stats: np.ndarray, gold: np.ndarray, most: int = 400,
-               least_z: float = 5.0, steps: int = 250) -> Linear:
-    """Logistic regression on the ``most`` features that tell the classes apart best, and the statistics.
-
-    A feature is taken if it is ``least_z`` deviations more frequent in one class and
-    occurs in three texts or more. With one class only the model is that class's constant.
+def fit_linear(doc: np.ndarray, feature: np.ndarray, stats: np.ndarray, gold: np.ndarray, steps: int = 200,
+               penalty: float = 1e-4, doubt: float = 3.0) -> Linear:
+    """Logistic regression on the word features and the statistics.
+
+    A feature that is z deviations more frequent in one class than chance has it is scaled by
+    ``1 - (doubt / z)**2``, and by 0 below ``doubt``: the penalty then holds down what little evidence
+    there is for, and there is no limit to how many features count. With one class only the model
+    is that class's constant.
     """
     n = len(gold)
     good = float(gold.mean()) if n else 1.0
@@ -84,36 +86,36 @@ def fit_linear(doc: np.ndarray, feature: np.ndarray, stats: np.ndarray, gold: np
         return Linear(np.zeros(_FEATURES), np.zeros(3 * _STATS), 3.0 if good == 1 else -3.0, np.zeros(3 * _STATS))
     hits = np.bincount(feature, weights=gold[doc], minlength=_FEATURES)
     total = np.bincount(feature, minlength=_FEATURES)
-    z = (hits - total * good) / np.sqrt(total * good * (1 - good) + 1)
-    z[total < 3] = 0
-    chosen = np.argsort(-np.abs(z), kind="stable")[:most]
-    chosen = chosen[np.abs(z[chosen]) >= least_z]
-    place = np.full(_FEATURES, -1)
-    place[chosen] = np.arange(len(chosen))
-    x = np.zeros((n, len(chosen) + 3 * _STATS), np.float32)
-    held = place[feature] >= 0
-    x[doc[held], place[feature[held]]] = 1
+    z = np.abs(hits - total * good) / np.sqrt(total * good * (1 - good) + 1)
+    weight = 1 - (doubt / np.maximum(z, doubt)) ** 2
+    some = weight[feature] > 0
+    doc, feature = doc[some], feature[some]
+    chosen, column = np.unique(feature, return_inverse=True)
+    value = weight[feature]
     mean = shaped(stats).mean(0)
-    x[:, len(chosen):] = shaped(stats) - mean
-    w, b = np.zeros(x.shape[1]), np.log(good / (1 - good))
+    x = shaped(stats) - mean
+    size = len(chosen)
+    w, b = np.zeros(size + x.shape[1]), np.log(good / (1 - good))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-(x @ w.astype(np.float32) + b)))
-        g = np.append((p - gold).astype(np.float32) @ x / n + 1e-4 * w, (p - gold).mean())
+        z = np.bincount(doc, weights=w[column] * value, minlength=n) + x @ w[size:] + b
+        left = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - gold
+        g = np.concatenate([np.bincount(column, weights=left[doc] * value, minlength=size), left @ x]) / n + penalty * w
+        g = np.append(g, left.mean())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         delta = 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
         w, b = w - delta[:-1], b - delta[-1]
     words = np.zeros(_FEATURES)
-    words[chosen] = w[:len(chosen)]
-    return Linear(words, w[len(chosen):], float(b), mean)
+    words[chosen] = w[:size] * weight[chosen]
+    return Linear(words, w[size:], float(b), mean)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 8000, doc_id: str = "doc_id", text: str = "text",
-          quality: str = "quality", toxic: str = "toxic") -> tuple[Linear, Linear]:
+def train(docs: DataFrame, labels: DataFrame, most: int = 12000, doc_id: str = "doc_id", text: str = "text",
+          quality: str = "quality", toxic: str = "toxic", seen: int = 3) -> tuple[Linear, Linear]:
     """Models of "not junk" and of "not toxic" from at most ``most`` labelled documents, those of least hash.
 
     Rows with a null label count for neither class of it. Features are made where the
-    documents lie; the driver gets them only, a bounded number for each text.
+    documents lie and counted by Spark; the driver gets those of ``seen`` documents and more only, and no text.
     """
     some = (labels.where(F.col(doc_id).isNotNull())
             .select(F.col(doc_id).alias("id"), F.col(quality).cast("double").alias("q"), F.col(toxic).cast("double").alias("t"))
@@ -131,7 +133,24 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 8000, doc_id: str = "d
                      lists(pa.array(stats.ravel()), np.full(len(stats), _STATS))], ["q", "t", "features", "stats"])
 
     schema = "q double, t double, features array<int>, stats array<float>"
-    table = mapped(given.select("text", "q", "t"), run, schema).limit(2 * most).toArrow()
+    table = saved(mapped(given.select("text", "q", "t"), run, schema).limit(2 * most), "labelled")
+    often = (table.select(F.explode("features").alias("feature")).groupBy("feature").count()
+             .where(F.col("count") >= seen).select("feature").toArrow().column("feature").to_numpy())  # of 2**19 at most
+    known = np.zeros(_FEATURES, bool)
+    known[often] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(known))
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            held = batch.column("features")
+            values, row = held.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), held.value_lengths().to_numpy())
+            some = kept[values]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("q"), batch.column("t"), lists(pa.array(values[some]), np.bincount(row[some], minlength=batch.num_rows)),
+                 batch.column("stats")], batch.schema.names)
+
+    table = mapped(table, filtered, schema).toArrow()
     held = [table.column(c).combine_chunks() for c in ("features", "stats")]
     held = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in held]
     stats = held[1].flatten().to_numpy().reshape(-1, _STATS)
