@@ -21,7 +21,7 @@ from tandem.llm.common import as_bytes, mapped, pieces, saved
 from tandem.llm.spans import PII, digest, luhn, overlaps, pii_spans, written
 
 #: Characters of a window in training, of one in use, and how many two of those share.
-WIDTH, WINDOW, SHARED = 96, 256, 32
+WIDTH, WINDOW, SHARED = 96, 256, 16
 TAGS = 1 + 2 * len(PII)  # outside, then begin and inside of each kind
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SYMBOLS = 32 + len(_PUNCTUATION)
@@ -201,8 +201,12 @@ class Tagger:
         out: list = [None] * len(regions)
         trans = self.steps()
         order = sorted(range(len(regions)), key=lambda i: len(regions[i]))
-        for i in range(0, len(order), 64):
-            some = order[i:i + 64]
+        i = 0
+        while i < len(order):
+            j = i + 1
+            while j < min(len(order), i + 256) and len(regions[order[j]]) <= 2 * len(regions[order[i]]):
+                j += 1
+            some, i = order[i:j], j
             length = len(regions[some[-1]])
             e = np.zeros((length, len(some), TAGS), np.float32)
             for j, k in enumerate(some):
