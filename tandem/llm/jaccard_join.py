@@ -26,7 +26,7 @@ _SKETCH = 20  # bits of the sketch's cells
 _MOST = 4  # the largest number of prefix matches that is asked for
 _FEW = 8  # a pair's rows from tokens of so many sets at most are all made
 _MANY = 64  # tokens of so many sets at most are joined without bands
-_BAND = 1.05  # the ratio of the bands of sizes
+_BAND = 1.09  # the ratio of the bands of sizes
 _LAST = 4  # tokens before one whose rows make its own needless
 
 
@@ -182,7 +182,7 @@ def _banded(postings: DataFrame, t: Fraction, own: str, other: str) -> DataFrame
     """
     r = float(t)
     frequent = postings.where(F.col("df") > _MANY).withColumn(own, F.floor(F.log(F.col("size")) / F.lit(math.log(_BAND))))
-    reach = math.ceil(-math.log(r) / math.log(_BAND)) + 1
+    reach = math.floor(-math.log(r) / math.log(_BAND) + 0.01) + 1
     out = postings.where(F.col("df") <= _MANY).withColumns({own: F.lit(-1).cast("long"), other: F.lit(-1).cast("long")})
     for step in range(-reach, reach + 1):
         ends = [f"least(greatest(pow({_BAND}D, {own} + {step + k}) {e}, {r}D * size), size / {r}D)" for k, e in ((0, "- 1"), (1, "+ 1"))]
