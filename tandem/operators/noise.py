@@ -35,27 +35,36 @@ class SpanNoise:
         return [round(c, 9) for c in accumulate(self.outcome_weights)][:-1]
 
 
+def _random(cfg: SpanNoise, seed: int, low: int, *ids: Column) -> Column:
+    return (F.lit(low) + F.floor(uniform(seed, *ids) * (cfg.vocab_size - low))).cast("bigint")
+
+
 def _longs() -> Column:
     return F.array().cast("array<bigint>")
 
 
+def _count(n: Column) -> Column:
+    """0 .. n - 1; none for 0."""
+    return F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(_longs())
+
+
 def _lengths(budget: Column, cfg: SpanNoise, seed: int, row_id: Column) -> Column:
     """Span lengths, drawn until they add up to the budget; the last is cut to fit."""
     def draw(k: Column) -> Column:
         u = uniform(seed + 1, row_id, k)
         return sum(((u >= c).cast("bigint") for c in cfg.length_cuts()), F.lit(0).cast("bigint"))
 
-    def step(acc: Column, k: Column) -> Column:
-        left = budget - acc["sum"]
-        return F.when(left <= 0, acc).otherwise(bind(F.least(draw(k), left), lambda size: F.struct(
-            (acc["sum"] + size).alias("sum"), F.concat(acc["all"], F.array(size)).alias("all"))))
-
-    start = F.struct(F.lit(0).cast("bigint").alias("sum"), _longs().alias("all"))
-    return F.aggregate(F.sequence(F.lit(0).cast("bigint"), budget - 1), start, step, lambda acc: acc["all"])
+    def step(acc: Column, size: Column) -> Column:
+        return F.when(acc["sum"] >= budget, acc).otherwise(F.struct(
+            (acc["sum"] + size).alias("sum"), (acc["used"] + 1).alias("used"), size.alias("last")))
 
+    def fitted(draws: Column) -> Column:
+        zero = F.lit(0).cast("bigint")
+        end = F.aggregate(draws, F.struct(zero.alias("sum"), F.lit(0).alias("used"), zero.alias("last")), step)
+        return bind(end, lambda e: F.concat(F.slice(draws, F.lit(1), e["used"] - 1),
+                                            F.array(F.least(e["last"], budget - e["sum"] + e["last"]))))
 
-def _random(cfg: SpanNoise, seed: int, low: int, *ids: Column) -> Column:
-    return (F.lit(low) + F.floor(uniform(seed, *ids) * (cfg.vocab_size - low))).cast("bigint")
+    return bind(F.transform(_count(budget), draw), fitted)
 
 
 def span_masked(ids: Column, row_id: Column, cfg: SpanNoise = SpanNoise(), seed: int = 0) -> Column:
@@ -63,31 +72,37 @@ def span_masked(ids: Column, row_id: Column, cfg: SpanNoise = SpanNoise(), seed:
 
     Spans start at the inner places of least hash. A span shrinks to its first token,
     which is masked, kept or replaced; a span of length 0 inserts a token somewhere inside.
-    Rows without inner tokens pass through.
+    Rows without inner tokens pass through. Everything a token's own expression mentions is bound once a row,
+    so time grows with the ids (and the sort of their places), however long a row is.
     """
     n = F.size(ids).cast("bigint")
-    inner = F.sequence(F.lit(1).cast("bigint"), n - 2)
+    budget = F.ceil(n * F.lit(cfg.share))
+    wide = 1 << 31  # a hash is below it, and so is a place
 
     def place(p: Column) -> Column:
-        return F.struct(state(seed + 2, row_id, p).alias("h"), p.alias("p"))
+        return state(seed + 2, row_id, p) * wide + p
 
     def token(p: Column, last: Column) -> Column:
-        u, (masked, kept) = uniform(seed + 3, row_id, p), cfg.outcome_cuts()
+        masked, kept = cfg.outcome_cuts()
         own = F.get(ids, p.cast("int"))
-        changed = (F.when(u < masked, F.lit(cfg.mask_id).cast("bigint")).when(u < kept, own)
-                   .otherwise(_random(cfg, seed + 4, 0, row_id, p)))
+        changed = bind(uniform(seed + 3, row_id, p), lambda u: F.when(u < masked, F.lit(cfg.mask_id).cast("bigint"))
+                       .when(u < kept, own).otherwise(_random(cfg, seed + 4, 0, row_id, p)))
         return F.when(place(p) <= last, changed).otherwise(own)
 
     def shrunk(spans: Column) -> Column:
+        inner = F.sequence(F.lit(1).cast("bigint"), n - 2)
         used = F.least(F.size(spans).cast("bigint"), n - 2).cast("int")
-        starts = F.slice(F.array_sort(F.transform(inner, place)), F.lit(1), used)
+        starts = F.slice(F.sort_array(F.transform(inner, place)), F.lit(1), used)
+
+        def behind(s: Column, size: Column) -> Column:
+            p = F.pmod(s, F.lit(wide))
+            return F.when((size > 1) & (p + 1 <= n - 2), F.sequence(p + 1, F.least(p + size - 1, n - 2))).otherwise(_longs())
 
         def rest(found: Column) -> Column:
-            gone = F.flatten(F.zip_with(found, F.slice(spans, F.lit(1), used), lambda s, size: F.when(
-                (size > 1) & (s["p"] + 1 <= n - 2), F.sequence(s["p"] + 1, F.least(s["p"] + size - 1, n - 2)))
-                .otherwise(_longs())))
+            gone = F.flatten(F.zip_with(found, F.slice(spans, F.lit(1), F.size(found)), behind))
             # the place itself is compared with the last start: no look-up per token
-            return F.transform(F.array_except(inner, gone), lambda p: token(p, F.get(found, used - 1)))
+            last = F.coalesce(F.array_max(found), F.lit(-1).cast("bigint"))
+            return bind(last, lambda x: F.transform(F.array_except(inner, gone), lambda p: token(p, x)))
 
         return F.concat(F.slice(ids, 1, 1), bind(starts, rest), F.slice(ids, -1, 1))
 
@@ -95,21 +110,27 @@ def span_masked(ids: Column, row_id: Column, cfg: SpanNoise = SpanNoise(), seed:
         def fresh(k: Column) -> Column:
             value = F.when(uniform(seed + 6, row_id, k) < cfg.random_insert, _random(
                 cfg, seed + 7, cfg.first_word, row_id, k)).otherwise(F.lit(cfg.mask_id).cast("bigint"))
-            gap = F.floor(uniform(seed + 5, row_id, k) * (F.size(row) - 1)).cast("bigint")
-            return F.struct(gap.alias("at"), (k + 1).alias("k"), value.alias("v"))
+            gap = F.floor(uniform(seed + 5, row_id, k) * (F.size(row) - 1)).cast("int")
+            return F.struct(gap.alias("at"), k.alias("k"), value.alias("v"))
 
-        old = F.transform(row, lambda v, i: F.struct(i.cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("k"),
-                                                     v.alias("v")))
-        new = F.transform(F.sequence(F.lit(0).cast("bigint"), count - 1), fresh)
-        return F.transform(F.array_sort(F.concat(old, new)), lambda x: x["v"])
+        def joined(new: Column) -> Column:
+            # the tokens up to each gap, then the new one, then those behind the last gap
+            def part(x: Column, i: Column) -> Column:
+                after = F.coalesce(F.get(new, i - 1)["at"], F.lit(-1))
+                return F.concat(F.slice(row, after + 2, x["at"] - after), F.array(x["v"]))
+
+            end = F.element_at(new, -1)["at"]
+            return F.concat(F.flatten(F.transform(new, part)), F.slice(row, end + 2, F.size(row)))
+
+        return bind(F.sort_array(F.transform(_count(count), fresh)), joined)
 
     def masked(lengths: Column) -> Column:
         zero = F.size(F.filter(lengths, lambda x: x == 0)).cast("bigint")
-        return bind(shrunk(F.filter(lengths, lambda x: x > 0)),
-                    lambda row: F.when(zero > 0, inserted(row, zero)).otherwise(row))
+        whole = bind(F.filter(lengths, lambda x: x > 0), shrunk)
+        return bind(F.struct(whole.alias("row"), zero.alias("zero")),
+                    lambda b: F.when(b["zero"] > 0, bind(b["row"], lambda row: inserted(row, b["zero"]))).otherwise(b["row"]))
 
-    budget = F.ceil(n * F.lit(cfg.share))
-    return F.when(n <= 2, ids).otherwise(bind(_lengths(budget, cfg, seed, row_id), masked))
+    return F.when(F.coalesce(n <= 2, F.lit(True)), ids).otherwise(bind(_lengths(budget, cfg, seed, row_id), masked))
 
 
 def mask_spans(df: DataFrame, row_id: str, ids: str, cfg: SpanNoise = SpanNoise(), seed: int = 0) -> DataFrame:

@@ -188,3 +188,19 @@ def test_span_noise(spark):
     assert 5 in big and len(big) < 392
     kept = [x for x in big if 1000 <= x < 1390]
     assert len(kept) > 0.7 * 390
+
+
+def test_span_noise_of_a_very_long_row(spark):
+    n = 80000
+    df = spark.range(1).select("id", F.concat(F.array(F.lit(2)), F.sequence(F.lit(100), F.lit(n)), F.array(F.lit(2)))
+                               .cast("array<bigint>").alias("ids"))
+    got = N.mask_spans(df, "id", "ids", seed=3).first().ids
+    assert got[0] == got[-1] == 2 and 0.9 * n < len(got) < n and 0.04 * n < got.count(5) < 0.15 * n
+    kept = [x for x in got if 100 <= x <= n]
+    assert sum(a < b for a, b in zip(kept, kept[1:])) > 0.95 * len(kept)
+
+
+def test_span_noise_of_rows_without_ids(spark):
+    df = spark.createDataFrame([(1, []), (2, None), (3, [2, 2]), (4, [2])], "id long, ids array<bigint>")
+    got = {r.id: r.ids for r in N.mask_spans(df, "id", "ids", seed=3).collect()}
+    assert got == {1: [], 2: [], 3: [2, 2], 4: [2]}
