@@ -10,21 +10,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.functions.text import is_legacy_python, strip_annotations, strip_directives
+from tandem.functions.text import bind, is_legacy_python, strip_annotations, strip_directives
 
 
-def _marked(df: DataFrame, row_id: str, tokens: str, keep: Sequence[str], neighbours: bool = False) -> DataFrame:
-    """The tokens in ``keep`` with their positions and, on request, the tokens around them."""
+#: Tokens that stand for the end of a line (fixed values).
+LINE_ENDS = ("NEW_LINE", "NEWLINE")
+
+
+def _marked(df: DataFrame, row_id: str, tokens: str, keep: Sequence[str], neighbours: bool = False,
+            skip: Sequence[str] = ()) -> DataFrame:
+    """The tokens in ``keep`` with their positions and, on request, the tokens around them.
+
+    Neighbours are those among the tokens that are not in ``skip``; ``solid`` is the number of those, ``at`` the place in them.
+    """
     cells = F.transform(F.col(tokens), lambda t, i: F.struct(i.alias("pos"), t.alias("tok")))
-    few = F.filter(cells, lambda c: c["tok"].isin(list(keep)))
-    if neighbours:
+    if not neighbours:
+        few = F.filter(cells, lambda c: c["tok"].isin(list(keep)))
+        return df.select(row_id, F.size(tokens).alias("n"), F.inline_outer(few)).filter(F.col("pos").isNotNull())
+
+    def marks(solid: Column) -> Column:
+        few = F.filter(F.transform(solid, lambda c, j: F.struct(c["pos"].alias("pos"), c["tok"].alias("tok"), j.alias("at"))),
+                       lambda c: c["tok"].isin(list(keep)))
+
         def near(c: Column, step: int) -> Column:
-            return F.get(F.col(tokens), c["pos"] + step)
+            return F.get(solid, c["at"] + step)["tok"]
+
+        return F.transform(few, lambda c: F.struct(
+            c["pos"].alias("pos"), c["tok"].alias("tok"), c["at"].alias("at"), F.size(solid).alias("solid"),
+            near(c, -1).alias("t1"), near(c, -2).alias("t2"), near(c, -3).alias("t3"), near(c, 1).alias("next")))
 
-        few = F.transform(few, lambda c: F.struct(
-            c["pos"].alias("pos"), c["tok"].alias("tok"), near(c, -1).alias("t1"), near(c, -2).alias("t2"),
-            near(c, -3).alias("t3"), near(c, 1).alias("next")))
-    return df.select(row_id, F.size(tokens).alias("n"), F.inline_outer(few)).filter(F.col("pos").isNotNull())
+    solid = F.filter(cells, lambda c: ~c["tok"].isin(list(skip))) if skip else cells
+    return df.select(row_id, F.size(tokens).alias("n"), F.inline_outer(bind(solid, marks))).filter(F.col("pos").isNotNull())
 
 
 def _cut(df: DataFrame, spans: DataFrame, row_id: str, tokens: str) -> DataFrame:
@@ -40,20 +56,20 @@ def brace_spans(df: DataFrame, row_id: str, tokens: str, language: str = "java")
     after the last ``; } {``, or at the comment that ends there, and stops where the
     depth returns. Functions inside a function belong to it. A function with nothing
     in front of it ends the search in its document, and one needs three tokens after
-    its closing parenthesis. C++: an empty body does not count.
+    its closing parenthesis. Line ends between them are passed over. C++: an empty body does not count.
     """
     cpp = language == "cpp"
-    rows = _marked(df, row_id, tokens, ["{", "}", ";", "*/", "ENDCOM", "/*", "//"], neighbours=True)
+    rows = _marked(df, row_id, tokens, ["{", "}", ";", "*/", "ENDCOM", "/*", "//"], True, () if cpp else LINE_ENDS)
     tok, pos = F.col("tok"), F.col("pos")
     thrower = "throw" if cpp else "throws"
     plain = F.col("t1") == ")"
     throws = (F.col("t3") == ")") & (F.col("t2") == thrower)
     opens = (tok == "{") & F.coalesce(plain | throws, F.lit(False))
-    paren = F.when(F.coalesce(plain, F.lit(False)), pos - 1).otherwise(pos - 3)
+    paren = F.when(F.coalesce(plain, F.lit(False)), F.col("at") - 1).otherwise(F.col("at") - 3)
     if cpp:
         opens = opens & (F.coalesce(F.col("next"), F.lit("}")) != "}")
     else:
-        opens = opens & (paren + 3 < F.col("n"))
+        opens = opens & (paren + 3 < F.col("solid"))
 
     upto = Window.partitionBy(row_id).orderBy("pos")
     so_far = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -148,14 +164,23 @@ def merge_edges(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def alpha_rename(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Variables become ``var_i`` by first appearance, the parents of an edge before its variable."""
+    """Variables become ``var_i`` by first appearance, the parents of an edge before its variable.
+
+    Several edges may lie at one position; they are taken by relation, variable and parents, and stay apart. Equal edges
+    stay as many as they are.
+    """
+    edge = F.struct("pos", "rel", "var", "parents")
+    # an edge's number within its group: a group holds the edges of one function
+    numbered = edges.select(*keys, "pos", "rel", "var", "parents",
+                            F.row_number().over(Window.partitionBy(*keys).orderBy(edge)).alias("edge"))
     names = F.concat(F.col("parents"), F.array("var"))
-    uses = edges.select(*keys, "pos", "rel", F.posexplode_outer(names).alias("slot", "name"))
-    first = uses.groupBy(*keys, "name").agg(F.min(F.col("pos").cast("long") * (1 << 20) + F.col("slot")).alias("at"))
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("at")) - 1
-    fresh = first.select(*keys, "name", F.concat(F.lit("var_"), number).alias("fresh"))
+    uses = numbered.select(*keys, "edge", "pos", "rel", F.posexplode_outer(names).alias("slot", "name"))
+    group, name = Window.partitionBy(*keys), Window.partitionBy(*keys, "name")
+    first = F.min(F.struct("edge", "slot")).over(name)
+    named = uses.withColumn("first", first)
+    fresh = F.concat(F.lit("var_"), F.dense_rank().over(group.orderBy("first")) - 1)
     cells = F.array_sort(F.collect_list(F.struct("slot", "fresh")))
-    back = uses.join(fresh, [*keys, "name"]).groupBy(*keys, "pos", "rel").agg(
+    back = named.withColumn("fresh", fresh).groupBy(*keys, "edge", "pos", "rel").agg(
         F.transform(cells, lambda c: c["fresh"]).alias("names"))
     return back.select(*keys, "pos", "rel", F.element_at("names", -1).alias("var"),
                        F.slice("names", F.lit(1), F.size("names") - 1).alias("parents"))

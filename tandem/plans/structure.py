@@ -14,33 +14,82 @@ from tandem.plans.registry import ORACLES, query, table
 SIDE = [*V.PAIR, "side"]
 
 
-@query("brace_spans", rf"""WITH {T.SQL_BRACE_CODE}, docs AS (SELECT page_id, {V.sql_words("code")} AS t FROM brace),
+def _sql_brace_spans(code: str, cpp: bool = False) -> str:
+    """Function spans in SQL over the CTE chain ``code``, which ends in ``brace`` (page_id, code)."""
+    limits = "'{', '}', ';'" if cpp else "'{', '}', ';', '*/', 'ENDCOM'"
+    head = "list_slice(d.t, g.start + 1, g.b)"
+    free = f"list_contains({head}, 'static')"
+    if cpp:
+        free += f" OR (g.depth = 1 AND NOT list_contains(list_slice({head}, 1, list_position({head}, '(') - 1), '::'))"
+    wanted = "coalesce(next, '}') <> '}'" if cpp else "place - (CASE WHEN t1 = ')' THEN 1 ELSE 3 END) + 3 < m"
+    return rf"""WITH {code}, docs AS (SELECT page_id, {V.sql_words("code")} AS t FROM brace),
 tok AS (SELECT page_id, unnest(t) AS tok, unnest(range(len(t)))::INT AS pos, len(t) AS n FROM docs WHERE len(t) > 0),
 dep AS (SELECT *, sum(CASE tok WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER w AS depth,
-  max(CASE WHEN tok IN ('{{', '}}', ';', '*/', 'ENDCOM') THEN pos END)
+  max(CASE WHEN tok IN ({limits}) THEN pos END)
     OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lim,
-  lag(tok) OVER w AS t1, lag(tok, 2) OVER w AS t2, lag(tok, 3) OVER w AS t3 FROM tok
+  lag(tok) OVER w AS t1, lag(tok, 2) OVER w AS t2, lag(tok, 3) OVER w AS t3, lead(tok) OVER w AS next,
+  row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY page_id) AS m FROM tok WHERE tok <> 'NEW_LINE'
   WINDOW w AS (PARTITION BY page_id ORDER BY pos)),
-opens AS (SELECT page_id, pos AS b, n, depth, lim + 1 AS start, CASE WHEN t1 = ')' THEN pos - 1 ELSE pos - 3 END AS p FROM dep
-  WHERE tok = '{{' AND (t1 = ')' OR (t3 = ')' AND t2 = 'throws'))),
+opens AS (SELECT page_id, pos AS b, n, depth, lim + 1 AS start FROM dep
+  WHERE tok = '{{' AND (t1 = ')' OR (t3 = ')' AND t2 = '{"throw" if cpp else "throws"}')) AND {wanted}),
 closed AS (SELECT o.*, coalesce((SELECT min(d.pos) FROM dep d WHERE d.page_id = o.page_id AND d.pos > o.b AND d.tok = '}}'
-  AND d.depth = o.depth - 1), o.n - 1) AS stop FROM opens o WHERE p + 3 < n),
+  AND d.depth = o.depth - 1), o.n - 1) AS stop FROM opens o),
 outside AS (SELECT * FROM closed c WHERE NOT EXISTS (SELECT 1 FROM closed k WHERE k.page_id = c.page_id AND k.b < c.b AND k.stop >= c.b)),
 good AS (SELECT * FROM outside o WHERE NOT EXISTS (SELECT 1 FROM outside k WHERE k.page_id = o.page_id AND k.b <= o.b AND k.start IS NULL))
-SELECT g.page_id, g.start::INT AS start, g.stop::INT AS stop, CASE WHEN list_contains(list_slice(d.t, g.start + 1, g.b), 'static') THEN 'standalone'
+SELECT g.page_id, g.start::INT AS start, g.stop::INT AS stop, CASE WHEN {free} THEN 'standalone'
   ELSE 'class' END AS kind, array_to_string(list_slice(d.t, g.start + 1, g.stop + 1), ' ') AS function
-FROM good g JOIN docs d USING (page_id)""")
+FROM good g JOIN docs d USING (page_id)"""
+
+
+_LINED = f"""{T.SQL_BRACE_CODE.replace("brace AS", "plain AS")}, brace AS (SELECT page_id, replace(code, ') {{', ') NEW_LINE {{') AS code FROM plain)"""
+
+
+@query("brace_spans", _sql_brace_spans(_LINED))
 def brace_spans(spark, sf):
-    code = T.pages_code(spark, sf).select("page_id", X.words(F.col("code")).alias("t"))
+    """Some bodies open on a line of their own."""
+    code = T.pages_code(spark, sf).select("page_id", X.words(F.replace("code", F.lit(") {"), F.lit(") NEW_LINE {"))).alias("t"))
     return S.brace_spans(code, "page_id", "t")
 
 
-@query("sole_function", f"""SELECT page_id, min(kind) AS kind, min(function) AS function
-FROM ({ORACLES["brace_spans"]}) GROUP BY page_id HAVING count(*) = 1""")
+def _sql_sole(spans: str) -> str:
+    return f"SELECT page_id, min(kind) AS kind, min(function) AS function FROM ({spans}) GROUP BY page_id HAVING count(*) = 1"
+
+
+@query("sole_function", _sql_sole(ORACLES["brace_spans"]))
 def sole_function(spark, sf):
     return S.sole_function(brace_spans(spark, sf), "page_id")
 
 
+# A page's tags as C++: members inside and outside of their class, free and static functions, empty bodies.
+_CPP = [("</", "}"), ("<li", "static int li ( int a , int b ) { a = b ;"), ("<p", "void A :: p ( ) { x ( ) ;"),
+        ("<nav", "int nav ( ) { return 1 ;"), ("<ul", "void ul ( ) {"), ("<div", "class div {"), ("<", "void art ( int c ) { y ( ) ;")]
+_CPP_TAGS = "</?(?:div|ul|li|p|nav|article|footer)[ >]"
+_SQL_CPP = f"""brace AS (SELECT page_id, 'using namespace std ; ' || array_to_string(list_slice(list_transform(regexp_extract_all(html, '{_CPP_TAGS}'), lambda t:
+  CASE {" ".join(f"WHEN t LIKE '{a}%' THEN '{b}'" for a, b in _CPP)} END), 1, 2 + page_id % 40), ' ') AS code FROM pages)"""
+
+
+def cpp_spans(spark, sf):
+    def code(t):
+        out = None
+        for start, text in _CPP:
+            out = (F.when if out is None else out.when)(t.startswith(start), text)
+        return out
+
+    tags = F.slice(F.transform(F.regexp_extract_all("html", F.lit(_CPP_TAGS), F.lit(0)), code), F.lit(1),
+                   (2 + F.col("page_id") % 40).cast("int"))
+    pages = table(spark, sf, "pages").select("page_id", F.concat(F.lit("using namespace std ; "), F.array_join(tags, " ")).alias("code"))
+    return S.brace_spans(pages.select("page_id", X.words(F.col("code")).alias("t")), "page_id", "t", language="cpp")
+
+
+query("brace_spans_cpp", _sql_brace_spans(_SQL_CPP, cpp=True))(cpp_spans)
+
+
+@query("sole_function_cpp", _sql_sole(ORACLES["brace_spans_cpp"]))
+def sole_function_cpp(spark, sf):
+    """C++ files that hold exactly one function, standalone or not."""
+    return S.sole_function(cpp_spans(spark, sf), "page_id")
+
+
 @query("indent_spans", rf"""WITH {T.SQL_BLOCK_CODE}, docs AS (SELECT doc_id, {V.sql_words("code")} AS t FROM block),
 tok AS (SELECT doc_id, unnest(t) AS tok, unnest(range(len(t)))::INT AS pos FROM docs WHERE len(t) > 0),
 dep AS MATERIALIZED (SELECT doc_id, pos, tok, depth FROM (SELECT *, sum(CASE tok WHEN 'INDENT' THEN 1 WHEN 'DEDENT' THEN -1 ELSE 0 END)
@@ -91,14 +140,20 @@ def edge_merge(spark, sf):
     return S.merge_edges(single, SIDE).select(*SIDE, "pos", "var", "rel", F.array_join("parents", " ").alias("parents"))
 
 
-@query("alpha_rename", f"""{_E}, u AS (SELECT conv_id, turn, side, pos, rel, unnest(names) AS name, unnest(range(len(names))) AS slot
-  FROM (SELECT *, list_concat(CASE WHEN pos = 0 THEN [] ELSE string_split(parents, ' ') END, [var]) AS names FROM edges)),
-f AS (SELECT conv_id, turn, side, name, row_number() OVER (PARTITION BY conv_id, turn, side ORDER BY min(pos * 1000 + slot)) - 1 AS k
+@query("alpha_rename", f"""{_E}, twofold AS (SELECT conv_id, turn, side, pos, rel, var, CASE WHEN pos = 0 THEN [] ELSE string_split(parents, ' ') END AS parents
+  FROM edges UNION ALL SELECT conv_id, turn, side, pos, rel, 'x' || var, [var] FROM edges WHERE pos % 5 = 2),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, side ORDER BY pos, rel, var, parents) AS edge FROM twofold),
+u AS (SELECT conv_id, turn, side, edge, pos, rel, unnest(names) AS name, unnest(range(len(names))) AS slot
+  FROM (SELECT *, list_concat(parents, [var]) AS names FROM e)),
+f AS (SELECT conv_id, turn, side, name, row_number() OVER (PARTITION BY conv_id, turn, side ORDER BY min(edge * 1000 + slot)) - 1 AS k
   FROM u GROUP BY conv_id, turn, side, name)
 SELECT conv_id, turn, side, pos, rel, string_agg('var_' || k, ' ' ORDER BY slot) AS names
-FROM u JOIN f USING (conv_id, turn, side, name) GROUP BY conv_id, turn, side, pos, rel""")
+FROM u JOIN f USING (conv_id, turn, side, name) GROUP BY conv_id, turn, side, edge, pos, rel""")
 def alpha_rename(spark, sf):
-    r = S.alpha_rename(scoring.edge_items(V.pairs(spark, sf)), SIDE)
+    """Every fifth position has a second edge."""
+    e = scoring.edge_items(V.pairs(spark, sf)).select(*SIDE, "pos", "rel", "var", "parents")
+    more = e.filter("pos % 5 = 2").select(*SIDE, "pos", "rel", F.concat(F.lit("x"), "var").alias("var"), F.array("var").alias("parents"))
+    r = S.alpha_rename(e.unionByName(more), SIDE)
     return r.select(*SIDE, "pos", "rel", F.array_join(F.concat("parents", F.array("var")), " ").alias("names"))
 
 

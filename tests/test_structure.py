@@ -24,6 +24,20 @@ def test_java_functions(spark):
         (3, "class", "int f ( ) { b ; ( ) { c")]
 
 
+def test_line_ends_before_a_body(spark):
+    got = spans(spark, S.brace_spans, ["; static int f ( int a ) NEW_LINE { b ; NEW_LINE } end end",
+                                       "; int g ( ) throws NEW_LINE E NEW_LINE { c ; } end", "; int h ( ) { } NEW_LINE NEW_LINE NEW_LINE"])
+    assert got == [(0, "standalone", "static int f ( int a ) NEW_LINE { b ; NEW_LINE }"),
+                   (1, "class", "int g ( ) throws NEW_LINE E NEW_LINE { c ; }")]
+
+
+def test_edges_at_one_position_stay_apart(spark):
+    e = edges(spark, [(0, "a", "comesFrom", [], []), (5, "b", "computedFrom", ["a"], [0]), (5, "c", "computedFrom", ["a", "d"], [0, 1]),
+                      (5, "b", "computedFrom", ["a"], [0])])
+    got = sorted((r.pos, r["var"], r.parents) for r in S.alpha_rename(e, ["pair"]).collect())
+    assert got == [(0, "var_0", []), (5, "var_1", ["var_0"]), (5, "var_1", ["var_0"]), (5, "var_3", ["var_0", "var_2"])]
+
+
 def test_cpp_functions(spark):
     got = spans(spark, S.brace_spans, [
         "using namespace std ; int f ( int x ) { g ( ) ; } void A :: m ( ) { h ; } class B { int k ( ) { return 1 ; } static int s ( ) { return 2 ; } } ; void e ( ) { }"],

@@ -203,4 +203,4 @@ def test_span_noise_of_a_very_long_row(spark):
 def test_span_noise_of_rows_without_ids(spark):
     df = spark.createDataFrame([(1, []), (2, None), (3, [2, 2]), (4, [2])], "id long, ids array<bigint>")
     got = {r.id: r.ids for r in N.mask_spans(df, "id", "ids", seed=3).collect()}
-    assert got == {1: [], 2: [], 3: [2, 2], 4: [2]}
+    assert got == {1: [], 2: None, 3: [2, 2], 4: [2]}
