@@ -149,6 +149,55 @@ def weighted_draw(rows: DataFrame, row_id: str, probs: DataFrame, lang: str, lan
     return drawn.join(F.broadcast(edges), (F.col("__u") >= F.col("lo")) & (F.col("__u") < F.col("hi"))).drop("__u", "lo", "hi")
 
 
+def pool_probs(df: DataFrame, pool: str, item: str, coefficient: float) -> DataFrame:
+    """``pool, item, n, p``: each pool's items by their own shares, raised to ``coefficient``; -1 turns weighting off.
+
+    One row for each item of a pool (a language, a language pair).
+    """
+    if coefficient != -1 and coefficient <= 0:
+        raise ValueError("the coefficient is -1 or positive")
+    whole = Window.partitionBy(pool)
+    n = df.groupBy(pool, item).agg(F.count(F.lit(1)).alias("n"))
+    weight = F.lit(1.0) if coefficient == -1 else F.pow(F.col("n") / F.sum("n").over(whole), F.lit(coefficient))
+    raised = n.withColumn("w", weight)
+    return raised.select(pool, item, "n", (F.col("w") / F.sum("w").over(whole)).alias("p"))
+
+
+def race_draws(rows: DataFrame, row_id: str, probs: DataFrame, item: str, items: Sequence[str], n: int, seed: int,
+               replace: bool = True) -> DataFrame:
+    """``row_id, draw, item``: ``n`` weighted draws of ``items`` for each row, at most as many as there are items.
+
+    An item's arrival is exponential with its probability as rate, and the first to arrive is drawn. With
+    replacement every draw has a race of its own; without, the first ``n`` of one race are drawn in order.
+    ``probs`` (item, p) is joined by item; items without a row there, or with no probability, never arrive.
+    """
+    known = probs.select(F.col(item), F.col("p")).filter(F.col(item).isin(list(items)) & (F.col("p") > 0))
+    n = min(n, len(items))
+    draws = F.sequence(F.lit(0), F.lit(n - 1 if replace else 0))
+    entrants = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(x).alias(item)) for i, x in enumerate(items)])
+    each = rows.select(row_id, F.explode(draws).alias("draw")).select(row_id, "draw", F.inline(entrants))
+    arrival = -F.log(1 - uniform(seed, F.col(row_id), F.col("draw") * len(items) + F.col("no"))) / F.col("p")
+    each = each.join(F.broadcast(known), item).withColumn("arrival", arrival)  # a row for each of the items given
+    if replace:
+        return each.groupBy(row_id, "draw").agg(F.min_by(item, F.struct("arrival", "no")).alias(item))
+    order = Window.partitionBy(row_id).orderBy("arrival", "no")
+    ranked_ = each.withColumn("draw", F.row_number().over(order) - 1)
+    return ranked_.filter(F.col("draw") < n).select(row_id, "draw", item)
+
+
+def permuted(position: Column, n: Column, seed: int, rounds: int = 48) -> Column:
+    """A keyed bijection of 0 .. n - 1: the place of a row in a random order, without a sort.
+
+    In each round a position and its mirror at a drawn point either change places or not, by a draw that both
+    have in common, so every round is its own inverse for any ``n``.
+    """
+    def one(x: Column, r: Column) -> Column:
+        mirror = F.pmod(F.pmod(state(seed, r), n) - x, n)
+        return F.when(state(seed + 1, r, F.greatest(x, mirror)) % 2 == 1, mirror).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.lit(rounds - 1).cast("bigint")), position.cast("bigint"), one)
+
+
 def other_lang(lang: Column, langs: Sequence[str], seed: int, row_id: Column) -> Column:
     """A language other than the row's own, all equally likely."""
     rest = F.filter(F.array(*[F.lit(x) for x in langs]), lambda x: x != lang)

@@ -118,6 +118,15 @@ def alignment(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFra
     return out.select("left_rows", "right_rows", "both", (~F.col("uneven")).alias("aligned"))
 
 
+def coverage(hyps: DataFrame, refs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``scored, only_hyp, only_ref``: ids on both sides and on one only, however many references an id has."""
+    ids = hyps.select(*keys, F.lit(True).alias("h"), F.lit(False).alias("r")).unionByName(
+        refs.select(*keys, F.lit(False).alias("h"), F.lit(True).alias("r")))
+    each = ids.groupBy(*keys).agg(F.max("h").alias("h"), F.max("r").alias("r"))
+    return each.agg(F.count_if(F.col("h") & F.col("r")).alias("scored"), F.count_if(~F.col("r")).alias("only_hyp"),
+                    F.count_if(~F.col("h")).alias("only_ref"))
+
+
 # ---- vocabulary -----------------------------------------------------------
 
 UNKNOWN, FIRST_ID = 3, 4  # Fixed values: ids 0..3 are the special tokens.

@@ -92,17 +92,18 @@ def multi_ref_bags(hyps: DataFrame, refs: DataFrame, keys: Sequence[str], hyp: s
 def multi_ref_stats(hyps: DataFrame, refs: DataFrame, keys: Sequence[str], hyp: str = "hyp", ref: str = "ref",
                     ref_no: str = "ref_no", max_n: int = 4, ref_len: str = "closest") -> DataFrame:
     """Match statistics against several references; ``ref_len`` is the ``closest``
-    (ties: shorter), ``shortest`` or ``average`` reference length. Hypotheses without
-    a reference are left out."""
+    (ties: shorter), ``first`` (closest; ties: the first reference), ``shortest`` or ``average`` reference
+    length. Hypotheses without a reference are left out; ``corpus.coverage`` counts them."""
     hits = multi_ref_bags(hyps, refs, keys, hyp, ref, ref_no, max_n).groupBy(*keys).agg(
         *[F.sum(F.when(F.col("n") == i, F.least("h", "r")).otherwise(0)).alias(f"m{i}")
           for i in range(1, max_n + 1)])
-    lens = refs.select(*keys, F.size(ref).alias("__r")).join(
+    lens = refs.select(*keys, F.size(ref).alias("__r"), F.col(ref_no).alias("__no")).join(
         hyps.select(*keys, F.size(hyp).alias("__h")), list(keys))
     # |difference| and length packed in one long, so that the minimum aggregates in place
     near = F.abs(F.col("__r") - F.col("__h")).cast("long") * (1 << 31) + F.col("__r")
     rule = {
         "closest": F.pmod(F.min(near), F.lit(1 << 31)),
+        "first": F.min_by("__r", F.struct(F.abs(F.col("__r") - F.col("__h")), "__no")),
         "shortest": F.min("__r"),
         "average": F.sum("__r") / F.count(F.lit(1)),
     }[ref_len]

@@ -1,7 +1,7 @@
 """Registered queries, one module per family."""
 from importlib import import_module
 
-FAMILIES = ["scoring", "runs", "corpus", "textops", "training", "structure"]
+FAMILIES = ["scoring", "runs", "corpus", "textops", "training", "structure", "files"]
 
 
 def load() -> None:

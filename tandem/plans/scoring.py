@@ -4,10 +4,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tandem.functions.text import nl_tokens, words
+from tandem.operators import corpus as C
 from tandem.operators import ngrams as G
 from tandem.operators import scores as S
 from tandem.plans import views as V
-from tandem.plans.registry import query
+from tandem.plans.registry import query, table
 from tandem.scale import placed
 from tandem.plans.textsql import sql_nl_tokens
 
@@ -73,19 +74,19 @@ def bleu_corpus(spark, sf):
     return c.select("pairs", r6(S.bleu_epsilon(), "bleu"))
 
 
-def _multi_sql() -> str:
+def _multi_sql(source: str = V.SQL_MULTI_REF, tie: str = "len(ref)") -> str:
     grams = " UNION ALL ".join(
         f"""SELECT conv_id, turn, {no} AS ref_no, {n} AS n, unnest(list_transform(range(1, greatest(len({c}) - {n - 2}, 1)),
         lambda i: array_to_string(list_slice({c}, i, i + {n - 1}), ' '))) AS g FROM {src}"""
         for n in (1, 2, 3, 4) for src, c, no in (("hyps", "hyp", "-1"), ("refs", "ref", "ref_no")))
-    return f"""{V.SQL_MULTI_REF}, g AS ({grams}),
+    return f"""{source}, g AS ({grams}),
 cnts AS (SELECT conv_id, turn, ref_no, n, g, count(*) AS c FROM g GROUP BY ALL),
 bags AS (SELECT conv_id, turn, n, g, coalesce(max(c) FILTER (ref_no < 0), 0) AS ch,
   coalesce(max(c) FILTER (ref_no >= 0), 0) AS cr FROM cnts GROUP BY conv_id, turn, n, g),
 hits AS (SELECT conv_id, turn, {", ".join(f"sum(CASE WHEN n = {n} THEN least(ch, cr) ELSE 0 END)::BIGINT AS m{n}"
                                     for n in (1, 2, 3, 4))} FROM bags GROUP BY conv_id, turn),
 lens AS (SELECT conv_id, turn, len(hyp) AS hyp_len, len(ref) AS rl,
-  row_number() OVER (PARTITION BY conv_id, turn ORDER BY abs(len(ref) - len(hyp)), len(ref)) AS k
+  row_number() OVER (PARTITION BY conv_id, turn ORDER BY abs(len(ref) - len(hyp)), {tie}) AS k
   FROM refs JOIN hyps USING (conv_id, turn)),
 stats AS (SELECT l.conv_id, l.turn, l.hyp_len, l.rl AS ref_len, {", ".join(f"coalesce(m{n}, 0) AS m{n}" for n in (1, 2, 3, 4))},
   0 AS k1, 0 AS ref_kw FROM lens l LEFT JOIN hits USING (conv_id, turn) WHERE k = 1)"""
@@ -186,6 +187,29 @@ def bleu_nl_mean(spark, sf):
     return per_pair.agg(F.count(F.lit(1)).alias("pairs"), *[F.round(100 * F.avg(n), 2).alias(n) for n in names])
 
 
+_ONE_SIDED = f"""{V._SQL_ANSWERS},
+refs AS (SELECT conv_id, turn, ref_no, {sql_nl_tokens("ref")} AS ref FROM answers WHERE conv_id % 5 <> 0),
+hyps AS (SELECT conv_id, turn, {sql_nl_tokens("text")} AS hyp FROM conversations WHERE role = 'user' AND conv_id % 7 <> 0)"""
+
+
+@query("bleu_nl_multi_ref", f"""WITH {_multi_sql(_ONE_SIDED, "ref_no")},
+a AS (SELECT count(*) AS scored, avg(exp(({_NL}) / 4 + least(0, 1 - (ref_len + 1) / (hyp_len + 1)))) AS b, {_NL1} FROM stats),
+ids AS (SELECT conv_id, turn, max(h) AS h, max(r) AS r FROM (SELECT conv_id, turn, 1 AS h, 0 AS r FROM hyps
+  UNION ALL SELECT conv_id, turn, 0, 1 FROM refs) GROUP BY conv_id, turn)
+SELECT scored, (SELECT count(*) FROM ids WHERE r = 0) AS only_hyp, (SELECT count(*) FROM ids WHERE h = 0) AS only_ref,
+  round(100 * b, 2) AS bleu, {", ".join(f"round(100 * b{n}, 2) AS bleu_{n}" for n in range(1, 5))} FROM a""")
+def bleu_nl_multi_ref(spark, sf):
+    """Several references, ids that one side lacks, and the reference of the closest length, the first of equally close ones."""
+    refs = V.answers(spark, sf).filter("conv_id % 5 <> 0").select(*PAIR, "ref_no", nl_tokens(F.col("ref")).alias("ref"))
+    hyps = table(spark, sf, "conversations").filter("role = 'user' and conv_id % 7 <> 0").select(
+        *PAIR, nl_tokens(F.col("text")).alias("hyp"))
+    scores = S.sentence_stats(G.multi_ref_stats(hyps, refs, PAIR, ref_len="first"), PAIR).select(*S.nl_scores())
+    names = ["bleu", "bleu_1", "bleu_2", "bleu_3", "bleu_4"]
+    means = scores.agg(*[F.round(100 * F.avg(n), 2).alias(n) for n in names]).withColumn("k", F.lit(0))
+    counts = C.coverage(hyps, refs, PAIR).withColumn("k", F.lit(0))
+    return counts.join(means, "k").drop("k")  # one row each
+
+
 @query("bleu_moses", f"""WITH {V.SQL_COPIES}, {V.sql_stats("copies", ["doc_id"], h="lower(hyp)", r="lower(ref)")},
 {V.sql_corpus()} SELECT pairs::BIGINT AS pairs, round({V.sql_plain()}, 6) AS bleu FROM corpus""")
 def bleu_moses(spark, sf):

@@ -10,6 +10,7 @@ from tandem.operators import batches as B
 from tandem.operators import noise as N
 from tandem.plans import views as V
 from tandem.plans.registry import query, table
+from tandem.scale import ranked
 
 LANGS = ["de", "en", "es", "fr"]
 _LANGS = ", ".join(f"'{x}'" for x in LANGS)
@@ -81,6 +82,59 @@ def weighted_draw(spark, sf):
     return B.weighted_draw(docs(spark, sf).select("doc_id"), "doc_id", probs, "lang", LANGS, 11)
 
 
+_POOL = "CASE WHEN doc_id % 3 = 0 THEN 'para' ELSE 'mono' END"
+_POOLED = f"""pn AS (SELECT {_POOL} AS pool, lang, count(*) AS n FROM documents GROUP BY ALL),
+pw AS (SELECT *, pow(n / sum(n) OVER (PARTITION BY pool), 0.7) AS w, count(*) OVER (PARTITION BY pool) AS k FROM pn),
+pools AS (SELECT pool, lang, n, w / sum(w) OVER (PARTITION BY pool) AS p, 1 / k AS p_off FROM pw)"""
+
+
+def _pooled(spark, sf):
+    return docs(spark, sf).select("doc_id", "lang", F.when(F.col("doc_id") % 3 == 0, "para").otherwise("mono").alias("pool"))
+
+
+@query("pool_probs", f"WITH {_POOLED} SELECT pool, lang, n, round(p, 6) AS p, round(p_off, 6) AS p_off FROM pools")
+def pool_probs(spark, sf):
+    """Two pools with shares of their own, weighted and with weighting off."""
+    d = _pooled(spark, sf)
+    off = B.pool_probs(d, "pool", "lang", -1).select("pool", "lang", F.round("p", 6).alias("p_off"))
+    return B.pool_probs(d, "pool", "lang", 0.7).withColumn("p", F.round("p", 6)).join(off, ["pool", "lang"])
+
+
+_RACE = f"""{_POOLED}, fixed AS (SELECT lang, round(p, 4) AS p, list_position([{_LANGS}], lang) - 1 AS no FROM pools WHERE pool = 'mono'),
+race AS (SELECT doc_id, draw, lang, -ln(1 - {uniform_sql(17, "doc_id", "draw * 4 + no")}) / p AS arrival
+  FROM documents, unnest(range(3)) d(draw), fixed)""".replace("documents, unnest(range(3)) d(draw), fixed", "(SELECT doc_id FROM documents) x, unnest(range(3)) d(draw), fixed")
+
+
+def _races(spark, sf, replace):
+    probs = B.pool_probs(_pooled(spark, sf), "pool", "lang", 0.7).filter("pool = 'mono'").withColumn("p", F.round("p", 4))
+    return B.race_draws(docs(spark, sf).select("doc_id"), "doc_id", probs, "lang", LANGS, 3, 17, replace)
+
+
+@query("draws_with_replacement", f"WITH {_RACE} SELECT doc_id, draw::INT AS draw, arg_min(lang, arrival) AS lang FROM race GROUP BY doc_id, draw")
+def draws_with_replacement(spark, sf):
+    return _races(spark, sf, True)
+
+
+@query("draws_without_replacement", f"""WITH {_RACE}, o AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY doc_id ORDER BY arrival) - 1 AS draw FROM race WHERE draw = 0)
+SELECT doc_id, draw::INT AS draw, lang FROM o WHERE draw < 3""")
+def draws_without_replacement(spark, sf):
+    return _races(spark, sf, False)
+
+
+_MIRROR = f"((({state_sql(23, 'r')} % n) - x) % n + n) % n"
+
+
+@query("permuted_order", f"""WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents)
+SELECT doc_id, pos, list_reduce(list_concat([pos], range(48)), lambda x, r: CASE WHEN {state_sql(24, "r", f"greatest(x, {_MIRROR})")} % 2 = 1
+  THEN {_MIRROR} ELSE x END)::BIGINT AS permuted FROM p""")
+def permuted_order(spark, sf):
+    """Every document's place in a random order, from its position alone."""
+    d = docs(spark, sf).select("doc_id")
+    placed = ranked(B._id_blocks(d, "doc_id"), [], B.BLOCKS, ["doc_id"], "pos").select("doc_id", "pos")
+    n = d.agg(F.count(F.lit(1))).scalar()
+    return placed.withColumn("n", n).select("doc_id", "pos", B.permuted(F.col("pos"), F.col("n"), 23).alias("permuted"))
+
+
 @query("other_lang", f"""SELECT doc_id, lang, list_filter([{_LANGS}], lambda x: x <> lang)[1 + {state_sql(5, "doc_id")} % 3] AS other FROM documents""")
 def other_lang(spark, sf):
     return docs(spark, sf).select("doc_id", "lang", B.other_lang(F.col("lang"), LANGS, 5, F.col("doc_id")).alias("other"))

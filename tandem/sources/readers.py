@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,6 +153,34 @@ def references(spark: SparkSession, stem: str) -> DataFrame:
     return ranked(rows, ["ref_no"], ["block"], ["at"], "line").select("ref_no", "line", "ref")
 
 
+def numbered_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``line, value``: the lines of text files, numbered from 0 over all files by name, however Spark splits them.
+
+    Lines are counted for each split; the numbers of splits before one are added to the place within it. The
+    window over counts has one row for each split.
+    """
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"))
+    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return lines.join(starts, ["file", "block"]).select((F.col("before") + F.col("at") - F.col("first")).alias("line"), "value")
+
+
+def parallel_lines(spark: SparkSession, sides: dict[str, str | Sequence[str]]) -> DataFrame:
+    """``line`` and a column for each side: files aligned by position, whatever parts they are written in.
+
+    A line that one side lacks raises an error: sides of unequal length are never cut to the shorter.
+    """
+    out = None
+    for name, paths in sides.items():
+        one = numbered_lines(spark, paths).withColumnRenamed("value", name)
+        out = one if out is None else out.join(one, "line", "full")
+    lacking = F.raise_error(F.concat(F.lit("sides of unequal length at line "), F.col("line").cast("string"))).cast("string")
+    return out.select("line", *[F.coalesce(F.col(name), lacking).alias(name) for name in sides])
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
