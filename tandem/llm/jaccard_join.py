@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.llm import words as W
-from tandem.llm.common import as_bytes, bitmap, buffers, in_bitmap, ints, lists, mapped, pieces, row_key, saved, sieve
+from tandem.llm.common import as_bytes, bitmap, buffers, discard, in_bitmap, ints, lists, mapped, pieces, row_key, saved, sieve
 
 _SKETCH = 20  # bits of the sketch's cells
 _MOST = 4  # the largest number of prefix matches that is asked for
@@ -226,9 +226,11 @@ def _stars(postings: DataFrame, t: Fraction) -> DataFrame:
                 .select("token", F.col("one.row").alias("a"), F.col("one.size").alias("sa"), F.col("one.need").alias("na")),
                 "tops")
     pairs = own.select("token", F.col("row").alias("b"), F.col("size").alias("sb"), F.col("need").alias("nb")).join(top, "token")
-    return saved(pairs.where("a <> b").where(_near(t)).withColumn("m", F.lit(1))
-                 .groupBy("a", "b", "sa", "sb", "na", "nb", "m").agg(F.count(F.lit(1)).alias("shared"))
-                 .where(_enough(t)).select("a", "b"), "star")
+    out = saved(pairs.where("a <> b").where(_near(t)).withColumn("m", F.lit(1))
+                .groupBy("a", "b", "sa", "sb", "na", "nb", "m").agg(F.count(F.lit(1)).alias("shared"))
+                .where(_enough(t)).select("a", "b"), "star")
+    discard(top)
+    return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
@@ -262,6 +264,7 @@ def components(links: DataFrame) -> DataFrame:
     both = saved(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = saved(both.groupBy(F.col("a").alias("row")).agg(F.min("b").alias("m"))
                    .select("row", F.least("row", "m").alias("root")), "labels")
+    held = labels
     while True:
         near = (both.join(labels.withColumnRenamed("row", "b"), "b").groupBy(F.col("a").alias("row"))
                 .agg(F.min("root").alias("m")))
@@ -269,8 +272,11 @@ def components(links: DataFrame) -> DataFrame:
         jump = step.select(F.col("row").alias("new"), F.col("new").alias("newer"))
         after = saved(step.join(jump, "new").select("row", F.least("new", "newer").alias("root"),
                                                     (F.least("new", "newer") < F.col("root")).alias("moved")), "labels")
-        labels = after.select("row", "root")
-        if after.where("moved").isEmpty():
+        done = after.where("moved").isEmpty()
+        discard(step, held)
+        labels, held = after.select("row", "root"), after
+        if done:
+            discard(both)
             return labels
 
 
@@ -318,6 +324,7 @@ def similar_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id:
     postings = saved(shared.withColumns({"typical": F.sum("df").over(in_row), "place": place, "ahead": ahead})
                      .withColumn("ahead", F.expr("transform(filter(ahead, s -> s.tier <= tier), s -> s.token)")), "postings")
 
+    discard(again)
     star = _stars(postings, t)
     first = saved(_verified(star, _sets(source, star, n), t), "links")
     labels = components(first)
@@ -326,10 +333,12 @@ def similar_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id:
     named = saved(postings.join(placed, "row", "left").select(
         "token", "tier", "df", "place", "ahead", "row", "size", "need", "probe", F.coalesce("root", "row").alias("root"),
         F.coalesce("weight", F.lit(1)).alias("weight")), "named")
+    discard(postings, placed)
     order = F.struct("weight", "root")
     spans = saved(named.groupBy("token").agg(F.max(order).alias("high"), F.min(order).alias("low"))
                   .where("low < high").select("token", "high"), "spans")
     mixed = saved(named.join(spans, "token"), "mixed")
+    discard(named, spans)
     # The lists are read once for each band.
     left = _banded(mixed.where(order < F.col("high")).where("tier <= probe"), t, "ka", "kb").select(
         "token", "ka", "kb", F.col("row").alias("a"), F.col("size").alias("sa"), F.col("need").alias("na"),
@@ -342,14 +351,16 @@ def similar_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id:
              .where(_near(t)).where(_early(t, "pa", "sa", "na")).where(_early(t, "pb", "sb", "nb"))
              # A pair that shares a token shortly before this one has its row from there.
              .where("la is null or not arrays_overlap(la, lb)").select("a", "b", "m"))
-    found = saved(found.distinct(), "found")
-    found = saved(found.join(first.select("a", "b"), ["a", "b"], "left_anti"), "found")
+    pairs = saved(found.distinct(), "pairs")
+    discard(mixed)
+    found = saved(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"), "found")
     lists = heads.select("row", "size", "need", "tokens")
     both = found.join(lists.toDF("a", "sa", "na", "ta"), "a").join(lists.toDF("b", "sb", "nb", "tb"), "b")
     # A document that chose to ask for more matches has so many more tokens in its prefix.
     ahead = "size(array_intersect(slice(ta, 1, cast(least(sa, sa - na + m) as int)), slice(tb, 1, cast(least(sb, sb - nb + m) as int))))"
     candidates = saved(both.withColumn("shared", F.expr(ahead)).where(_enough(t)).select("a", "b"), "candidates")
     second = saved(_verified(candidates, _sets(source, candidates, n), t), "links")
+    discard(pairs, found, star, candidates)
     labels = components(first.union(second))
     # A text without shingles is linked with nothing: its root is a number of its own.
     inside = saved(rows.join(classes.select("digest", "head"), "digest", "left")
