@@ -4,7 +4,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tandem.functions import text as X
+from tandem.operators import scores
 from tandem.operators import structure as S
+from tandem.operators import trees as N
 from tandem.plans import scoring
 from tandem.plans import textops as T
 from tandem.plans import textsql as Q
@@ -90,6 +92,44 @@ def sole_function_cpp(spark, sf):
     return S.sole_function(cpp_spans(spark, sf), "page_id")
 
 
+# ---- nesting trees ---------------------------------------------------------
+
+_WORDS = ["import", "static", "int", "void", "throws", "class"]
+_SQL_TREES = rf"""{T.SQL_BRACE_CODE}, docs AS (SELECT page_id, list_transform({V.sql_words("code")}, lambda t: CASE
+  WHEN t IN ({", ".join(f"'{w}'" for w in _WORDS)}) THEN t WHEN regexp_full_match(t, '[\p{{L}}_$][\p{{L}}\p{{N}}_$]*') THEN 'id' ELSE t END) AS t FROM brace),
+tok AS (SELECT page_id, unnest(t) AS tok, unnest(range(len(t)))::INT AS pos FROM docs WHERE len(t) > 0),
+dep AS (SELECT *, sum(CASE WHEN tok IN ('(', '{{') THEN 1 ELSE -1 END) OVER (PARTITION BY page_id ORDER BY pos) AS depth
+  FROM tok WHERE tok IN ('(', ')', '{{', '}}')),
+lev AS (SELECT *, CASE WHEN tok IN ('(', '{{') THEN depth ELSE depth + 1 END AS level FROM dep),
+nxt AS (SELECT *, lead(tok) OVER w AS c, lead(pos) OVER w AS stop FROM lev WINDOW w AS (PARTITION BY page_id, level ORDER BY pos)),
+spans AS (SELECT page_id, pos AS start, stop, level::INT AS depth FROM nxt WHERE (tok = '(' AND c = ')') OR (tok = '{{' AND c = '}}')
+  UNION ALL SELECT page_id, 0, (len(t) - 1)::INT, 0 FROM docs WHERE len(t) > 0),
+subtrees AS (SELECT page_id, start, stop, depth, sha256(array_to_string(list_slice(t, start + 1, stop + 1), ' ')) AS digest FROM spans JOIN docs USING (page_id))"""
+
+
+def _subtrees(spark, sf):
+    code = T.pages_code(spark, sf).select("page_id", X.words(F.col("code")).alias("t"))
+    return N.subtrees(code, "page_id", "t", _WORDS)
+
+
+@query("subtree_rows", f"WITH {_SQL_TREES} SELECT * FROM subtrees")
+def subtree_rows(spark, sf):
+    """Every bracketed part of a page's code by its shape."""
+    return _subtrees(spark, sf)
+
+
+@query("tree_overlap", f"""WITH {_SQL_TREES}, bag AS (SELECT page_id, digest, sum(h) AS h, sum(r) AS r FROM (
+  SELECT page_id, digest, 1 AS h, 0 AS r FROM subtrees UNION ALL SELECT page_id - 1, digest, 0, 1 FROM subtrees) GROUP BY page_id, digest)
+SELECT page_id, sum(CASE WHEN h > 0 THEN r ELSE 0 END)::BIGINT AS matched, sum(r)::BIGINT AS total,
+  round(sum(CASE WHEN h > 0 THEN r ELSE 0 END) / nullif(sum(r), 0), 6) AS score FROM bag GROUP BY page_id""")
+def tree_overlap(spark, sf):
+    """Subtrees of the next page (the reference) that the page has too."""
+    rows = _subtrees(spark, sf).select("page_id", "digest")
+    sides = rows.withColumn("side", F.lit("hyp")).unionByName(rows.select((F.col("page_id") - 1).alias("page_id"), "digest", F.lit("ref").alias("side")))
+    o = scores.overlap(sides, ["page_id"], ["digest"], ["page_id"], membership=True)
+    return o.select("page_id", "matched", "total", F.round(scores.overlap_score(), 6).alias("score"))
+
+
 @query("indent_spans", rf"""WITH {T.SQL_BLOCK_CODE}, docs AS (SELECT doc_id, {V.sql_words("code")} AS t FROM block),
 tok AS (SELECT doc_id, unnest(t) AS tok, unnest(range(len(t)))::INT AS pos FROM docs WHERE len(t) > 0),
 dep AS MATERIALIZED (SELECT doc_id, pos, tok, depth FROM (SELECT *, sum(CASE tok WHEN 'INDENT' THEN 1 WHEN 'DEDENT' THEN -1 ELSE 0 END)

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions.text import words
 from tandem.operators import structure as S
+from tandem.operators import trees as N
 
 
 def spans(spark, fn, codes, **kw):
@@ -80,6 +81,20 @@ def test_last_definition(spark):
     assert [r.def_pos for r in got] == [0, 1, 0, 0, 3, 1]
 
 
+def test_subtrees(spark):
+    codes = ["f ( a , [ 1 ] ) { return g ( b ) ; }", "h ( x , [ 22 ] ) { return k ( y ) ; }", "( [ ) ] a", "", "if x : NEW_LINE INDENT y ( ) NEW_LINE DEDENT"]
+    df = spark.createDataFrame([*enumerate(codes), (9, None)], "id long, code string").select("id", words(F.col("code")).alias("t"))
+    rows = N.subtrees(df, "id", "t", ["return", "if"]).collect()
+    shapes = {i: sorted((r.depth, r.start, r.stop, r.digest) for r in rows if r.id == i) for i in (*range(5), 9)}
+    assert [x[:3] for x in shapes[0]] == [(0, 0, 15), (1, 1, 7), (1, 8, 15), (2, 4, 6), (2, 11, 13)]
+    assert shapes[0] == shapes[1] and shapes[3] == shapes[9] == []
+    assert [x[:3] for x in shapes[2]] == [(0, 0, 4)]  # what is not closed in its level is no node
+    assert [x[:3] for x in shapes[4]] == [(0, 0, 9), (1, 4, 9), (2, 6, 7)]
+    parens = {r.digest for r in rows if r.id == 4 and r.depth == 2}
+    assert parens == {r.digest for r in N.subtrees(df.filter("id = 4").select("id", F.array(F.lit("("), F.lit(")")).alias("t")), "id", "t", []).collect()
+                      if r.depth == 1}
+
+
 def test_sole_function(spark):
     df = spark.createDataFrame([(1, "class", "a"), (2, "standalone", "b"), (3, "class", "c"), (3, "standalone", "d")],
                                "id long, kind string, function string")
