@@ -489,6 +489,29 @@ def test_remove_repeats(docs, length, gram):
     assert X.order(got) == X.order(X.without_repeats(rows, length))
 
 
+def test_planted_passages_go_if_they_have_the_length(spark):
+    """Passages of over 50 words in several documents and twice in one: those of under 400 bytes stay, by contract."""
+    import random
+
+    r = random.Random(11)
+    vocabulary = ["ab", "the", "lorem", "dolores", "question", "therefore", "consequent"]
+
+    def words(n):
+        return " ".join(r.choice(vocabulary) + str(r.randint(0, 9)) for _ in range(n))
+
+    planted = {n: words(n) for n in (51, 63, 80, 120)}
+    rows = [(100 * n + i, f"{words(30 + i)} {text} {words(20)}") for n, text in planted.items() for i in range(3)]
+    rows += [(9000 + n, f"{words(10)} {text}\n{words(5)} {text}") for n, text in ((n, words(n)) for n in planted)]
+    got = [(x.doc_id, x.n_bytes, sum(s.end - s.start for s in x.removed), len(x.removed), x.kept_sha256)
+           for x in remove_repeats(X.frame(spark, rows).repartition(4), 400).collect()]
+    assert X.order(got) == X.order(X.without_repeats(rows, 400))
+    gone = {x[0]: x[2] for x in got}
+    for n, text in planted.items():
+        size = len(text.encode())
+        for i in range(3):
+            assert gone[100 * n + i] == 0 if size < 398 else gone[100 * n + i] >= size
+
+
 def test_samples_depend_on_content_only():
     a, b = X.prose(3, 300).encode(), X.prose(4, 300).encode()
     doc, place, first, last = samples(np.frombuffer(a + b, np.uint8), np.array([0, len(a), len(a) + len(b)]), 100, 16)
