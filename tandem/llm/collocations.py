@@ -97,6 +97,11 @@ def occurrences(docs: DataFrame, lang: str, text: str) -> DataFrame:
                  "occurrences")
 
 
+def _places(ids: np.ndarray, at: pa.Scalar, size: int) -> np.ndarray:
+    """Where the relation's phrases start; those of one word are the ids themselves and are not written twice."""
+    return np.flatnonzero(ids >= 0) if size == 1 else _array(at, np.int32)
+
+
 def _longer(ids: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where phrases of ``size + 1`` words start whose first and last ``size`` words are in the relation ``at``.
 
@@ -124,7 +129,7 @@ def _groups(relation: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for block, a, b, c in zip(*(batch.column(x) for x in ("block", "ids", "at", "vocab"))):
                 ids, vocab = _array(a, np.int32), _array(c, np.int64)
-                _, key, member = _longer(ids, _array(b, np.int32), size)
+                _, key, member = _longer(ids, _places(ids, b, size), size)
                 columns = [(block.as_py() << _SHIFT) + np.arange(len(member)), *(vocab[ids[member + j]] for j in range(size + 1)), np.bincount(key, minlength=len(member))]
                 yield pa.RecordBatch.from_arrays([ints(x) for x in columns], names)
 
@@ -152,13 +157,13 @@ def _semi_joined(relation: DataFrame, frequent: DataFrame, size: int) -> DataFra
         new = np.full(max(int(ids.max(initial=0)), int(kept.max(initial=0))) + 2, -1, np.int32)
         new[kept] = np.arange(len(kept))
         ids = new[ids]  # -1, between pieces, is the last place
-        return _row(left.column("block")[0], ids, np.flatnonzero(ids >= 0).astype(np.int32), vocab)
+        return _row(left.column("block")[0], ids, np.empty(0, np.int32), vocab)
 
     def phrases(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return left.select(["block", "ids", "at", "vocab"])
-        ids, at, vocab = (_array(left.column(c)[0], k) for c, k in (("ids", np.int32), ("at", np.int32), ("vocab", np.int64)))
-        start, key, member = _longer(ids, at, size - 1)
+        ids, vocab = _array(left.column("ids")[0], np.int32), _array(left.column("vocab")[0], np.int64)
+        start, key, member = _longer(ids, _places(ids, left.column("at")[0], size - 1), size - 1)
         kept = np.zeros(len(member), bool)
         kept[right.column("g").to_numpy()] = True
         return _row(left.column("block")[0], ids, start[kept[key]].astype(np.int32), vocab)
