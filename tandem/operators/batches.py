@@ -96,7 +96,7 @@ def alignment_weights(df: DataFrame, keys: Sequence[str], tgt: str) -> DataFrame
 
 # ---- mixing data sets -----------------------------------------------------
 
-def epoch_shard(n_shards: int, epoch: Column) -> Column:
+def epoch_shard(n_shards: int | Column, epoch: Column) -> Column:
     """Shard read in an epoch; epochs count from 1."""
     return F.pmod(epoch - 1, F.lit(n_shards))
 

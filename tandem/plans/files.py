@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tandem.functions.text import words
+from tandem.operators import batches as B
 from tandem.plans import views as V
 from tandem.plans.registry import query, table
 from tandem.session import ensure_checkpoint_dir
@@ -103,3 +104,31 @@ def ordered_log(spark, sf):
     starts = counts.select("part", before.alias("before"))
     return placed.withColumn("part", part).join(starts, "part").select(
         (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"), "id", "score", "hypothesis")
+
+
+@query("shard_discovery", """WITH s AS (SELECT shard, row_number() OVER (ORDER BY shard) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT (doc_id * 7 % 30)::BIGINT AS shard
+  FROM documents WHERE doc_id % 4 = 1)) SELECT epoch::INT AS epoch, shard FROM s, unnest(range(1, 65)) e(epoch) WHERE (epoch - 1) % n = i""")
+def shard_discovery(spark, sf):
+    """The shard read in each of 64 epochs, from the shards that are found to be there."""
+    path = folder(spark, "found")
+    docs = table(spark, sf, "documents").filter("doc_id % 4 = 1").select((F.col("doc_id") * 7 % 30).alias("shard"), F.col("doc_id").alias("id"))
+    docs.repartition("shard").write.partitionBy("shard").parquet(path)
+    found = R.shard_files(spark, f"{path}/shard=*", r"/shard=(\d+)/").groupBy("shard").agg(F.count(F.lit(1)).alias("files"))
+    # a row for each shard: the window is over their list
+    listed = found.select("shard", (F.row_number().over(Window.orderBy("shard")) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
+    epochs = F.filter(F.sequence(F.lit(1), F.lit(64)), lambda e: B.epoch_shard(F.col("n"), e) == F.col("i"))
+    return listed.select(F.explode(epochs).alias("epoch"), "shard")
+
+
+@query("evaluation_triples", f"""WITH {V.SQL_PAIRS} SELECT conv_id * 1000 + turn AS pair_id, hyp AS source, ref AS target, reverse(hyp) AS hypothesis FROM pairs""")
+def evaluation_triples(spark, sf):
+    """Sources, targets and hypotheses as tables in buckets of the pair's number, joined without a shuffle."""
+    pairs = V.pairs(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "hyp", "ref")
+    out = None
+    for name, column in (("source", F.col("hyp")), ("target", F.col("ref")), ("hypothesis", F.reverse("hyp"))):
+        path = folder(spark, name)
+        place = f"{name}_{path[-32:]}"
+        W.write_bucketed(pairs.select("pair_id", column.alias(name)), place, path, ["pair_id"], 8)
+        one = spark.table(place)
+        out = one if out is None else out.join(one, "pair_id")
+    return out

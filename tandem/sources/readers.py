@@ -1,6 +1,7 @@
 """Scans of corpus files with explicit schemas; ids come from file names, never from line order."""
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -181,6 +182,20 @@ def parallel_lines(spark: SparkSession, sides: dict[str, str | Sequence[str]]) -
     return out.select("line", *[F.coalesce(F.col(name), lacking).alias(name) for name in sides])
 
 
+def shard_files(spark: SparkSession, paths: str | Sequence[str], number: str = r"[./=](\d+)[./][^/]*$") -> DataFrame:
+    """``shard, path, length`` of the files that ``paths`` name: globs, folders, or several joined by ``:`` as in ``a:b:c``.
+
+    Only the file index is read, no content. ``number`` finds the shard's number in a path; files without one are left out,
+    and so are empty ones.
+    """
+    if isinstance(paths, str):
+        # a colon before two slashes belongs to a scheme
+        paths = [p for p in re.split(r":(?!//)", paths) if p]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths)).select("path", "length")
+    shard = F.regexp_extract("path", number, 1)
+    return files.filter(shard != "").select(shard.cast("bigint").alias("shard"), "path", "length")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)

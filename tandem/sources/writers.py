@@ -34,3 +34,12 @@ def write_shards(df: DataFrame, path: str, by: Sequence[str] = ("split", "lang",
 
 def write_beams(df: DataFrame, path: str, mode: str = KEEP) -> None:
     df.write.mode(mode).partitionBy("beam").parquet(path)
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, keys: Sequence[str], buckets: int = 64, mode: str = KEEP) -> None:
+    """A table of the catalog at ``path``, cut into ``buckets`` files by ``keys`` and sorted: joins by them need no shuffle.
+
+    Tables that are to be joined need the same keys and number of buckets.
+    """
+    (df.repartition(buckets, *keys).write.mode(mode).format("parquet").option("path", path)
+     .bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table))

@@ -1,9 +1,13 @@
 """Line files that belong together by position."""
+import uuid
+
 import pytest
+from pyspark.sql import functions as F
 
 from tandem.operators import corpus as C
 from tandem.operators import ngrams as G
 from tandem.sources import readers as R
+from tandem.sources.writers import write_bucketed
 
 
 def written(tmp_path, name, parts):
@@ -46,3 +50,31 @@ def test_ids_of_one_side_are_counted_and_the_first_closest_reference_is_taken(sp
     got = {rule: {r.id: r.ref_len for r in G.multi_ref_stats(hyps, refs, ["id"], ref_len=rule).collect()}
            for rule in ("first", "closest", "shortest", "average")}
     assert got == {"first": {1: 6, 2: 0}, "closest": {1: 2, 2: 0}, "shortest": {1: 2, 2: 0}, "average": {1: 4.0, 2: 0.0}}
+
+
+def test_shards_are_found_by_globs_and_lists(spark, tmp_path):
+    for n in (3, 10, 7):
+        (tmp_path / f"train.en.{n}.jsonl").write_text("x" * n)
+    (tmp_path / "notes.txt").write_text("none")
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "train.en.12.jsonl").write_text("x")
+    (tmp_path / "more" / "train.en.13.jsonl").write_text("")
+    one = {(r.shard, r.length) for r in R.shard_files(spark, f"{tmp_path}/*.jsonl").collect()}
+    assert one == {(3, 3), (7, 7), (10, 10)}
+    two = [r.shard for r in R.shard_files(spark, f"{tmp_path}/train.en.3.jsonl:{tmp_path}/more").orderBy("shard").collect()]
+    assert two == [3, 12]
+    assert "content" not in R.shard_files(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        names = [f"t{uuid.uuid4().hex}" for _ in range(3)]
+        for name in names:
+            write_bucketed(spark.range(200).withColumn(name, F.col("id") * 2), name, str(tmp_path / name), ["id"], 4)
+        both = spark.table(names[0]).join(spark.table(names[1]), "id").join(spark.table(names[2]), "id")
+        assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString() and both.count() == 200
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
