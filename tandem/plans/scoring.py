@@ -205,9 +205,9 @@ def bleu_nl_multi_ref(spark, sf):
         *PAIR, nl_tokens(F.col("text")).alias("hyp"))
     scores = S.sentence_stats(G.multi_ref_stats(hyps, refs, PAIR, ref_len="first"), PAIR).select(*S.nl_scores())
     names = ["bleu", "bleu_1", "bleu_2", "bleu_3", "bleu_4"]
-    means = scores.agg(*[F.round(100 * F.avg(n), 2).alias(n) for n in names]).withColumn("k", F.lit(0))
-    counts = C.coverage(hyps, refs, PAIR).withColumn("k", F.lit(0))
-    return counts.join(means, "k").drop("k")  # one row each
+    means = scores.agg(*[F.round(100 * F.avg(n), 2).alias(n) for n in names])
+    both = C.coverage(hyps, refs, PAIR).unionByName(means, allowMissingColumns=True)  # one row each
+    return both.agg(*[F.max(c).alias(c) for c in ["scored", "only_hyp", "only_ref", *names]])
 
 
 @query("bleu_moses", f"""WITH {V.SQL_COPIES}, {V.sql_stats("copies", ["doc_id"], h="lower(hyp)", r="lower(ref)")},
