@@ -13,6 +13,7 @@ from tandem.plans.registry import query, table
 from tandem.session import ensure_checkpoint_dir
 from tandem.sources import readers as R
 from tandem.sources import writers as W
+from tandem.streaming import metrics as M
 
 
 def folder(spark, name: str) -> str:
@@ -132,3 +133,23 @@ def evaluation_triples(spark, sf):
         one = spark.table(place)
         out = one if out is None else out.join(one, "pair_id")
     return out
+
+
+@query("live_counts", f"""WITH {V.SQL_PAIRS} SELECT conv_id % 4 AS part, count(*) AS pairs, sum(len({V.sql_words("hyp")}))::BIGINT AS hyp_len,
+  sum(len({V.sql_words("ref")}))::BIGINT AS ref_len, sum((hyp = ref)::INT)::BIGINT AS equal FROM pairs GROUP BY 1""")
+def live_counts(spark, sf):
+    """Scored pairs as a stream of files in which every third pair comes twice, summed by a stateful query."""
+    pairs, path = V.pairs(spark, sf), folder(spark, "stream")
+    scored = pairs.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), (F.col("conv_id") % 4).alias("part"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn")).alias("at"), F.size(words(F.col("hyp"))).cast("long").alias("hyp_len"),
+        F.size(words(F.col("ref"))).cast("long").alias("ref_len"), (F.col("hyp") == F.col("ref")).cast("long").alias("equal"))
+    scored.write.parquet(path)
+    scored.filter("pair_id % 3 = 0").write.mode("append").parquet(path)
+    name = f"live_{path[-32:]}"
+    stream = spark.readStream.schema(scored.schema).option("maxFilesPerTrigger", 1000).parquet(path)
+    counts = M.live_counts(stream, "pair_id", "at", "1 day", ["hyp_len", "ref_len", "equal"], ["part"])
+    # four rows come back; the state lies in the shared folder
+    (counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", folder(spark, "state"))
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.table(name)

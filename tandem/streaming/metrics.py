@@ -30,3 +30,13 @@ def total_counts(spark: SparkSession, path: str, by: Sequence[str] = ()) -> Data
     df = spark.read.parquet(path)
     sums = [c for c in df.columns if c not in {*by, "batch"}]
     return df.groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def live_counts(pairs: DataFrame, pair_id: str, at: str, delay: str, counts: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """A running table ``by, pairs, counts..`` over a stream of scored pairs; each pair counts once.
+
+    A pair that is delivered again within ``delay`` of its time ``at`` is dropped by the state store, which forgets
+    pairs beyond that; sums are kept per group, so the state is as large as the recent pairs and the groups.
+    """
+    once = pairs.withWatermark(at, delay).dropDuplicatesWithinWatermark([pair_id])
+    return once.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), *[F.sum(c).alias(c) for c in counts])

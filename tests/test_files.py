@@ -8,6 +8,7 @@ from tandem.operators import corpus as C
 from tandem.operators import ngrams as G
 from tandem.sources import readers as R
 from tandem.sources.writers import write_bucketed
+from tandem.streaming import metrics as M
 
 
 def written(tmp_path, name, parts):
@@ -78,3 +79,23 @@ def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for name in names:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_a_pair_that_is_replayed_in_a_later_batch_counts_once(spark, tmp_path):
+    schema = "pair_id long, part string, at timestamp, hits long"
+
+    def batch(rows):
+        df = spark.createDataFrame(rows, "pair_id long, part string, s long, hits long")
+        df.select("pair_id", "part", F.timestamp_seconds("s").alias("at"), "hits").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        name = f"live_{uuid.uuid4().hex}"
+        (M.live_counts(stream, "pair_id", "at", "1 hour", ["hits"], ["part"]).writeStream.outputMode("complete").format("memory")
+         .queryName(name).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination())
+        return {r.part: (r.pairs, r.hits) for r in spark.table(name).collect()}
+
+    batch([(1, "a", 1000, 5), (2, "b", 1010, 7), (1, "a", 1000, 5)])
+    assert run() == {"a": (1, 5), "b": (1, 7)}
+    batch([(2, "b", 1010, 7), (3, "b", 1020, 1)])  # delivered again, in another batch of a restarted query
+    assert run() == {"a": (1, 5), "b": (2, 8)}
