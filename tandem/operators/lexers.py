@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.functions.text import C_FAMILY_SYMBOLS, PYTHON_SYMBOLS, literal_tokens
+from tandem.functions.text import C_FAMILY_SYMBOLS, PYTHON_SYMBOLS, bind, literal_tokens
 from tandem.scale import placed
 
 # Operators of more than one character, longest first.
@@ -80,10 +80,15 @@ def _python_lexer() -> str:
             rf"|[\p{{L}}_][\p{{L}}\p{{N}}_]*+|{ops}|.")
 
 
+#: Lines that are put together before they are appended to the rest of a document.
+_BLOCK = 256
+
+
 def _marked(lines: Column) -> Column:
     """Lines with the INDENT and DEDENT marks in front of them, and whether all of them close a level that was opened.
 
-    A level that holds a docstring only gets neither mark: its INDENT waits for the next line.
+    A level that holds a docstring only gets neither mark: its INDENT waits for the next line. Lines are
+    taken in blocks, and only a block's own tokens are appended to line by line.
     """
     def repeat(mark: str, times: Column) -> Column:
         return F.array_repeat(F.lit(mark), times.cast("int"))
@@ -106,10 +111,18 @@ def _marked(lines: Column) -> Column:
                          F.concat(acc["out"], F.array(line["tokens"])).alias("out"))
         return F.when(code, moved).otherwise(aside)
 
+    def block(acc: Column, some: Column) -> Column:
+        start = F.struct(acc["levels"].alias("levels"), acc["waits"].alias("waits"), acc["good"].alias("good"),
+                         F.array().cast("array<array<string>>").alias("out"))
+        return bind(F.aggregate(some, start, step), lambda x: F.struct(
+            x["levels"].alias("levels"), x["waits"].alias("waits"), x["good"].alias("good"),
+            F.concat(acc["blocks"], F.array(F.flatten(x["out"]))).alias("blocks")))
+
+    firsts = F.when(F.size(lines) > 0, F.sequence(F.lit(1), F.size(lines), F.lit(_BLOCK))).otherwise(F.array().cast("array<int>"))
     start = F.struct(F.array(F.lit(0)).alias("levels"), F.lit(False).alias("waits"), F.lit(True).alias("good"),
-                     F.array().cast("array<array<string>>").alias("out"))
-    return F.aggregate(lines, start, step, lambda acc: F.struct(
-        acc["good"].alias("good"), F.flatten(F.concat(acc["out"], F.array(repeat(
+                     F.array().cast("array<array<string>>").alias("blocks"))
+    return F.aggregate(F.transform(firsts, lambda i: F.slice(lines, i, F.lit(_BLOCK))), start, block, lambda acc: F.struct(
+        acc["good"].alias("good"), F.flatten(F.concat(acc["blocks"], F.array(repeat(
             "DEDENT", F.size(acc["levels"]) - 1 - acc["waits"].cast("int"))))).alias("tokens")))
 
 
