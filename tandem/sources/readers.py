@@ -120,13 +120,13 @@ def split_id_code(line: Column, legacy: bool = False) -> tuple[Column, Column]:
     return tidy(F.get(parts, F.lit(0))), tidy(F.coalesce(F.get(parts, F.lit(1)), F.get(parts, F.lit(0))))
 
 
-GEN_LINE = r"^H-(\d+)\t([^\t]*)\t(.*)$"
+GEN_LINE = r"^H-(-?\d+)\t([^\t]*)(\t(.*))?$"
 
 
 def gen_log(lines: DataFrame, value: str = "value", drop_first_token: bool = False) -> DataFrame:
-    """Hypothesis lines of a generation log as ``id, score, hypothesis``."""
+    """Hypothesis lines of a generation log as ``id, score, hypothesis``; a line without a text field has a null one."""
     v = F.col(value)
-    text = F.regexp_extract(v, "(?d)" + GEN_LINE, 3)
+    text = F.when(F.regexp_extract(v, "(?d)" + GEN_LINE, 3) != "", F.regexp_extract(v, "(?d)" + GEN_LINE, 4))
     if drop_first_token:
         text = F.regexp_replace(text, "^[^ ]* ?", "")
     return lines.filter(F.rlike(v, F.lit("^H"))).select(

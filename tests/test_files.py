@@ -99,3 +99,19 @@ def test_a_pair_that_is_replayed_in_a_later_batch_counts_once(spark, tmp_path):
     assert run() == {"a": (1, 5), "b": (1, 7)}
     batch([(2, "b", 1010, 7), (3, "b", 1020, 1)])  # delivered again, in another batch of a restarted query
     assert run() == {"a": (1, 5), "b": (2, 8)}
+
+
+def test_ordered_log_keeps_null_texts_and_negative_ids(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as E
+
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", None if (c + t) % 3 == 0 else f"t{c} {t}\r\nx")
+            for c in (-2, -1, 0, 1, 5) for t in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted(tuple(r) for r in E.queries()["ordered_log"](spark, str(tmp_path)).select("place", "id", "score", "hypothesis").collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = sorted(tuple(r) for r in con.execute(f"SELECT place, id, score, hypothesis FROM ({E.oracle_sql()['ordered_log']})").fetchall())
+    assert any(r[3] is None for r in want) and any(r[1] < 0 for r in want)
+    assert got == want
