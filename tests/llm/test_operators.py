@@ -551,3 +551,19 @@ def test_sparse_sites_shrink_towards_the_level_above(spark):
     share = {r.host: r.host_share for r in got}
     assert share["bad"] < 0.1 and share["big"] > 0.9 and share["bad"] < share["tiny"] < share["big"]
     assert all(0 < r.posterior < 1 for r in got)
+
+
+def test_secrets_train_on_every_finding(spark):
+    texts = [f"row {i} token=abcdef{i:04d}xyz and key AKIA{i:020d} then kRtqWzbLmPxvDnYf{i} end" for i in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = set()
+    for t in texts:
+        base = secret_spans(t)
+        for a, b in secrets.candidates(t):
+            if b - a <= 200:
+                at = max(0, a - secrets.CONTEXT)
+                want.add((t[at:b + secrets.CONTEXT], a - at, b - at, int(secrets.overlaps((a, b, 0), base))))
+    got = {tuple(r) for r in secrets.all_findings(df, "text").collect()}
+    assert got == want and len(want) > 1000  # more than the 300 of each class that a sample of 3000 kept
+    net = secrets.train(df, most=300, variants=1500, epochs=2)
+    assert all(0 < t <= 1 for t, s in zip(net.thresholds, range(5)) if s in {secrets.shape(t[a:b]) for t, a, b, g in want if g})
