@@ -83,13 +83,29 @@ def fit_linear(doc: np.ndarray, feature: np.ndarray, stats: np.ndarray, gold: np
     n = len(gold)
     good = float(gold.mean()) if n else 1.0
     if n == 0 or good in (0.0, 1.0):
-        return Linear(np.zeros(_FEATURES), np.zeros(3 * _STATS), 3.0 if good == 1 else -3.0, np.zeros(3 * _STATS))
-    hits = np.bincount(feature, weights=gold[doc], minlength=_FEATURES)
-    total = np.bincount(feature, minlength=_FEATURES)
-    z = np.abs(hits - total * good) / np.sqrt(total * good * (1 - good) + 1)
-    weight = 1 - (doubt / np.maximum(z, doubt)) ** 2
+        return constant(good)
+    weight = feature_weights(np.bincount(feature, weights=gold[doc], minlength=_FEATURES),
+                             np.bincount(feature, minlength=_FEATURES), good, doubt)
     some = weight[feature] > 0
-    doc, feature = doc[some], feature[some]
+    return fit_weighted(doc[some], feature[some], stats, gold, weight, steps, penalty)
+
+
+def constant(good: float) -> Linear:
+    """The model of a single class, or of none: that class's constant."""
+    return Linear(np.zeros(_FEATURES), np.zeros(3 * _STATS), 3.0 if good == 1 else -3.0, np.zeros(3 * _STATS))
+
+
+def feature_weights(hits: np.ndarray, total: np.ndarray, good: float, doubt: float = 3.0) -> np.ndarray:
+    """The scale of each feature from its count in good documents and in all, as ``fit_linear`` has it."""
+    z = np.abs(hits - total * good) / np.sqrt(total * good * (1 - good) + 1)
+    return 1 - (doubt / np.maximum(z, doubt)) ** 2
+
+
+def fit_weighted(doc: np.ndarray, feature: np.ndarray, stats: np.ndarray, gold: np.ndarray, weight: np.ndarray,
+                 steps: int = 200, penalty: float = 1e-4) -> Linear:
+    """``fit_linear`` on the (doc, feature) pairs whose feature has a positive ``weight``, those only given."""
+    n = len(gold)
+    good = float(gold.mean())
     chosen, column = np.unique(feature, return_inverse=True)
     value = weight[feature]
     mean = shaped(stats).mean(0)
@@ -115,7 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12000, doc_id: str = "
     """Models of "not junk" and of "not toxic" from at most ``most`` labelled documents, those of least hash.
 
     Rows with a null label count for neither class of it. Features are made where the
-    documents lie and counted by Spark; the driver gets those of ``seen`` documents and more only, and no text.
+    documents lie and counted by Spark; the driver gets only the counts of features and, of the features of
+    ``seen`` documents and more, those that tell the classes apart, and no text.
     """
     some = (labels.where(F.col(doc_id).isNotNull())
             .select(F.col(doc_id).alias("id"), F.col(quality).cast("double").alias("q"), F.col(toxic).cast("double").alias("t"))
@@ -138,32 +155,49 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12000, doc_id: str = "
              .where(F.col("count") >= seen).select("feature").toArrow().column("feature").to_numpy())  # of 2**19 at most
     known = np.zeros(_FEATURES, bool)
     known[often] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(known))
+    models = []
+    for name, good in (("q", 1.0), ("t", 0.0)):
+        labelled = table.where(F.col(name).isNotNull() & ~F.isnan(name))
+        gold = (F.col(name) == good).cast("long")
+        sizes = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum(gold).alias("g")).head()
+        share = float(sizes["g"] / sizes["n"]) if sizes["n"] else 1.0
+        if share in (0.0, 1.0):
+            models.append(constant(share))
+            continue
+        counts = (labelled.select(gold.alias("gold"), F.explode("features").alias("feature")).groupBy("feature")
+                  .agg(F.count(F.lit(1)).alias("total"), F.sum("gold").alias("hits")).toArrow())  # of 2**19 at most
+        at = counts.column("feature").to_numpy()
+        hits, total = np.zeros(_FEATURES), np.zeros(_FEATURES, np.int64)
+        hits[at], total[at] = counts.column("hits").to_numpy(), counts.column("total").to_numpy()
+        weight = np.where(known, feature_weights(hits, total, share), 0.0)
+        models.append(fit_weighted(*_weighted_rows(labelled, name, good, weight), weight))
+    return models[0], models[1]
+
 
-    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _weighted_rows(labelled: DataFrame, name: str, good: float, weight: np.ndarray):
+    """(doc, feature, stats, gold) of the labelled rows, with only the features of positive ``weight``.
+
+    The features are sieved where the rows lie; the driver gets the chosen ones only.
+    """
+    shared = labelled.sparkSession.sparkContext.broadcast(np.packbits(weight > 0))
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             held = batch.column("features")
             values, row = held.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), held.value_lengths().to_numpy())
             some = kept[values]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("q"), batch.column("t"), lists(pa.array(values[some]), np.bincount(row[some], minlength=batch.num_rows)),
-                 batch.column("stats")], batch.schema.names)
+                [batch.column(name), lists(pa.array(values[some]), np.bincount(row[some], minlength=batch.num_rows)),
+                 batch.column("stats")], [name, "features", "stats"])
 
-    table = mapped(table, filtered, schema).toArrow()
+    table = mapped(labelled.select(name, "features", "stats"), chosen,
+                   f"{name} double, features array<int>, stats array<float>").toArrow()
     held = [table.column(c).combine_chunks() for c in ("features", "stats")]
     held = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in held]
-    stats = held[1].flatten().to_numpy().reshape(-1, _STATS)
-    every, row = held[0].flatten().to_numpy(), held[0].value_lengths().to_numpy()
-    row = np.repeat(np.arange(len(row)), row)
-    models = []
-    for name, good in (("q", 1.0), ("t", 0.0)):
-        value = table.column(name).to_numpy()
-        known = ~np.isnan(value.astype(float))
-        of = np.cumsum(known) - 1
-        some = known[row]
-        models.append(fit_linear(of[row[some]], every[some], stats[known], (value[known] == good).astype(float)))
-    return models[0], models[1]
+    feature, row = held[0].flatten().to_numpy(), held[0].value_lengths().to_numpy()
+    gold = (table.column(name).to_numpy() == good).astype(float)
+    return np.repeat(np.arange(len(row)), row), feature, held[1].flatten().to_numpy().reshape(-1, _STATS), gold
 
 
 def evidence(docs: DataFrame, models: tuple[Linear, Linear]) -> DataFrame:

@@ -545,6 +545,23 @@ def test_quality(spark, none):
     assert quality.judge(none, quality.train(none, table.limit(0))).count() == 0
 
 
+def test_quality_driver_gets_only_the_features_that_count(spark, monkeypatch):
+    rows, labels = [], []
+    for i in range(240):
+        text = X.prose(i, 60)
+        text = text.replace("five", "idiot") if i % 4 == 2 else text.upper() if i % 4 == 1 else text
+        rows.append((i, text))
+        labels.append((i, int(i % 4 != 1), int(i % 4 == 2)))
+    docs = X.frame(spark, rows)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    sent, plain = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: sent.append(plain(self)) or sent[-1])
+    models = quality.train(docs, table)
+    counted = set(np.flatnonzero(models[0].words)) | set(np.flatnonzero(models[1].words))
+    lists = [t.column("features").combine_chunks().flatten().to_numpy() for t in sent if "features" in t.column_names]
+    assert lists and all(set(x.tolist()) <= counted for x in lists)
+
+
 def test_sparse_sites_shrink_towards_the_level_above(spark):
     rows = [("big", f"p{i % 2}", 0.95) for i in range(400)] + [("bad", "q", 0.05)] * 200 + [("tiny", "r", 0.05)]
     got = quality.posteriors(spark.createDataFrame(rows, "host string, path string, p double")).collect()
