@@ -77,25 +77,40 @@ def first_parens(tokens: Column) -> Column:
             F.aggregate(tail, zero, step, lambda s: F.when(s["end"] > 0, s["end"]).otherwise(s["i"])))
         return F.slice(tail, F.lit(2), F.greatest(end - 2, F.lit(0)))
 
-    at = F.array_position(tokens, "(").cast("int")
-    return F.when(at > 0, bind(F.slice(tokens, at, F.size(tokens)), inside))
+    def opened(t):
+        return bind(F.array_position(t, "(").cast("int"),
+                    lambda at: F.when(at > 0, bind(F.slice(t, at, F.size(t)), inside)))
+
+    return bind(tokens, opened)
+
+
+def single_blanks(c: Column) -> Column:
+    """Runs of blanks become one blank; the pattern is needed only for runs of over two."""
+    two = F.lit("  ")
+    return F.when(F.contains(c, two), bind(F.replace(c, two, F.lit(" ")), lambda x: F.when(
+        F.contains(x, two), F.regexp_replace(x, " +", " ")).otherwise(x))).otherwise(c)
 
 
 def argument_list(tokens: Column) -> Column:
     """Arguments as ``(type, name)``; no arguments give one ``(None, None)``."""
 
+    mark = F.lit("[ ]")
+
     def one(arg):
         """Name: the last word. Type: all before it, then the array marks."""
-        has = F.contains(arg, F.lit("[ ]"))
-        marks = F.when(has, F.array_join(F.regexp_extract_all(arg, F.lit(r"\[ \]"), F.lit(0)), " ")).otherwise(F.lit(""))
 
-        def split_name(m):
-            bare = F.trim(F.when(m != "", F.replace(arg, m, F.lit(""))).otherwise(arg))
-            bare = F.when(F.contains(bare, F.lit("  ")), F.regexp_replace(bare, " +", " ")).otherwise(bare)
-            return bind(bare, lambda x: bind(F.substring_index(x, " ", -1), lambda name: F.struct(
+        def split_name(bare, m):
+            return bind(single_blanks(F.trim(bare)), lambda x: bind(F.substring_index(x, " ", -1), lambda name: F.struct(
                 F.concat(F.substring(x, F.lit(1), F.length(x) - F.length(name)), m).alias("type"), name.alias("name"))))
 
-        return bind(marks, split_name)
+        def marked(rest):
+            more = F.octet_length(arg) - F.octet_length(rest) - 3
+            return F.when(more == 0, split_name(rest, mark)).otherwise(bind(
+                F.concat(mark, F.repeat(F.lit(" [ ]"), (more / 3).cast("int"))),
+                lambda m: split_name(F.replace(arg, m, F.lit("")), m)))
+
+        return F.when(F.contains(arg, mark), bind(F.replace(arg, mark, F.lit("")), marked)).otherwise(
+            split_name(arg, F.lit("")))
 
     none = F.array(F.struct(F.lit("None").alias("type"), F.lit("None").alias("name")))
     return bind(F.array_join(first_parens(tokens), " "),

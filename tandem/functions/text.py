@@ -96,15 +96,22 @@ def replace_all(c: Column, steps: list[tuple[str, str]]) -> Column:
 
 
 def bind(c: Column, fn) -> Column:
-    """``fn(c)`` with ``c`` computed once per row, however often ``fn`` mentions it."""
-    return F.get(F.transform(F.array(c), fn), F.lit(0))
+    """``fn(c)`` with ``c`` computed once per row, however often ``fn`` mentions it.
+
+    The start of an aggregate over nothing: unlike ``transform`` it does not copy what ``fn`` returns.
+    """
+    return F.aggregate(F.array().cast("array<int>"), c, lambda x, _: x, fn)
 
 
 # ---- tokens ---------------------------------------------------------------
 
 def words(c: Column) -> Column:
-    """Split on white space, without empty tokens."""
-    return F.array_remove(F.split(c, f"[{SPACE}]+"), "")
+    """Split on white space, without empty tokens.
+
+    Other white space becomes blanks first: Spark splits by a blank without a pattern, and
+    would compile any other pattern again for every row.
+    """
+    return F.array_remove(F.split(F.regexp_replace(c, f"[{SPACE}&&[^ ]]", " "), " "), "")
 
 
 def docstring_tokens(c: Column) -> Column:

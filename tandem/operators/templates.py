@@ -29,10 +29,12 @@ def fill_template(script: Column, function: Column, name: Column, lang: str) ->
 
 
 def _parameter(kind: Column, i: Column) -> Column:
-    dims = F.size(F.split(kind, r"\[")) - 1
-    bare = F.replace(F.replace(kind, F.lit("["), F.lit("")), F.lit("]"), F.lit(""))
-    return F.when(dims == 0, F.concat(kind, F.lit(" param"), i)).otherwise(
-        F.concat(bare, F.lit(" param"), i, F.lit(" "), F.repeat(F.lit("[ ]"), dims)))
+    def shaped(rest):
+        dims = F.octet_length(kind) - F.octet_length(rest)
+        return F.concat(F.replace(rest, F.lit("]"), F.lit("")), F.lit(" param"), i, F.lit(" "), F.repeat(F.lit("[ ]"), dims))
+
+    return F.when(~F.contains(kind, F.lit("[")), F.concat(kind, F.lit(" param"), i)).otherwise(
+        bind(F.replace(kind, F.lit("["), F.lit("")), shaped))
 
 
 def _java_argument(gold: Column, mine: Column, i: Column) -> Column:
@@ -96,39 +98,40 @@ def adapter(script: Column, function: Column, lang: str) -> Column:
     conversion is known."""
 
     def types(args: Column) -> Column:
-        return F.transform(args, lambda a: F.trim(a["type"]))
-
-    def same(a: Column, b: Column) -> Column:
-        return F.transform(a, lambda x: x["type"]) == F.transform(b, lambda x: x["type"])
+        return F.transform(args["type"], lambda t: F.trim(t))
 
     def prepared(s: Column) -> Column:
         gold, mine = types(s["a"]), types(s["b"])
         n = F.least(F.size(s["a"]), F.size(s["b"]))
         pairs = F.zip_with(gold, mine, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-        at = F.transform(gold, lambda g, i: F.when(g == "int", i))
-        return F.struct(gold.alias("gold"), F.slice(pairs, F.lit(1), n).alias("cells"),
-                        F.filter(at, lambda i: i.isNotNull()).alias("ints"), same(s["a"], s["b"]).alias("same"))
+        fields = [gold.alias("gold"), F.slice(pairs, F.lit(1), n).alias("cells"), s["gold_ret"].alias("gold_ret"),
+                  s["mine_ret"].alias("mine_ret")]
+        if lang != "java":  # array lengths are passed on in C++ only
+            at = F.transform(gold, lambda g, i: F.when(g == "int", i))
+            fields.append(F.filter(at, lambda i: i.isNotNull()).alias("ints"))
+        return F.when(s["a"]["type"] != s["b"]["type"], F.struct(*fields))
 
     def source(s: Column) -> Column:
         params = F.array_join(F.transform(s["gold"], _parameter), ", ")
         calls = _java_calls(s) if lang == "java" else _cpp_calls(s)
         call = F.concat(F.lit(INNER + "("), F.array_join(calls, ","), F.lit(")"))
-        gold_ret = return_type(script)
-        call = F.when(gold_ret == return_type(function), call).otherwise(
+        gold_ret = s["gold_ret"]
+        call = F.when(gold_ret == s["mine_ret"], call).otherwise(
             F.concat(F.lit("("), gold_ret, F.lit(") "), call))
         head = F.concat(F.lit("static "), gold_ret, F.lit(f" {FILLED}("), params, F.lit(")\n{\n"))
         tail = F.concat(F.lit("return "), call, F.lit(";\n}"))
         if lang == "java":
-            return F.when(~s["same"], F.concat(head, tail))
+            return F.when(s.isNotNull(), F.concat(head, tail))
 
         def with_setup(steps: Column) -> Column:
             lines = F.array_join(F.filter(steps, lambda x: x != ""), "\n")
             setup = F.when(lines == "", F.lit("")).otherwise(F.concat(lines, F.lit("\n")))
             return F.when(~F.exists(steps, lambda x: x.isNull()), F.concat(head, setup, tail))
 
-        return F.when(~s["same"], bind(_cpp_setup(s), with_setup))
+        return F.when(s.isNotNull(), bind(_cpp_setup(s), with_setup))
 
-    args = F.struct(argument_list(words(script)).alias("a"), argument_list(words(function)).alias("b"))
+    args = F.struct(argument_list(words(script)).alias("a"), argument_list(words(function)).alias("b"),
+                    return_type(script).alias("gold_ret"), return_type(function).alias("mine_ret"))
     return bind(bind(args, prepared), source)
 
 

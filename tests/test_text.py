@@ -204,3 +204,17 @@ def test_span_noise_of_rows_without_ids(spark):
     df = spark.createDataFrame([(1, []), (2, None), (3, [2, 2]), (4, [2])], "id long, ids array<bigint>")
     got = {r.id: r.ids for r in N.mask_spans(df, "id", "ids", seed=3).collect()}
     assert got == {1: [], 2: None, 3: [2, 2], 4: [2]}
+
+
+def test_adapter_reads_each_source_once(spark):
+    df = spark.createDataFrame([("static int g ( int [ ] a , String s , x [ ] [ ] y , [ ] z [ ] , int  [ ]  w )", "static long f ( char a )")],
+                               "a string, b string")
+    plan = df.select(P.adapter(F.col("a"), F.col("b"), "java").alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(regexp_replace") == 4  # the tokens and the return type of each; there were 18 splits
+    args = df.select(F.inline(A.argument_list(X.words(F.col("a"))))).collect()
+    assert [tuple(r) for r in args] == [("int [ ]", "a"), ("String ", "s"), ("x [ ] [ ]", "y"), ("[ ] z [ [ ] [ ]", "]"), ("int [ ]", "w")]
+    got = df.select(P.adapter(F.col("a"), F.col("b"), "java")).first()[0]
+    assert "f_filled(int   param0 [ ], String param1, x     param2 [ ][ ]," in got
+    cells = [(" a b\u0085c\x1fd\t\ne ",), ("",), (None,), ("\n",)]
+    got = spark.createDataFrame(cells, "t string").select(X.words(F.col("t"))).collect()
+    assert [r[0] for r in got] == [list("abcde"), [], None, []]
