@@ -584,3 +584,13 @@ def test_secrets_train_on_every_finding(spark):
     assert got == want and len(want) > 1000  # more than the 300 of each class that a sample of 3000 kept
     net = secrets.train(df, most=300, variants=1500, epochs=2)
     assert all(0 < t <= 1 for t, s in zip(net.thresholds, range(5)) if s in {secrets.shape(t[a:b]) for t, a, b, g in want if g})
+
+
+def test_secrets_are_encoded_once_for_all_epochs(spark):
+    rows = [("say naïve token=abcdefghij12 ok", 10, 28, 1), ("x = hunter2x1", 4, 13, 0), ("pwd: kölnisch9", 5, 14, 1)]
+    df = secrets._with_variants(spark.createDataFrame(rows, "part string, a long, b long, label long").coalesce(1), 3, 0)
+    got = [(bytes(r.coded), r.label, r.shape) for r in df.collect()]
+    assert got == [(secrets.encoded(p, (a, b)).tobytes(), g, secrets.shape(p[a:b])) for p, a, b, g in rows]
+    coded, gold, shapes = secrets._coded(iter(df.toArrow().to_batches()))
+    assert coded[1].tolist() == [len(x[0]) for x in got] and coded[0].tobytes() == b"".join(x[0] for x in got)
+    assert gold.tolist() == [1, 0, 1] and shapes.tolist() == [x[2] for x in got]
