@@ -586,6 +586,23 @@ def test_secrets_train_on_every_finding(spark):
     assert all(0 < t <= 1 for t, s in zip(net.thresholds, range(5)) if s in {secrets.shape(t[a:b]) for t, a, b, g in want if g})
 
 
+def test_secrets_train_on_long_candidates(spark, monkeypatch):
+    tokens = ["abcdefghij" * 25, "Kq9" * 3000, "/etc/long/path/" * 20]
+    docs = [(i, f"row {i} blob={t}z{i} end") for i, t in enumerate(tokens)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.part[r.a:r.b] for r in secrets.all_findings(df, "text").collect()}
+    assert {f"{t}z{i}" for i, t in enumerate(tokens)} <= got
+    assert all(0 < t <= 1 for t in secrets.train(df, variants=600, epochs=1).thresholds)
+    # in blocks, a candidate gives what it gives as a whole, and what it gives among padded ones
+    coded = [secrets.encoded(t, (5, len(t) - 9)) for t in tokens] + [secrets.encoded("x = hunter2x1", (4, 13))]
+    gold, net = np.array([1, 0, 0, 1], np.float32), secrets.Network()
+    whole = net._gradient(*secrets.padded(coded), gold), net.logits(coded)
+    monkeypatch.setattr(secrets, "_BLOCK", 97)
+    parts = net._gradient(*secrets.padded(coded), gold), net.logits(coded)
+    assert all(np.allclose(whole[0][k], parts[0][k], rtol=1e-3, atol=1e-6) for k in net.p)
+    assert np.allclose(whole[1], parts[1], atol=1e-5)
+
+
 def test_secrets_are_encoded_once_for_all_epochs(spark):
     rows = [("say naïve token=abcdefghij12 ok", 10, 28, 1), ("x = hunter2x1", 4, 13, 0), ("pwd: kölnisch9", 5, 14, 1)]
     df = secrets._with_variants(spark.createDataFrame(rows, "part string, a long, b long, label long").coalesce(1), 3, 0)
