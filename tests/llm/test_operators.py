@@ -611,3 +611,20 @@ def test_secrets_are_encoded_once_for_all_epochs(spark):
     coded, gold, shapes = secrets._coded(iter(df.toArrow().to_batches()))
     assert coded[1].tolist() == [len(x[0]) for x in got] and coded[0].tobytes() == b"".join(x[0] for x in got)
     assert gold.tolist() == [1, 0, 1] and shapes.tolist() == [x[2] for x in got]
+
+
+def test_candidates_agree_with_the_plain_patterns():
+    r, letters = np.random.RandomState(8), "abcdef0123456789ABCXYZ+/_.=-!#$%&*?@^~  \n\"':éß中𝔸"
+    tokens = (re.compile(r"[A-Za-z0-9+/_.=-]{12,}"), re.compile(r"[A-Za-z0-9+/_.=!#$%&*?@^~-]{12,}"))
+    texts = ["".join(letters[i] for i in r.randint(0, [16, 38, len(letters)][k % 3], r.randint(0, 200))) for k in range(600)]
+    for t in [*texts, "", "-" * 30, "a" * 11, "a" * 12, "é" + "0" * 24, "x: " + "--abcdefghijkl==" * 2]:
+        want = set()
+        for m in (m for p in tokens for m in p.finditer(t)):
+            body = m[0].strip(secrets._EDGES)
+            if len(body) >= 12:
+                want.add((m.start() + m[0].index(body), m.start() + m[0].index(body) + len(body)))
+        for m in secrets._ASSIGNED.finditer(t):
+            if len(body := m[1].rstrip(".,;)]}")) >= 6:
+                want.add((m.start(1), m.start(1) + len(body)))
+        assert secrets.candidates(t) == sorted(want), t
+        assert [s[:2] for s in secret_spans(t) if s[2] == 2] == [m.span() for m in re.finditer("(?<![0-9a-f])[0-9a-f]{24,}", t)], t
